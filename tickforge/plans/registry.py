@@ -1,4 +1,332 @@
-"""Every registered candle query with its SQL twin."""
+"""Every registered candle query with its SQL twin. Doubles are rounded to six places on both sides."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import indicators as I
+from ..operators import ingest, labels, latest, model
+from ..sources import candles as C
+from ..streaming import candles as streams
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+NOW_MS = 1_706_745_625_000
+#: Rows of the first part of the feed, which the stored table holds before the batch comes.
+STORED_BEFORE = "2024-01-16 00:00"
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def shared_dir(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+    return f"{found}/candles-{uuid.uuid4().hex}"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(C.EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.from_events(events(spark, sf_dir))
+    return rows.withColumn("open_time", S.local_minute_text(F.col("open_time_ms")))
+
+
+def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a symbol and minute: the first offer."""
+    return ingest.first_of_minute(offers(spark, sf_dir), ["arrival"]).select("symbol", "open_time_ms", "open_time", "close")
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+OFFERS_SQL = """
+offers AS (
+  SELECT event_type AS symbol, epoch_ms(ts) - epoch_ms(ts) % 60000 AS open_time_ms,
+    strftime(make_timestamp((epoch_ms(ts) - epoch_ms(ts) % 60000 + 7200000) * 1000), '%Y-%m-%d %H:%M') AS open_time,
+    value AS close, event_id AS arrival FROM events
+), candles AS (
+  SELECT symbol, open_time_ms, open_time, close FROM offers
+  QUALIFY row_number() OVER (PARTITION BY symbol, open_time_ms ORDER BY arrival) = 1
+)"""
+
+
+@query(f"WITH {OFFERS_SQL} SELECT symbol, open_time_ms, open_time, close, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms DESC) AS place FROM candles) WHERE place <= 5")
+def q01_latest_n(spark, sf_dir):
+    return latest.newest_per_symbol(candles(spark, sf_dir), 5)
+
+
+@query(f"WITH {OFFERS_SQL} SELECT symbol, open_time, close FROM candles WHERE open_time BETWEEN '2024-01-05 00:00' AND '2024-01-06 00:00'")
+def q02_range_scan(spark, sf_dir):
+    return C.between_text(candles(spark, sf_dir), "2024-01-05 00:00", "2024-01-06 00:00")
+
+
+@query(f"""WITH {OFFERS_SQL}, marks AS (SELECT symbol, max(open_time_ms) AS high_water_ms FROM candles GROUP BY symbol
+  UNION ALL SELECT 'EMPTY', NULL)
+SELECT symbol, coalesce(high_water_ms + 60000, 1483228800000) AS start_ms, ({NOW_MS} - {NOW_MS} % 60000)::BIGINT AS end_ms,
+  (coalesce(high_water_ms + 60000, 1483228800000) >= {NOW_MS} - {NOW_MS} % 60000)::INT AS is_empty FROM marks""")
+def q03_high_water_mark(spark, sf_dir):
+    marks = ingest.high_water_mark(candles(spark, sf_dir))
+    none = spark.sql("SELECT 'EMPTY' AS symbol, CAST(NULL AS BIGINT) AS high_water_ms")
+    return ingest.sync_bounds(marks.unionByName(none), NOW_MS).drop("high_water_ms")
+
+
+def raw_lines(spark, sf_dir) -> DataFrame:
+    """The event table as a landed feed: one JSON line of positional arrays of text for each user."""
+    text = lambda c: c.cast("string")
+    ms = S.ntz_minute_ms(F.col("ts")) + F.pmod("event_id", F.lit(60_000))
+    row = F.array(
+        text(ms), text(F.col("value")), F.concat(text(F.col("value")), F.when(F.pmod("event_id", F.lit(3)) == 0, "d").otherwise("")),
+        F.col("event_type"), text(F.col("value")), F.when(F.pmod("event_id", F.lit(7)) == 0, "").otherwise(text(F.col("user_id"))),
+        *[F.lit("0")] * 6,
+    )
+    return events(spark, sf_dir).groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
+
+
+@query("""SELECT epoch_ms(ts) - epoch_ms(ts) % 60000 + event_id % 60000 AS open_time_ms,
+  strftime(make_timestamp((epoch_ms(ts) - epoch_ms(ts) % 60000 + event_id % 60000 + 7200000) * 1000), '%Y-%m-%d %H:%M') AS open_time,
+  round(value, 6) AS open, CASE WHEN event_id % 3 <> 0 THEN round(value, 6) END AS high, CAST(NULL AS DOUBLE) AS low,
+  round(value, 6) AS close, CASE WHEN event_id % 7 <> 0 THEN user_id::DOUBLE END AS volume, user_id
+FROM events WHERE value IS NOT NULL""")
+def q04_normalise_candles(spark, sf_dir):
+    good, _ = C.normalise(C.explode_raw(raw_lines(spark, sf_dir)), "FEED", ["user_id", "pos"])
+    return rounded(good.drop("symbol", "open_date", "pos"), "open", "high", "close")
+
+
+LENIENT = ["1.5", " 1.5 ", "1e3", "", "abc", "1.0d", "1f", "NaN"]
+
+
+@query("""SELECT event_id, round(try_cast(CASE event_id % 4 WHEN 0 THEN value::VARCHAR WHEN 1 THEN '  ' || value::VARCHAR || ' '
+  WHEN 2 THEN value::VARCHAR || 'd' ELSE event_type END AS DOUBLE), 6) AS number FROM events""")
+def q05_lenient_numeric(spark, sf_dir):
+    value, kind = F.col("value").cast("string"), F.pmod("event_id", F.lit(4))
+    text = F.when(kind == 0, value).when(kind == 1, F.concat(F.lit("  "), value, F.lit(" "))).when(kind == 2, F.concat(value, F.lit("d"))).otherwise(F.col("event_type"))
+    return events(spark, sf_dir).select("event_id", F.round(S.lenient_double(text), 6).alias("number"))
+
+
+def _synced(spark, sf_dir):
+    every = offers(spark, sf_dir)
+    stored = ingest.first_of_minute(every.where(F.col("open_time") < STORED_BEFORE), ["arrival"]).drop("__minute")
+    batch = every.where(F.col("open_time") >= "2024-01-15 12:00")
+    return stored, batch, ingest.insert_or_ignore(stored, batch, ["arrival"])
+
+
+SYNC_SQL = f"""WITH {OFFERS_SQL}, stored AS (SELECT * FROM candles WHERE open_time < '{STORED_BEFORE}'),
+batch AS (SELECT * FROM offers WHERE open_time >= '2024-01-15 12:00'),
+inserted AS (SELECT symbol, open_time_ms, open_time, close, arrival FROM batch b
+  WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.symbol = b.symbol AND s.open_time_ms = b.open_time_ms)
+  QUALIFY row_number() OVER (PARTITION BY symbol, open_time_ms ORDER BY arrival) = 1)
+"""
+
+
+@query(SYNC_SQL + "SELECT * FROM inserted")
+def q06_insert_or_ignore(spark, sf_dir):
+    return _synced(spark, sf_dir)[2].select("symbol", "open_time_ms", "open_time", "close", "arrival")
+
+
+@query(SYNC_SQL + """SELECT symbol, count(*) AS attempted, (SELECT count(*) FROM inserted i WHERE i.symbol = b.symbol) AS inserted,
+  count(*) - (SELECT count(*) FROM inserted i WHERE i.symbol = b.symbol) AS ignored, min(open_time) AS first_time, max(open_time) AS last_time
+FROM batch b GROUP BY symbol""")
+def q07_sync_report(spark, sf_dir):
+    return ingest.sync_report(*_synced(spark, sf_dir))
+
+
+FORWARD_SQL = """, forward AS (
+  SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY open_time_ms ROWS BETWEEN CURRENT ROW AND 239 FOLLOWING) AS rolling_max FROM candles
+)"""
+
+
+@query(f"WITH {OFFERS_SQL}{FORWARD_SQL} SELECT * FROM forward")
+def q08_forward_max(spark, sf_dir):
+    return labels.forward_max(candles(spark, sf_dir))
+
+
+@query(f"WITH {OFFERS_SQL}{FORWARD_SQL} SELECT * FROM forward")
+def q09_forward_max_blocked(spark, sf_dir):
+    return labels.forward_max_two_scans(candles(spark, sf_dir))
+
+
+RATIO_SQL = FORWARD_SQL + """, ratios AS (
+  SELECT *, CASE WHEN close = 0 THEN CASE WHEN rolling_max > 0 THEN 'inf'::DOUBLE WHEN rolling_max < 0 THEN '-inf'::DOUBLE END ELSE rolling_max / close END AS ratio FROM forward
+), p90s AS (SELECT symbol, quantile_cont(ratio, 0.9) AS p90 FROM ratios GROUP BY symbol),
+flags AS (SELECT r.*, p90, coalesce((ratio >= p90)::INT, 0) AS spike_flag FROM ratios r JOIN p90s USING (symbol))"""
+
+
+@query(f"WITH {OFFERS_SQL}{RATIO_SQL} SELECT symbol, round(p90, 6) AS p90 FROM p90s")
+def q10_ratio_p90(spark, sf_dir):
+    return rounded(labels.exact_quantile(labels.ratio(labels.forward_max(candles(spark, sf_dir))), "ratio", 0.9, "p90"), "p90")
+
+
+@query(f"WITH {OFFERS_SQL}{RATIO_SQL} SELECT symbol, open_time_ms, open_time, close, rolling_max, round(ratio, 6) AS ratio, round(p90, 6) AS p90, spike_flag FROM flags")
+def q11_spike_flag(spark, sf_dir):
+    flagged = labels.spike_flag(labels.ratio(labels.forward_max(candles(spark, sf_dir))))
+    return rounded(flagged, "ratio", "p90").select("symbol", "open_time_ms", "open_time", "close", "rolling_max", "ratio", "p90", "spike_flag")
+
+
+def safe(a: str, b: str) -> str:
+    return f"CASE WHEN {b} = 0 THEN CASE WHEN {a} > 0 THEN 'inf'::DOUBLE WHEN {a} < 0 THEN '-inf'::DOUBLE END ELSE {a} / {b} END"
+
+
+SERIES = "PARTITION BY symbol ORDER BY open_time_ms"
+
+
+def frames_sql() -> str:
+    lagged = [f"lag(close, {k}) OVER (w) AS lag_{k}" for k in (14, 140)]
+    made = [
+        f"CASE WHEN count(close) OVER t{k} >= {k} THEN avg(close) OVER t{k} END AS avg_{k}, CASE WHEN count(close) OVER t{k} >= {k} THEN stddev_pop(close) OVER t{k} END AS std_{k}"
+        for k in (14, 140)
+    ]
+    windows = ", ".join(f"t{k} AS ({SERIES} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (14, 140))
+    out = []
+    for k in (14, 140):
+        out += [f"100 * ({safe(f'(close - lag_{k})', f'lag_{k}')}) AS roc_{k}", safe("close", f"avg_{k}") + f" AS sma_ratio_{k}", safe(f"400 * std_{k}", f"avg_{k}") + f" AS bb_width_{k}"]
+    lagged = ", ".join(lagged).replace("(w)", f"({SERIES})")
+    return f""", parts AS (SELECT *, {lagged}, {", ".join(made)} FROM candles WINDOW {windows}),
+frames AS (SELECT symbol, open_time_ms, {", ".join(out)} FROM parts)"""
+
+
+FRAMES_SQL = frames_sql()
+
+
+def _indicator(kinds: tuple[str, ...]):
+    def run(spark, sf_dir):
+        spec = tuple(s for s in I.DEFAULT_SPEC if s.kind in kinds)
+        made = I.features(candles(spark, sf_dir), spec)
+        return rounded(made, *[s.column for s in spec]).select("symbol", "open_time_ms", *[s.column for s in spec])
+
+    return run
+
+
+for _name, _kind in (("q12_roc", "roc"), ("q13_sma_ratio", "sma_ratio"), ("q14_bb_width", "bb_width")):
+    QUERIES[_name] = _indicator((_kind,))
+    ORACLE_SQL[_name] = f"WITH {OFFERS_SQL}{FRAMES_SQL} SELECT symbol, open_time_ms, round({_kind}_14, 6) AS {_kind}_14, round({_kind}_140, 6) AS {_kind}_140 FROM frames"
+
+#: One recursion carries every mean from row to row of all symbols.
+MEANS_SQL = """, placed AS (
+  SELECT symbol, open_time_ms, close, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) - 1 AS i,
+    coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY open_time_ms), 0) AS move FROM candles
+), means AS (
+  SELECT symbol, i, close AS ema, greatest(move, 0.0::DOUBLE) AS gain, greatest(-move, 0.0::DOUBLE) AS loss, close AS fast, close AS slow, NULL::DOUBLE AS signal FROM placed WHERE i = 0
+  UNION ALL
+  SELECT p.symbol, p.i, 0.2 * p.close + (1 - 0.2) * m.ema,
+    greatest(p.move, 0.0::DOUBLE) / 14 + (1 - 1.0::DOUBLE / 14) * m.gain, greatest(-p.move, 0.0::DOUBLE) / 14 + (1 - 1.0::DOUBLE / 14) * m.loss,
+    2.0::DOUBLE / 13 * p.close + 11.0::DOUBLE / 13 * m.fast, 2.0::DOUBLE / 27 * p.close + 25.0::DOUBLE / 27 * m.slow,
+    CASE WHEN p.i < 25 THEN NULL WHEN p.i = 25 THEN 2.0::DOUBLE / 13 * p.close + 11.0::DOUBLE / 13 * m.fast - (2.0::DOUBLE / 27 * p.close + 25.0::DOUBLE / 27 * m.slow)
+      ELSE 0.2 * (2.0::DOUBLE / 13 * p.close + 11.0::DOUBLE / 13 * m.fast - (2.0::DOUBLE / 27 * p.close + 25.0::DOUBLE / 27 * m.slow)) + 0.8 * m.signal END
+  FROM means m JOIN placed p ON p.symbol = m.symbol AND p.i = m.i + 1
+), recurrences AS (
+  SELECT p.symbol, p.open_time_ms, m.ema, CASE WHEN p.i >= 13 THEN CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END END AS rsi_backward_14,
+    CASE WHEN p.i >= 33 THEN fast - slow - signal END AS macd_diff
+  FROM means m JOIN placed p ON p.symbol = m.symbol AND p.i = m.i
+)"""
+RECURSIVE = f"WITH RECURSIVE {OFFERS_SQL}{MEANS_SQL}"
+
+
+@query(f"{RECURSIVE} SELECT symbol, open_time_ms, round(ema, 6) AS ema FROM recurrences")
+def q15_ema(spark, sf_dir):
+    return rounded(I.exponential_mean(candles(spark, sf_dir), 0.2), "ema").select("symbol", "open_time_ms", "ema")
+
+
+QUERIES["q16_rsi"] = _indicator(("rsi",))
+ORACLE_SQL["q16_rsi"] = f"{RECURSIVE} SELECT symbol, open_time_ms, round(rsi_backward_14, 6) AS rsi_backward_14 FROM recurrences"
+QUERIES["q17_macd_diff"] = _indicator(("macd_diff",))
+ORACLE_SQL["q17_macd_diff"] = f"{RECURSIVE} SELECT symbol, open_time_ms, round(macd_diff, 6) AS macd_diff FROM recurrences"
+
+MATRIX_SQL = f"""{RECURSIVE}{FRAMES_SQL}{RATIO_SQL}, matrix AS (
+  SELECT f.symbol, f.open_time_ms, f.open_time, f.close, f.rolling_max, f.ratio, f.spike_flag, {", ".join(model.FEATURES)}
+  FROM flags f JOIN frames USING (symbol, open_time_ms) JOIN recurrences USING (symbol, open_time_ms)
+), sample AS (
+  SELECT m.* FROM matrix m JOIN (SELECT symbol, max(open_time_ms) AS newest FROM matrix WHERE {" AND ".join(f"{c} IS NOT NULL" for c in (*model.FEATURES, "ratio"))} GROUP BY symbol) USING (symbol)
+  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in (*model.FEATURES, "ratio"))} AND open_time_ms < newest - 14400000
+)"""
+ROUNDED_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in ("ratio", *model.FEATURES))
+
+
+def matrix(spark, sf_dir) -> DataFrame:
+    flagged = labels.spike_flag(labels.ratio(labels.forward_max(candles(spark, sf_dir)))).drop("p90")
+    return I.features(flagged)
+
+
+@query(f"{MATRIX_SQL} SELECT symbol, open_time_ms, open_time, close, rolling_max, spike_flag, {ROUNDED_SQL} FROM matrix")
+def q18_feature_matrix(spark, sf_dir):
+    return rounded(matrix(spark, sf_dir), "ratio", *model.FEATURES)
+
+
+@query(f"{MATRIX_SQL} SELECT symbol, open_time_ms, open_time, close, rolling_max, spike_flag, {ROUNDED_SQL} FROM sample")
+def q19_training_sample(spark, sf_dir):
+    return rounded(model.training_sample(matrix(spark, sf_dir)), "ratio", *model.FEATURES)
+
+
+@query()
+def q20_logit_table(spark, sf_dir):
+    finite = " AND ".join(f"abs({c}) < double('Infinity')" for c in model.FEATURES)
+    sample = model.training_sample(matrix(spark, sf_dir)).where(finite).cache()
+    try:
+        return model.coefficient_table(model.fit_logit(sample), sample)
+    finally:
+        sample.unpersist()
+
+
+SCORE_SQL = f"1 / (1 + exp(-({' + '.join(f'({v!r}) * {k}' for k, v in model.FROZEN.items())})))"
+
+
+@query(f"""{MATRIX_SQL}, scored AS (SELECT symbol, open_time_ms, {SCORE_SQL} AS p FROM matrix)
+SELECT symbol, open_time_ms, round(p, 6) AS predicted_proba_spike, CASE WHEN p < 0.01 THEN 'short' WHEN p > 0.1 THEN 'long' ELSE 'flat' END AS signal_band FROM scored""")
+def q21_score_bands(spark, sf_dir):
+    scored = model.score(I.features(candles(spark, sf_dir))).withColumn("signal_band", model.signal_band())
+    return rounded(scored, "predicted_proba_spike").select("symbol", "open_time_ms", "predicted_proba_spike", "signal_band")
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    return C.from_events(streams.event_stream(spark, f"{sf_dir}/events.parquet", C.EVENTS))
+
+
+@query(f"WITH {OFFERS_SQL} SELECT symbol, open_time_ms, close FROM candles")
+def q22_stream_ingest(spark, sf_dir):
+    base = shared_dir(spark)
+    stream = streams.start_ingest(_stream(spark, sf_dir), f"{base}/table", f"{base}/log", ["arrival"])
+    stream.awaitTermination()
+    return spark.read.parquet(f"{base}/table").select("symbol", "open_time_ms", "close")
+
+
+@query(f"{MATRIX_SQL} SELECT symbol, open_time_ms, close, round({SCORE_SQL}, 6) AS predicted_proba_spike FROM matrix")
+def q23_stream_score(spark, sf_dir):
+    base = shared_dir(spark)
+    stream = streams.start_scoring(_stream(spark, sf_dir), f"{base}/table", f"{base}/scores", f"{base}/log", ["arrival"])
+    stream.awaitTermination()
+    return rounded(spark.read.parquet(f"{base}/scores"), "predicted_proba_spike")
+
+
+@query(f"{RECURSIVE} SELECT symbol, open_time_ms, round(rsi_backward_14, 6) AS rsi_backward_14, round(macd_diff, 6) AS macd_diff FROM recurrences")
+def q24_stateful_means(spark, sf_dir):
+    """The recurrences carried as streaming state. The feed is landed as deduplicated candles first."""
+    base = shared_dir(spark)
+    candles(spark, sf_dir).select("symbol", "open_time_ms", "close").write.parquet(f"{base}/landed")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        feed = streams.event_stream(spark, f"{base}/landed", "symbol string, open_time_ms long, close double")
+        writer = streams.stateful_means(feed).writeStream.format("parquet").option("checkpointLocation", f"{base}/log")
+        writer.trigger(availableNow=True).start(f"{base}/means").awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return rounded(spark.read.parquet(f"{base}/means"), "rsi_backward_14", "macd_diff").drop("close")
