@@ -21,7 +21,9 @@ def by_block():
 
 def number_rows(candles: DataFrame) -> DataFrame:
     """candles with __i, the row's place in its symbol from 0. Keys must be unique, so a symbol's day is at most
-    1,440 rows; only day counts are summed along the series."""
+    1,440 rows; only day counts are summed along the series. Rows that have their places keep them."""
+    if "__i" in candles.columns:
+        return candles
     day = F.floor(F.col("open_time_ms") / DAY_MS).cast("long")
     rows = candles.withColumn("__day", day)
     sums = Window.partitionBy("symbol").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ieee_ratio
 from .blocks import block_for, by_block, ema, in_blocks, number_rows
 
-CLOSE = F.col
-
 
 @dataclass(frozen=True)
 class Indicator:
@@ -68,8 +67,10 @@ def span(n: int) -> float:
     return 2 / (n + 1)
 
 
-def features(candles: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC) -> DataFrame:
-    """candles with a column for each indicator. Keys (symbol, open_time_ms) must be unique and close not null."""
+def features(candles: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC, cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """candles with a column for each indicator. Keys (symbol, open_time_ms) must be unique and close not null. cut: writes
+    a table and reads it back; given, no step is computed again for the joins after it."""
+    cut = cut or (lambda df, _: df)
     recurrences = [s for s in spec if s.kind in ("rsi", "macd_diff")]
     alphas = [1 / s.window for s in recurrences if s.kind == "rsi"]
     if any(s.kind == "macd_diff" for s in recurrences):
@@ -78,7 +79,7 @@ def features(candles: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC) ->
     block = max(back, block_for(alphas)) if alphas else 4096
     if alphas and back > block_for(alphas):
         raise ValueError("windows of the frames are longer than a block of the exponential means")
-    rows = in_blocks(number_rows(candles), back=back, block=block)
+    rows = in_blocks(cut(number_rows(candles), "numbered") if "__i" not in candles.columns else candles, back=back, block=block)
     move = F.col("close") - F.lag("close", 1).over(by_block())
     made = {s.column: FRAMES[s.kind][0](s.window) for s in spec if s.kind in FRAMES}
     if any(s.kind == "rsi" for s in recurrences):
@@ -91,14 +92,14 @@ def features(candles: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC) ->
         else:
             first |= {"fast": ("close", span(FAST), 0, FAST), "slow": ("close", span(SLOW), 0, SLOW)}
     if first:
-        rows = ema(rows, first, block)
+        rows = ema(cut(rows, "frames"), first, block)
     for s in recurrences:
         if s.kind == "rsi":
             gain, loss = F.col(f"g{s.window}"), F.col(f"l{s.window}")
             rows = rows.withColumn(s.column, F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss))))
         else:
             rows = rows.withColumn("__macd", F.col("fast") - F.col("slow"))
-            rows = ema(rows, {"signal": ("__macd", span(SIGNAL), SLOW - 1, SIGNAL)}, block)
+            rows = ema(cut(rows, "means"), {"signal": ("__macd", span(SIGNAL), SLOW - 1, SIGNAL)}, block)
             rows = rows.withColumn(s.column, F.col("__macd") - F.col("signal"))
     return rows.select(*candles.columns, *[s.column for s in spec])
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import indicators as I
 from ..operators import ingest, labels, latest, model
+from ..operators.blocks import number_rows
 from ..sources import candles as C
+from ..sources.scratch import shared_dir, stored
 from ..streaming import candles as streams
 
 QUERIES: dict = {}
@@ -31,15 +30,6 @@ def query(sql: str | None = None):
     return register
 
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-    return f"{found}/candles-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(C.EVENTS).parquet(f"{sf_dir}/events.parquet")
 
@@ -172,13 +162,14 @@ flags AS (SELECT r.*, p90, coalesce((ratio >= p90)::INT, 0) AS spike_flag FROM r
 
 @query(f"WITH {OFFERS_SQL}{RATIO_SQL} SELECT symbol, round(p90, 6) AS p90 FROM p90s")
 def q10_ratio_p90(spark, sf_dir):
-    return rounded(labels.exact_quantile(labels.ratio(labels.forward_max(candles(spark, sf_dir))), "ratio", 0.9, "p90"), "p90")
+    rated = stored(labels.ratio(labels.forward_max(candles(spark, sf_dir))), "rated")
+    return rounded(labels.exact_quantile(rated, "ratio", 0.9, "p90"), "p90")
 
 
 @query(f"WITH {OFFERS_SQL}{RATIO_SQL} SELECT symbol, open_time_ms, open_time, close, rolling_max, round(ratio, 6) AS ratio, round(p90, 6) AS p90, spike_flag FROM flags")
 def q11_spike_flag(spark, sf_dir):
-    flagged = labels.spike_flag(labels.ratio(labels.forward_max(candles(spark, sf_dir))))
-    return rounded(flagged, "ratio", "p90").select("symbol", "open_time_ms", "open_time", "close", "rolling_max", "ratio", "p90", "spike_flag")
+    rated = stored(labels.ratio(labels.forward_max(candles(spark, sf_dir))), "rated")
+    return rounded(labels.spike_flag(rated), "ratio", "p90").select("symbol", "open_time_ms", "open_time", "close", "rolling_max", "ratio", "p90", "spike_flag")
 
 
 def safe(a: str, b: str) -> str:
@@ -209,7 +200,7 @@ FRAMES_SQL = frames_sql()
 def _indicator(kinds: tuple[str, ...]):
     def run(spark, sf_dir):
         spec = tuple(s for s in I.DEFAULT_SPEC if s.kind in kinds)
-        made = I.features(candles(spark, sf_dir), spec)
+        made = I.features(candles(spark, sf_dir), spec, cut=stored)
         return rounded(made, *[s.column for s in spec]).select("symbol", "open_time_ms", *[s.column for s in spec])
 
     return run
@@ -261,8 +252,9 @@ ROUNDED_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in ("ratio", *model.FEATUR
 
 
 def matrix(spark, sf_dir) -> DataFrame:
-    flagged = labels.spike_flag(labels.ratio(labels.forward_max(candles(spark, sf_dir)))).drop("p90")
-    return I.features(flagged)
+    rows = stored(number_rows(candles(spark, sf_dir)), "numbered")
+    flagged = labels.spike_flag(stored(labels.ratio(labels.forward_max(rows)), "labelled")).drop("p90")
+    return I.features(flagged, cut=stored).drop("__i")
 
 
 @query(f"{MATRIX_SQL} SELECT symbol, open_time_ms, open_time, close, rolling_max, spike_flag, {ROUNDED_SQL} FROM matrix")
@@ -272,17 +264,14 @@ def q18_feature_matrix(spark, sf_dir):
 
 @query(f"{MATRIX_SQL} SELECT symbol, open_time_ms, open_time, close, rolling_max, spike_flag, {ROUNDED_SQL} FROM sample")
 def q19_training_sample(spark, sf_dir):
-    return rounded(model.training_sample(matrix(spark, sf_dir)), "ratio", *model.FEATURES)
+    return rounded(model.training_sample(stored(matrix(spark, sf_dir), "matrix")), "ratio", *model.FEATURES)
 
 
 @query()
 def q20_logit_table(spark, sf_dir):
     finite = " AND ".join(f"abs({c}) < double('Infinity')" for c in model.FEATURES)
-    sample = model.training_sample(matrix(spark, sf_dir)).where(finite).cache()
-    try:
-        return model.coefficient_table(model.fit_logit(sample), sample)
-    finally:
-        sample.unpersist()
+    sample = stored(model.training_sample(stored(matrix(spark, sf_dir), "matrix")).where(finite), "sample")
+    return model.coefficient_table(model.fit_logit(sample), sample)
 
 
 SCORE_SQL = f"1 / (1 + exp(-({' + '.join(f'({v!r}) * {k}' for k, v in model.FROZEN.items())})))"
@@ -291,7 +280,7 @@ SCORE_SQL = f"1 / (1 + exp(-({' + '.join(f'({v!r}) * {k}' for k, v in model.FROZ
 @query(f"""{MATRIX_SQL}, scored AS (SELECT symbol, open_time_ms, {SCORE_SQL} AS p FROM matrix)
 SELECT symbol, open_time_ms, round(p, 6) AS predicted_proba_spike, CASE WHEN p < 0.01 THEN 'short' WHEN p > 0.1 THEN 'long' ELSE 'flat' END AS signal_band FROM scored""")
 def q21_score_bands(spark, sf_dir):
-    scored = model.score(I.features(candles(spark, sf_dir))).withColumn("signal_band", model.signal_band())
+    scored = model.score(I.features(candles(spark, sf_dir), cut=stored)).withColumn("signal_band", model.signal_band())
     return rounded(scored, "predicted_proba_spike").select("symbol", "open_time_ms", "predicted_proba_spike", "signal_band")
 
 
