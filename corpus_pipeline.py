@@ -1,11 +1,72 @@
-"""The corpus pipeline: stages that each take documents and return documents."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, source mix, piece ids.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
+documents. Written tables stand between the stages, so a lost executor costs a stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickforge.llm.common import stored
+from tickforge.llm.line_dedup import line_dedup
+from tickforge.llm.mixing import mix_sources
+from tickforge.llm.ngram_join import narrow, near_components
+from tickforge.llm.pieces import decode_pieces, encode_pieces
+from tickforge.llm.quality import quality
+from tickforge.llm.queries import vocabulary
+
+#: Near duplicates: shingles of five words, similarity of 0.8 or more.
+SHINGLE, SIMILARITY = 5, "0.8"
+MODEL = "piece_bpe_32k.model"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality(docs).where("kept").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Common lines stay in one document each; n_chars follows the text."""
+    return line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document of the least id stays."""
+    found = near_components(docs, SHINGLE, SIMILARITY)
+    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = narrow(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti").select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources weigh the same; documents repeat by Poisson counts, in a global shuffle."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with their piece ids, and whether these decode to the text."""
+    path = vocabulary(MODEL)
+    decode = decode_pieces(spark, path)
+    made = encode_pieces(docs, path)
+    same = decode(F.col("ids")) == F.coalesce(F.col("text"), F.lit(""))
+    return made.withColumn("n_pieces", F.size("ids").cast("long")).withColumn("round_trip", same)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard", near_stage),
+    ("source_mix", mix_stage),
+    ("sentence_pieces", pieces_stage),
+]
+#: No SQL says the quality stage's estimates or the pieces; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
