@@ -210,7 +210,14 @@ def fit_groups(rows: DataFrame, lang_col: str = "lang", source_col: str = "sourc
         params = stored(binned.groupBy("key", "bin").agg(*sums).groupBy("key").applyInPandas(_concentrate, f"key string, {PARAMS}"), "mcd")
     three = keys(lang_col, source_col)
     groups = rows.select(*[k.alias(f"__key{i}") for i, k in enumerate(three)]).distinct()
-    for i in range(3):
+    # The estimate over all rows is one row of fixed size.
+    top = params.where("key = '0'").first()
+    if top is None:
+        whole = F.lit(None).cast("struct<level:int,n:bigint,mu:array<double>,inv:array<double>>")
+    else:
+        whole = F.struct(F.lit(0).alias("level"), F.lit(top["n"]).cast("long").alias("n"), *[F.array(*map(F.lit, top[c])).alias(c) for c in ("mu", "inv")])
+    groups = groups.withColumn("__p2", whole)
+    for i in range(2):
         own = params.select(F.col("key").alias(f"__key{i}"), F.struct(F.lit(2 - i).alias("level"), "n", "mu", "inv").alias(f"__p{i}"))
         groups = groups.join(own, f"__key{i}", "left")
     best = F.coalesce("__p0", "__p1", "__p2")
