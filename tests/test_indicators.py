@@ -102,7 +102,7 @@ def test_golden_numbers_and_fit(spark):
     matrix = I.features(flagged).cache()
     r = matrix.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(f"n_{c}") for c in GOLDEN], *[F.sum(c).alias(c) for c in GOLDEN], F.sum("rolling_max").alias("top"), F.sum("ratio").alias("ratio"), F.max("p90").alias("p90"), F.sum("spike_flag").alias("flags")).first()
     for c, (gaps, total) in GOLDEN.items():
-        assert r[f"n_{c}"] == gaps and r[c] == pytest.approx(total, rel=1e-9)
+        assert r[f"n_{c}"] == gaps and r[c] == pytest.approx(total, rel=1e-9, abs=1e-6)
     assert (r.top, r.ratio, r.p90) == pytest.approx((2643092.08, 397587.266044, 56.82302405498281), rel=1e-12) and r.flags == 897
     assert model.complete_rows(matrix).count() == 8821
     sample = model.training_sample(matrix).cache()
