@@ -14,23 +14,27 @@ with the least fingerprint; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
 from .words import list_array, mix, shingles, slices, split
 
-#: Hash buckets of the table of shingle frequencies: 8 MB for each task, whatever the data.
-FREQUENCY_BITS, CHUNK_BITS = 21, 13
+#: Hash buckets of the table of shingle frequencies: 16 MB for each task, whatever the data.
+FREQUENCY_BITS, CHUNK_BITS = 22, 14
 RANGES = 16
 #: Id tables up to this many rows (at most 40 MB) may be broadcast.
-NARROW_ROWS, SALTS = 500_000, 16
+NARROW_ROWS = 500_000
+#: A shingle whose bucket counts at most so many documents has a list that one task may sort; longer lists are counted
+#: before the shuffle. Of those, lists with more than HOT_SHARE of the entries, so at most its inverse, join by broadcast.
+SHORT_LIST, HOT_SHARE = 20_000, 1e-5
 NULL_ID = -(2**63)
 
 
@@ -54,21 +58,21 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
         rows = total.reshape(-1, chunk)
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int64()), pa.array([rows[i].astype(np.uint32).tobytes() for i in used], pa.binary())], ["chunk", "counts"]
+            [pa.array(used, pa.int64()), pa.array([zlib.compress(rows[i].astype(np.uint32).tobytes(), 1) for i in used], pa.binary())], ["chunk", "counts"]
         )
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(chunk, np.int64)
         for batch in batches:
             for value in batch.column(1):
-                total += np.frombuffer(value.as_py(), np.uint32)
+                total += np.frombuffer(zlib.decompress(value.as_py()), np.uint32)
         total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
     parts = docs.mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()
     out = np.zeros(size, np.uint32)
     for r in parts:
-        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], np.uint32)
+        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return out
 
 
@@ -77,8 +81,8 @@ def ceil_of(share: Fraction, n: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, limit: Fraction, table: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, ranges, prefix): set size, fingerprint of the set, shingles by hash range, and the rarest
-    n - ceil(limit * n) + 1 shingles in order."""
+    """(id, n, f1, f2, ranges, prefix, n_short): set size, fingerprint of the set, shingles by hash range, the rarest
+    n - ceil(limit * n) + 1 shingles in order, and how many of these, the first, have short lists."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,17 +97,20 @@ def prefixes(docs: DataFrame, k: int, limit: Fraction, table: np.ndarray) -> Dat
                 with_zero = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ mix(np.array([seed], np.uint64))), dtype=np.uint64)])
                 sums.append((with_zero[ends] - with_zero[ends - n]).view(np.int64))
             ranges = np.bincount(text * RANGES + (mix(h) >> np.uint64(60)).astype(np.int64), minlength=rows * RANGES)
-            order = np.lexsort((h, rare[(h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)], text))
+            often = rare[(h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
+            order = np.lexsort((h, often, text))
             place = np.arange(len(h)) - np.repeat(ends - n, n)
             length = np.where(n > 0, n - ceil_of(limit, n) + 1, 0)
-            first = h[order][place < np.repeat(length, n)].view(np.int64)
+            head = place < np.repeat(length, n)
+            first = h[order][head].view(np.int64)
+            brief = np.bincount(text[order][head & (often[order] <= SHORT_LIST)], minlength=rows)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]),
-                 list_array(pa.array(ranges.astype(np.int32)), np.full(rows, RANGES)), list_array(pa.array(first), length)],
-                ["id", "n", "f1", "f2", "ranges", "prefix"],
+                 list_array(pa.array(ranges.astype(np.int32)), np.full(rows, RANGES)), list_array(pa.array(first), length), pa.array(brief.astype(np.int32))],
+                ["id", "n", "f1", "f2", "ranges", "prefix", "n_short"],
             )
 
-    return docs.mapInArrow(cut, "id long, n int, f1 long, f2 long, ranges array<int>, prefix array<long>")
+    return docs.mapInArrow(cut, "id long, n int, f1 long, f2 long, ranges array<int>, prefix array<long>, n_short int")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -138,13 +145,17 @@ def length_and_place(limit: Fraction, n: Column, pos: Column, n2: Column, pos2:
     return alike & (F.least(n - pos, n2 - pos2) >= needed(limit, n, n2))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
-    """(u, v) of the pairs (a, b) that are alike. Each pair comes once; the suffix filter is applied before the sets are read."""
-    info = nodes.select("id", "n", "ranges")
+def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, k: int, limit: Fraction) -> DataFrame:
+    """(u, v) of the pairs (a, b) that are alike. Each pair comes once. The suffix filter goes first: sets are made again only
+    for the documents of the pairs that it leaves."""
+    info = rows.select("id", "n", "ranges")
     side = lambda name: info.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("ranges").alias(f"r_{name}"))
     both = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     held = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("need", needed(limit, F.col("n_a"), F.col("n_b")))
-    held = held.where(both >= F.col("need")).select("a", "b", "need")
+    held = stored(held.where(both >= F.col("need")).select("a", "b", "need").distinct(), "pairs")
+    users = held.select(F.col("a").alias("id")).unionByName(held.select(F.col("b").alias("id"))).distinct()
+    users = narrow(stored(users.join(rows.select("id", "f1", "f2"), "id").distinct(), "users"))
+    sets = stored(whole_sets(texts.join(users, "id"), k), "sets")
     one = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"s_{name}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +175,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, limit: Fractio
     return held.join(one("a"), "a").join(one("b"), "b").select("a", "b", "need", "s_a", "s_b").mapInArrow(check, "u long, v long")
 
 
+def in_lists(rows: DataFrame) -> DataFrame:
+    """(token, id, n, pos, first, first_n, first_pos): entries of lists with several nodes, each with the list's first: the
+    node with the fewest rarer shingles. Which node it is changes no result, only how much is left for later."""
+    entry = F.posexplode("prefix").alias("pos", "token")
+    brief = rows.where("n_short > 0").select("id", "n", F.posexplode(F.slice("prefix", 1, F.col("n_short"))).alias("pos", "token"))
+    w = Window.partitionBy("token").orderBy("pos", "id")
+    names = [F.first(c).over(w).alias(f"first{t}") for c, t in (("id", ""), ("n", "_n"), ("pos", "_pos"))]
+    brief = brief.select("token", "id", "n", "pos", *names, F.row_number().over(w).alias("place"), F.lead("id").over(w).alias("next"))
+    brief = brief.where("place > 1 OR next IS NOT NULL").drop("place", "next")
+    long = rows.where("n_short < size(prefix)").select("id", "n", "n_short", entry).where("pos >= n_short").drop("n_short")
+    rank = F.shiftleft(F.col("pos").cast("long"), 32) + F.pmod("id", F.lit(1 << 32))
+    shape = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
+    lists = long.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", rank).alias("first"), F.min_by(shape, rank).alias("shape"))
+    lists = lists.where("members > 1").select(
+        "token", "members", "first", F.shiftright("shape", 32).cast("int").alias("first_n"), F.col("shape").bitwiseAND(0xFFFFFFFF).cast("int").alias("first_pos")
+    )
+    lists = stored(lists, "lists")
+    entries = lists.agg(F.sum("members")).first()[0] or 0
+    is_hot = F.col("members") > HOT_SHARE * entries
+    hot = F.broadcast(lists.where(is_hot).drop("members"))
+    cold = long.join(hot.select("token"), "token", "left_anti").join(lists.where(~is_hot).drop("members"), "token")
+    return brief.unionByName(long.join(hot, "token")).unionByName(cold)
+
+
 def near_components(
     docs: DataFrame, k: int = 5, limit: str = "0.8", id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -171,34 +206,24 @@ def near_components(
     share = Fraction(limit)
     texts = keyed(docs, id_col, text_col)
     table = frequencies(texts, k)
-    rows = stored(prefixes(texts, k, share, table), "prefixes")
-    chosen = rows.select("id", "f1", "f2", "n").groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("f")).select("id", "f.*")
-    chosen = stored(chosen, "chosen")
-    nodes = chosen.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"))
-    nodes = stored(rows.join(nodes, ["id", "f1", "f2"]).dropDuplicates(["id"]), "nodes")
-    tokens = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("pos", "id", "n")).alias("first")).where("members > 1")
-    lists = stored(lists.select("token", "first"), "lists")
-    parts = lists.select("token", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = tokens.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    shared = stored(salted.join(parts, ["token", "salt"]).drop("salt"), "shared")
-    fits = length_and_place(share, F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"))
-    stars = shared.where((F.col("id") != F.col("first.id")) & fits)
-    stars = stored(stars.select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct(), "stars")
-    users = narrow(stored(shared.select("id").distinct().join(nodes.select("id", "f1", "f2"), "id"), "users"))
-    sets = stored(whole_sets(texts.join(users, "id"), k), "sets")
-    links = stored(verified(stars, nodes, sets, share), "links-1")
+    every = stored(prefixes(texts, k, share, table), "prefixes")
+    chosen = stored(every.groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("f")).select("id", "f.*"), "chosen")
+    nodes = stored(chosen.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id")), "nodes")
+    rows = every.join(narrow(nodes), ["id", "f1", "f2"])
+    shared = stored(in_lists(rows), "shared")
+    fits = length_and_place(share, F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos"))
+    stars = stored(shared.where((F.col("id") != F.col("first")) & fits).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "stars")
+    links = stored(verified(stars, rows, texts, k, share), "links-1")
     labels = components(links)
     # Lists that still hold several labels: nodes outside the first node's label meet all others that differ.
     label = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    firsts = lists.select("token", F.col("first.id").alias("id")).join(labels, "id", "left")
-    firsts = firsts.select("token", F.coalesce("label", "id").alias("main"))
-    held = stored(label(shared.select("token", "id", "n", "pos")).join(firsts, "token"), "labelled")
+    main = labels.select(F.col("id").alias("first"), F.col("label").alias("main"))
+    held = label(shared.select("token", "id", "n", "pos", "first")).join(main, "first", "left").withColumn("main", F.coalesce("main", "first"))
+    held = stored(held.drop("first"), "labelled")
+    open_lists = held.where("label <> main").select("token").distinct()
     head = F.slice(F.col("prefix"), F.lit(1), F.col("pos"))
-    others = held.where("label <> main")
-    open_lists = others.select("token").distinct()
-    members = held.join(open_lists, "token").join(nodes.select("id", "prefix"), "id").select("token", "id", "n", "pos", "label", "main", head.alias("head"))
-    members = stored(members, "members")
+    members = held.join(open_lists, "token", "left_semi").join(rows.select("id", "prefix"), "id")
+    members = stored(members.select("token", "id", "n", "pos", "label", "main", head.alias("head")), "members")
     x = members.where("label <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "label", "head")])
     y = members.select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "label", "main", "head")])
     rest = x.join(y, "token").where(
@@ -207,11 +232,11 @@ def near_components(
         & ~F.arrays_overlap("head_x", "head_y")  # only at the first shingle that both prefixes share
     )
     rest = stored(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    more = stored(verified(rest, nodes, sets, share), "links-2")
+    more = stored(verified(rest, rows, texts, k, share), "links-2")
     labels = components(links.unionByName(more))
     named = nodes.select("id", "f1", "f2").join(labels, "id", "left").select("f1", "f2", F.coalesce("label", "id").alias("label"))
     comp = chosen.join(named, ["f1", "f2"], "left").select("id", F.coalesce("label", "id").alias("label"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return rows.select("id", "n").join(comp, "id").select(
+    return every.select("id", "n").join(comp, "id").select(
         real("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("label").alias("component_id")
     )
