@@ -75,3 +75,23 @@ def test_rolling():
     v = np.array([5, 6, 7, 5, 6, 7, 8], np.uint64)
     h = S.rolling(v, S.BASE, 3)
     assert h[0] == h[3] and len(set(h.tolist())) == 4
+
+
+def test_sorted_pass_carries_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(8), rng.choice([-2, 0, 1]), rng.randrange(20)) for _ in range(300))
+    least = {}
+    for h, b, i in rows:
+        least.setdefault((h, b), i)
+    want = [(i, h) for h, b, i in rows if b < 0 or i > least[h, b]]
+    for size in (1, 3, 50, 300):
+        parts = [rows[a : a + size] for a in range(0, 300, size)]
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array([r[1] for r in p], pa.int32()), pa.array([r[2] for r in p]), pa.array([r[0] for r in p])], ["bucket", "id", "hash"])
+            for p in parts
+        ]
+        got = [(r["id"], r["hash"]) for b in S.later_ones(iter(batches)) for r in b.to_pylist()]
+        assert got == want and np.int64(len(got)) > 0

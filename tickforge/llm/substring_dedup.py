@@ -2,8 +2,9 @@
 
 Tasks hash every window by Rabin-Karp: a running polynomial over word hashes, so each window costs a few operations. Equal
 windows of a slice of texts are counted before the shuffle, which keeps a passage that very many documents share from
-meeting in one task. The rest is sent packed (ids with counts, hashes) by hash bucket; Spark finds the least id of each
-hash by a window function and tells the other documents, where the repeated windows merge into maximal removal intervals.
+meeting in one task. The rest is sent packed (ids with counts, hashes) by hash bucket; Spark sorts each part by hash and id,
+and one pass over the sorted rows tells the documents after the first of each hash, where the repeated windows merge into
+maximal removal intervals.
 A window is known by 64 bits and its bucket, which comes from a second polynomial.
 
 Defined cases: a null text has no words; fewer words than a window are all kept; a null id is an ordinary id, below all
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -120,11 +121,28 @@ def repeated(docs: DataFrame, k: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(6, min(14, (2 * parts - 1).bit_length()))
     rows = unpacked(packed(docs, k, buckets).repartition(parts, "bucket"))
-    least = F.min("id").over(Window.partitionBy("hash", "bucket"))
-    found = rows.withColumn("least", least).where((F.col("bucket") < 0) | (F.col("id") > F.col("least")))
+    found = rows.sortWithinPartitions("hash", "bucket", "id").mapInArrow(later_ones, "id long, hash long")
     return found.groupBy("id").agg(F.collect_list("hash").alias("gone"))
 
 
+def later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by hash, bucket and id, those of a larger id than their hash's least; all of negative buckets."""
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, ids, hashes = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(ids), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (bucket[1:] != bucket[:-1])
+        least = ids.copy()
+        if last is not None and (hashes[0], bucket[0]) == last[:2]:
+            least[0] = last[2]
+        least = least[np.flatnonzero(new)][np.cumsum(new) - 1]
+        last = (hashes[-1], bucket[-1], least[-1])
+        keep = pa.array((bucket < 0) | (ids > least))
+        yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), batch.column(2).filter(keep)], ["id", "hash"])
+
+
 def removed(rows: DataFrame, k: int) -> DataFrame:
     """rows (id, text, gone) with the words of repeated windows taken out."""
 
