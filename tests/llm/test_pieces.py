@@ -61,11 +61,25 @@ def test_decode_and_table_bound(spark, library, monkeypatch):
 
     model = P.Model(Path(vocabulary(MODEL)).read_bytes())
     for t in ("one two three four", "five six seven", "one " * 30):
-        assert model.encode(pa.array([t])).to_pylist() == [library.encode(t)] and len(model.table) <= 8
+        assert model.encode(pa.array([t])).to_pylist() == [library.encode(t)] and len(model.index) <= 4
     with pytest.raises(ValueError):
         model.decode(pa.array([[32000]], pa.list_(pa.int32())))
 
 
+def test_both_relaxations(library, monkeypatch):
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    for short in (0, 3, 10_000):
+        monkeypatch.setattr(P, "SHORT", short)
+        monkeypatch.setattr(P, "INDEXED", 100)
+        model = P.Model(Path(vocabulary(MODEL)).read_bytes())
+        for t in texts()[1:80]:
+            if len(t) < 400:
+                assert model.encode(pa.array([t])).to_pylist() == [library.encode(t)]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     text = rng.integers(0, 3, 200)

@@ -2,7 +2,8 @@
 
 The distinct units (words with the spaces before them) of a batch are concatenated and indexed by a suffix array. Every piece
 of the vocabulary is searched in it by bisection, which gives its occurrences: edges over the text. The edges are sorted by
-position and relaxed unit by unit: the best-scored edge that spans two neighbouring symbols joins them, until none does. That is
+position (a counting sort: a row for each position) and relaxed: in every unit the best-scored edge that spans two neighbouring
+symbols joins them, until none does; short units go through this side by side, long ones by a heap. That is
 the model's own rule; a shortest path over the same edges would give other pieces than a BPE model does. Units and ids come back
 to whole documents by array gathers.
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -28,8 +29,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .words import list_array, slices
 
 MARK = "▁"
-#: Distinct units kept by a worker, each of at most KEPT_CHARS; the table starts anew when it is full.
-KEPT, KEPT_CHARS = 300_000, 40
+#: Distinct units that a worker keeps, with at most 12 characters each on average; the table starts anew when it is full.
+KEPT = 300_000
+#: Bytes of text worked on at once, characters indexed at once, and the longest unit that is relaxed beside others.
+SLICE, INDEXED, SHORT = 2_000_000, 300_000, 200
 BREAK = 0x110000
 
 
@@ -80,32 +83,67 @@ def occurrences(text: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths
     return low, high
 
 
-def relax(n: int, edges: dict[tuple[int, int], int], scores: list[float]) -> list[tuple[int, int]]:
-    """Spans of the symbols that are left of n characters: the best-scored edge over two neighbours joins them, the left one
-    among equals."""
+def relax(n: int, cost: Callable[[int, int], float]) -> list[tuple[int, int]]:
+    """Spans of the symbols that are left of n characters. cost(start, stop): of the edge, infinite if there is none."""
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(-scores[e], i, i + 2) for i in range(n - 1) if (e := edges.get((i, i + 2))) is not None]
+    heap = [(c, i, i + 2) for i in range(n - 1) if (c := cost(i, i + 2)) < np.inf]
     heapq.heapify(heap)
     live = [True] * n
     while heap:
         _, i, stop = heapq.heappop(heap)
-        if not live[i]:
-            continue
         j = end[i]
-        if j >= n or end[j] != stop:
+        if not live[i] or j >= n or end[j] != stop:
             continue
         live[j] = False
         end[i] = stop
         if stop < n:
             before[stop] = i
-            if (e := edges.get((i, end[stop]))) is not None:
-                heapq.heappush(heap, (-scores[e], i, end[stop]))
+            if (c := cost(i, end[stop])) < np.inf:
+                heapq.heappush(heap, (c, i, end[stop]))
         h = before[i]
-        if h >= 0 and (e := edges.get((h, stop))) is not None:
-            heapq.heappush(heap, (-scores[e], h, stop))
+        if h >= 0 and (c := cost(h, stop)) < np.inf:
+            heapq.heappush(heap, (c, h, stop))
     return [(i, end[i]) for i in range(n) if live[i]]
 
 
+def relax_together(starts: np.ndarray, sizes: np.ndarray, cost: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of what is left of all units, each of which joins its best neighbours, the left ones among equals, once a round."""
+    unit = np.repeat(np.arange(len(starts)), sizes)
+    first = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[unit]
+    stop = first + 1
+    none = np.full(len(unit), np.inf)
+    pair = none.copy()
+    inner = unit[1:] == unit[:-1]
+    pair[:-1][inner] = cost(first[:-1][inner], stop[1:][inner])
+    done = []
+    while len(unit):
+        heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        counts = np.diff(np.concatenate([heads, [len(unit)]]))
+        least = np.repeat(np.minimum.reduceat(pair, heads), counts)
+        over = np.isinf(least)
+        if over.any():
+            done.append((first[over], stop[over]))
+            unit, first, stop, pair, least = (x[~over] for x in (unit, first, stop, pair, least))
+            if not len(unit):
+                break
+        at = np.flatnonzero(pair == least)
+        at = at[np.concatenate([[True], unit[at][1:] != unit[at][:-1]])]
+        stop[at] = stop[at + 1]
+        keep = np.ones(len(unit), bool)
+        keep[at + 1] = False
+        at = np.cumsum(keep)[at] - 1
+        unit, first, stop, pair = (x[keep] for x in (unit, first, stop, pair))
+        for i in (at, at[at > 0] - 1):
+            linked = np.flatnonzero((i + 1 < len(unit)) & (unit[i] == unit[np.minimum(i + 1, len(unit) - 1)]))
+            pair[i] = np.inf
+            pair[i[linked]] = cost(first[i[linked]], stop[i[linked] + 1])
+    if not done:
+        return first, stop
+    first, stop = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(first)
+    return first[order], stop[order]
+
+
 class Model:
     """A BPE model's pieces, scores and byte pieces."""
 
@@ -136,38 +174,80 @@ class Model:
         if self.unknown >= 0:
             raw[self.unknown] = " ⁇ ".encode()
         self.raw = pa.array(raw, pa.binary())
-        self.table: dict[str, np.ndarray] = {}
-
-    def leaf(self, char: str) -> list[int]:
-        if (i := self.single.get(char)) is not None:
-            return [i]
-        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
-
-    def match(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit."""
+        self.one = np.full(0x110000, -1, np.int32)
+        for c, i in self.single.items():
+            self.one[ord(c)] = i
+        self.cost = -np.array(self.scores)
+        self.wide = int(self.lengths.max())
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.sizes, self.chars = np.empty(0, np.int32), np.empty(0, np.int64), 0
+
+    def leaf(self, code: int) -> list[int]:
+        return [self.bytes[b] for b in chr(code).encode()] if self.bytes else [self.unknown]
+
+    def match(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, how many each has)."""
         sizes = np.array([len(u) for u in units])
         joined = np.frombuffer("\0".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         joined[(starts + sizes)[:-1]] = BREAK
-        order = suffix_array(joined, int(self.lengths.max()))
+        order = suffix_array(joined, self.wide)
         low, high = occurrences(joined, order, self.pieces, self.lengths)
+        edges = np.full((len(joined), self.wide + 1), -1, np.int32)
         found = np.flatnonzero(high > low)
         many = high[found] - low[found]
-        which = np.repeat(found, many)
-        at = order[np.repeat(low[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())] if len(found) else np.empty(0, np.int64)
-        by = np.argsort(at, kind="stable")
-        at, which = at[by], which[by]
-        stop, ids = (at + self.lengths[which]).tolist(), self.ids[which].tolist()
-        bounds = np.searchsorted(at, np.concatenate([starts, [len(joined) + 1]])).tolist()
-        at, out = at.tolist(), []
-        for u, (unit, start) in enumerate(zip(units, starts.tolist(), strict=True)):
-            a, b = bounds[u], bounds[u + 1]
-            edges = {(at[e] - start, stop[e] - start): ids[e] for e in range(a, b)}
-            got: list[int] = []
-            for i, j in relax(len(unit), edges, self.scores):
-                got += self.leaf(unit[i]) if j == i + 1 else [edges[i, j]]
-            out.append(np.array(got, np.int32))
-        return out
+        at = order[np.repeat(low[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        edges[at, np.repeat(self.lengths[found], many)] = np.repeat(self.ids[found], many)
+
+        def cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            size = b - a
+            e = edges[a, np.minimum(size, self.wide)]
+            return np.where((size <= self.wide) & (e >= 0), self.cost[e], np.inf)
+
+        brief = sizes <= SHORT
+        first, stop = relax_together(starts[brief], sizes[brief], cost)
+        spans = [(first, stop)]
+        for u in np.flatnonzero(~brief):
+            s = int(starts[u])
+
+            def own(a: int, b: int, s: int = s) -> float:
+                e = edges[s + a, b - a] if b - a <= self.wide else -1
+                return self.cost[e] if e >= 0 else np.inf
+
+            left = np.array(relax(int(sizes[u]), own)) + s
+            spans.append((left[:, 0], left[:, 1]))
+        first, stop = (np.concatenate(x) for x in zip(*spans, strict=True))
+        by = np.argsort(first)
+        first, stop = first[by], stop[by]
+        ids = np.where(stop - first > 1, edges[first, np.minimum(stop - first, self.wide)], self.one[joined[first]])
+        unit = np.searchsorted(starts, first, side="right") - 1
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):  # characters without a piece
+            leaves = [self.leaf(int(c)) for c in joined[first[bare]]]
+            grown = np.ones(len(ids), np.int64)
+            grown[bare] = [len(x) for x in leaves]
+            place = np.cumsum(grown) - grown
+            wide = np.repeat(ids, grown)
+            for p, x in zip(place[bare].tolist(), leaves, strict=True):
+                wide[p : p + len(x)] = x
+            ids, unit = wide, np.repeat(unit, grown)
+        return ids.astype(np.int32), np.bincount(unit, minlength=len(units))
+
+    def learn(self, units: list[str]) -> None:
+        a = 0
+        while a < len(units):
+            b, chars = a, 0
+            while b < len(units) and (b == a or chars + len(units[b]) <= INDEXED):
+                chars += len(units[b])
+                b += 1
+            ids, sizes = self.match(units[a:b])
+            self.index.update(zip(units[a:b], range(len(self.index), len(self.index) + b - a), strict=True))
+            self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+            self.chars += chars
+            a = b
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         units: list[str] = []
@@ -178,21 +258,16 @@ class Model:
                 units += self.units(MARK + t.replace(" ", MARK))
             counts.append(len(units) - before)
         coded = pa.array(units, pa.string()).dictionary_encode()
+        del units
         distinct = coded.dictionary.to_pylist()
-        new = [u for u in distinct if u not in self.table]
-        fresh = dict(zip(new, self.match(new), strict=True)) if new else {}
-        parts = [fresh[u] if u in fresh else self.table[u] for u in distinct]
-        if len(self.table) + len(fresh) > KEPT:
-            self.table.clear()
-        self.table.update((u, v) for u, v in fresh.items() if len(u) <= KEPT_CHARS)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        own = sizes[codes] if len(codes) else np.empty(0, np.int64)
+        self.learn([u for u in distinct if u not in self.index])
+        places = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        own = self.sizes[places]
         ends = np.cumsum(own)
-        ids = flat[np.repeat(firsts[codes] - (ends - own), own) + np.arange(own.sum())] if len(codes) else flat
+        ids = self.flat[np.repeat((np.cumsum(self.sizes) - self.sizes)[places] - (ends - own), own) + np.arange(own.sum())]
         marks = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        if len(self.index) > KEPT or self.chars > 12 * KEPT:
+            self.clear()
         return list_array(pa.array(ids, pa.int32()), np.diff(marks))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
@@ -222,7 +297,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared)
-        for part in slices(batches, len(own)):
+        for part in slices(batches, len(own), SLICE):
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], model.encode(part.column(len(own)))], [*own, ids_col])
 
     schema = docs.select(*own).schema.add(ids_col, ArrayType(IntegerType()))
