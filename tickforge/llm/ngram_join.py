@@ -51,14 +51,15 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     size, chunk = 1 << FREQUENCY_BITS, 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for part in slices(batches, 1):
             _, h = shingles(*split(part.column(1), lower=True), k)
-            total += np.bincount((h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=size)
+            bucket, many = np.unique(h >> np.uint64(64 - FREQUENCY_BITS), return_counts=True)
+            total[bucket.astype(np.int64)] += many.astype(np.uint32)
         rows = total.reshape(-1, chunk)
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int64()), pa.array([zlib.compress(rows[i].astype(np.uint32).tobytes(), 1) for i in used], pa.binary())], ["chunk", "counts"]
+            [pa.array(used, pa.int64()), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in used], pa.binary())], ["chunk", "counts"]
         )
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,28 +176,37 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, k: int, limit:
     return held.join(one("a"), "a").join(one("b"), "b").select("a", "b", "need", "s_a", "s_b").mapInArrow(check, "u long, v long")
 
 
-def in_lists(rows: DataFrame) -> DataFrame:
-    """(token, id, n, pos, first, first_n, first_pos): entries of lists with several nodes, each with the list's first: the
-    node with the fewest rarer shingles. Which node it is changes no result, only how much is left for later."""
+def entries_of(rows: DataFrame) -> DataFrame:
+    """(token, id, n, pos): prefix entries. Those of short lists have a neighbour in the list: one shuffle finds them."""
     entry = F.posexplode("prefix").alias("pos", "token")
     brief = rows.where("n_short > 0").select("id", "n", F.posexplode(F.slice("prefix", 1, F.col("n_short"))).alias("pos", "token"))
-    w = Window.partitionBy("token").orderBy("pos", "id")
-    names = [F.first(c).over(w).alias(f"first{t}") for c, t in (("id", ""), ("n", "_n"), ("pos", "_pos"))]
-    brief = brief.select("token", "id", "n", "pos", *names, F.row_number().over(w).alias("place"), F.lead("id").over(w).alias("next"))
-    brief = brief.where("place > 1 OR next IS NOT NULL").drop("place", "next")
-    long = rows.where("n_short < size(prefix)").select("id", "n", "n_short", entry).where("pos >= n_short").drop("n_short")
-    rank = F.shiftleft(F.col("pos").cast("long"), 32) + F.pmod("id", F.lit(1 << 32))
+    w = Window.partitionBy("token").orderBy("id")
+    brief = brief.withColumn("before", F.lag("id").over(w)).withColumn("next", F.lead("id").over(w))
+    brief = brief.where("before IS NOT NULL OR next IS NOT NULL").select("token", "id", "n", "pos")
+    long = rows.where("n_short < size(prefix)").select("id", "n", "n_short", entry).where("pos >= n_short")
+    return brief.unionByName(long.select("token", "id", "n", "pos"))
+
+
+def in_lists(rows: DataFrame, limit: Fraction) -> DataFrame:
+    """(token, id, n, pos, first, first_n, first_pos): entries of lists with several nodes, each with the list's first: the
+    node with the largest share of its prefix in such lists. So lists of one group of near copies have few different firsts.
+    Which node it is changes no result, only how much is left for later."""
+    entries = stored(entries_of(rows), "entries")
+    met = narrow(stored(entries.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "met"))
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(limit.numerator) / F.lit(limit.denominator) - 1e-9) + 1
+    alone = F.floor((1 - F.least(F.col("met") / length, F.lit(1.0))) * (1 << 20)).cast("long")
+    ranked = entries.join(met, "id").select("token", "id", "n", "pos", (F.shiftleft(alone, 32) + F.pmod("id", F.lit(1 << 32))).alias("rank"))
     shape = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
-    lists = long.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", rank).alias("first"), F.min_by(shape, rank).alias("shape"))
+    lists = ranked.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", "rank").alias("first"), F.min_by(shape, "rank").alias("shape"))
     lists = lists.where("members > 1").select(
         "token", "members", "first", F.shiftright("shape", 32).cast("int").alias("first_n"), F.col("shape").bitwiseAND(0xFFFFFFFF).cast("int").alias("first_pos")
     )
     lists = stored(lists, "lists")
-    entries = lists.agg(F.sum("members")).first()[0] or 0
-    is_hot = F.col("members") > HOT_SHARE * entries
+    total = lists.agg(F.sum("members")).first()[0] or 0
+    is_hot = F.col("members") > HOT_SHARE * total
     hot = F.broadcast(lists.where(is_hot).drop("members"))
-    cold = long.join(hot.select("token"), "token", "left_anti").join(lists.where(~is_hot).drop("members"), "token")
-    return brief.unionByName(long.join(hot, "token")).unionByName(cold)
+    cold = entries.join(hot.select("token"), "token", "left_anti").join(lists.where(~is_hot).drop("members"), "token")
+    return entries.join(hot, "token").unionByName(cold)
 
 
 def near_components(
@@ -210,7 +220,7 @@ def near_components(
     chosen = stored(every.groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("f")).select("id", "f.*"), "chosen")
     nodes = stored(chosen.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id")), "nodes")
     rows = every.join(narrow(nodes), ["id", "f1", "f2"])
-    shared = stored(in_lists(rows), "shared")
+    shared = stored(in_lists(rows, share), "shared")
     fits = length_and_place(share, F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos"))
     stars = stored(shared.where((F.col("id") != F.col("first")) & fits).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "stars")
     links = stored(verified(stars, rows, texts, k, share), "links-1")
