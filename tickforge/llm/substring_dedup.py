@@ -25,6 +25,8 @@ from .common import stored
 from .words import list_array, mix, slices, split, word_hashes
 
 WINDOW = 50
+#: Bytes of text worked on at once: several workers share an executor's memory.
+SLICE = 2_000_000
 #: Odd bases of the two polynomials, modulo 2**64.
 BASE, BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 NULL_ID = -(2**63)
@@ -82,7 +84,7 @@ def packed(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SLICE):
             text, _, h, h2 = window_hashes(part.column(1), k)
             if not len(h):
                 continue
@@ -147,7 +149,7 @@ def removed(rows: DataFrame, k: int) -> DataFrame:
     """rows (id, text, gone) with the words of repeated windows taken out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SLICE):
             touched = np.flatnonzero(part.column(2).is_valid().to_numpy(zero_copy_only=False))
             covers: dict[int, list[tuple[int, int]]] = {}
             if len(touched):
