@@ -2,8 +2,8 @@
 
 Documents of equal sets are one node. Shingles are put in one order for all, rare ones first, by a counted table of hash
 buckets; a set's first shingles are its prefix. Nodes meet in the lists of the prefix shingles that they share, and pairs
-pass length and positional filters, then a suffix filter on the counts of shingles by hash range, and are verified once
-on the whole sets. To keep groups of near copies linear, each list's nodes first meet only its first node; what these
+pass length and positional filters, then a suffix filter on parity sketches (a bit for each hash range tells whether it holds
+an odd number of shingles, so the bits that differ bound the shingles not shared), and are verified once on the whole sets. To keep groups of near copies linear, each list's nodes first meet only its first node; what these
 links join is one label, and only nodes of different labels meet after that. No link between labels is lost, so the
 components are those of all links.
 
@@ -29,7 +29,8 @@ from .words import list_array, mix, shingles, slices, split
 
 #: Hash buckets of the table of shingle frequencies: 16 MB for each task, whatever the data.
 FREQUENCY_BITS, CHUNK_BITS = 22, 14
-RANGES = 16
+#: Longs of a set's parity sketch.
+SKETCH = 8
 #: Id tables up to this many rows (at most 40 MB) may be broadcast.
 NARROW_ROWS = 500_000
 #: A shingle whose bucket counts at most so many documents has a list that one task may sort; longer lists are counted
@@ -82,7 +83,7 @@ def ceil_of(share: Fraction, n: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, limit: Fraction, table: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, ranges, prefix, n_short): set size, fingerprint of the set, shingles by hash range, the rarest
+    """(id, n, f1, f2, sketch, prefix, n_short): set size, fingerprint of the set, parity by hash range, the rarest
     n - ceil(limit * n) + 1 shingles in order, and how many of these, the first, have short lists."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -97,7 +98,9 @@ def prefixes(docs: DataFrame, k: int, limit: Fraction, table: np.ndarray) -> Dat
             for seed in (1, 2):
                 with_zero = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ mix(np.array([seed], np.uint64))), dtype=np.uint64)])
                 sums.append((with_zero[ends] - with_zero[ends - n]).view(np.int64))
-            ranges = np.bincount(text * RANGES + (mix(h) >> np.uint64(60)).astype(np.int64), minlength=rows * RANGES)
+            bit = (mix(h) >> np.uint64(55)).astype(np.int64)
+            odd = np.bincount(text * 64 * SKETCH + bit, minlength=rows * 64 * SKETCH).astype(np.uint8) & 1
+            sketch = np.packbits(odd).view(np.int64)
             often = rare[(h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
             order = np.lexsort((h, often, text))
             place = np.arange(len(h)) - np.repeat(ends - n, n)
@@ -107,11 +110,11 @@ def prefixes(docs: DataFrame, k: int, limit: Fraction, table: np.ndarray) -> Dat
             brief = np.bincount(text[order][head & (often[order] <= SHORT_LIST)], minlength=rows)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]),
-                 list_array(pa.array(ranges.astype(np.int32)), np.full(rows, RANGES)), list_array(pa.array(first), length), pa.array(brief.astype(np.int32))],
-                ["id", "n", "f1", "f2", "ranges", "prefix", "n_short"],
+                 list_array(pa.array(sketch), np.full(rows, SKETCH)), list_array(pa.array(first), length), pa.array(brief.astype(np.int32))],
+                ["id", "n", "f1", "f2", "sketch", "prefix", "n_short"],
             )
 
-    return docs.mapInArrow(cut, "id long, n int, f1 long, f2 long, ranges array<int>, prefix array<long>, n_short int")
+    return docs.mapInArrow(cut, "id long, n int, f1 long, f2 long, sketch array<long>, prefix array<long>, n_short int")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -146,14 +149,23 @@ def length_and_place(limit: Fraction, n: Column, pos: Column, n2: Column, pos2:
     return alike & (F.least(n - pos, n2 - pos2) >= needed(limit, n, n2))
 
 
+def sketches_allow(limit: Fraction, n: Column, sketch: Column, n2: Column, sketch2: Column) -> Column:
+    """Whether no more sketch bits differ than sets that are alike may have shingles not shared."""
+    differ = None
+    for i in range(SKETCH):
+        bits = F.bit_count(F.get(sketch, F.lit(i)).bitwiseXOR(F.get(sketch2, F.lit(i))))
+        differ = bits if differ is None else differ + bits
+    return differ <= n.cast("long") + n2.cast("long") - 2 * needed(limit, n, n2)
+
+
 def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, k: int, limit: Fraction) -> DataFrame:
     """(u, v) of the pairs (a, b) that are alike. Each pair comes once. The suffix filter goes first: sets are made again only
     for the documents of the pairs that it leaves."""
-    info = rows.select("id", "n", "ranges")
-    side = lambda name: info.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("ranges").alias(f"r_{name}"))
-    both = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    info = rows.select("id", "n", "sketch")
+    side = lambda name: info.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"k_{name}"))
     held = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("need", needed(limit, F.col("n_a"), F.col("n_b")))
-    held = stored(held.where(both >= F.col("need")).select("a", "b", "need").distinct(), "pairs")
+    held = held.where(sketches_allow(limit, F.col("n_a"), F.col("k_a"), F.col("n_b"), F.col("k_b")))
+    held = stored(held.select("a", "b", "need").distinct(), "pairs")
     users = held.select(F.col("a").alias("id")).unionByName(held.select(F.col("b").alias("id"))).distinct()
     users = narrow(stored(users.join(rows.select("id", "f1", "f2"), "id").distinct(), "users"))
     sets = stored(whole_sets(texts.join(users, "id"), k), "sets")
@@ -231,15 +243,13 @@ def near_components(
     held = label(shared.select("token", "id", "n", "pos", "first")).join(main, "first", "left").withColumn("main", F.coalesce("main", "first"))
     held = stored(held.drop("first"), "labelled")
     open_lists = held.where("label <> main").select("token").distinct()
-    head = F.slice(F.col("prefix"), F.lit(1), F.col("pos"))
-    members = held.join(open_lists, "token", "left_semi").join(rows.select("id", "prefix"), "id")
-    members = stored(members.select("token", "id", "n", "pos", "label", "main", head.alias("head")), "members")
-    x = members.where("label <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "label", "head")])
-    y = members.select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "label", "main", "head")])
+    members = held.join(open_lists, "token", "left_semi").join(rows.select("id", "sketch"), "id")
+    x = members.where("label <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "label", "sketch")])
+    y = members.select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "label", "main", "sketch")])
     rest = x.join(y, "token").where(
         (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main_y")) | (F.col("id_x") < F.col("id_y")))
         & length_and_place(share, F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"))
-        & ~F.arrays_overlap("head_x", "head_y")  # only at the first shingle that both prefixes share
+        & sketches_allow(share, F.col("n_x"), F.col("sketch_x"), F.col("n_y"), F.col("sketch_y"))
     )
     rest = stored(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     more = stored(verified(rest, rows, texts, k, share), "links-2")
