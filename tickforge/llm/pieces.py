@@ -30,9 +30,11 @@ from .words import list_array, slices
 
 MARK = "▁"
 #: Distinct units that a worker keeps, with at most 12 characters each on average; the table starts anew when it is full.
-KEPT = 300_000
+KEPT = 200_000
 #: Bytes of text worked on at once, characters indexed at once, and the longest unit that is relaxed beside others.
 SLICE, INDEXED, SHORT = 2_000_000, 300_000, 200
+#: Documents decoded at once.
+DECODED = 500
 BREAK = 0x110000
 
 
@@ -311,7 +313,10 @@ def decode_pieces(spark, model_path: str):
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        return _model(key, shared).decode(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids)
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        model = _model(key, shared)
+        parts = [model.decode(ids.slice(a, DECODED)) for a in range(0, len(ids), DECODED)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decode
 
