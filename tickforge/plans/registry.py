@@ -18,6 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 NOW_MS = 1_706_745_625_000
 #: Rows of the first part of the feed, which the stored table holds before the batch comes.
 STORED_BEFORE = "2024-01-16 00:00"
+#: Event ids of one landed line. Ids are unique, so a line holds at most so many candles, about 100 bytes each.
+LINE_IDS = 10_000
 
 
 def query(sql: str | None = None):
@@ -80,7 +82,7 @@ def q03_high_water_mark(spark, sf_dir):
 
 
 def raw_lines(spark, sf_dir) -> DataFrame:
-    """The event table as a landed feed: one JSON line of positional arrays of text for each user."""
+    """The event table as a landed feed: JSON lines of positional arrays of text, one for each user and LINE_IDS event ids."""
     text = lambda c: c.cast("string")
     ms = S.ntz_minute_ms(F.col("ts")) + F.pmod("event_id", F.lit(60_000))
     row = F.array(
@@ -88,7 +90,8 @@ def raw_lines(spark, sf_dir) -> DataFrame:
         F.col("event_type"), text(F.col("value")), F.when(F.pmod("event_id", F.lit(7)) == 0, "").otherwise(text(F.col("user_id"))),
         *[F.lit("0")] * 6,
     )
-    return events(spark, sf_dir).groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
+    part = (F.col("event_id") - F.pmod("event_id", F.lit(LINE_IDS))).alias("part")
+    return events(spark, sf_dir).groupBy("user_id", part).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value")).drop("part")
 
 
 @query("""SELECT epoch_ms(ts) - epoch_ms(ts) % 60000 + event_id % 60000 AS open_time_ms,
