@@ -1,7 +1,11 @@
 """Registered candle queries on odd event tables."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
+from tickforge.operators import model
 from tickforge.plans import registry
 
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
@@ -24,3 +28,17 @@ def test_lines_of_a_large_user_are_bounded(spark, tmp_path):
     got = registry.q04_normalise_candles(spark, folder)
     assert got.count() == n and got.where("user_id = 7").count() == rows.where("user_id = 7").count()
     assert got.agg(F.sum("close")).first()[0] == n * (n - 1) / 2
+
+
+def test_rows_left_out_of_the_fit_are_reported(spark, tmp_path):
+    rng = random.Random(6)
+    closes, v = [], 50.0
+    for _ in range(1500):
+        v *= math.exp(rng.gauss(0, 0.03))
+        closes.append(v)
+    closes[300] = 0.0
+    rows = spark.createDataFrame([(i, i, 1, "a", v) for i, v in enumerate(closes)], "event_id long, minute int, user_id long, event_type string, value double")
+    folder = events_table(spark, tmp_path, rows)
+    got = registry.q20_logit_table(spark, folder).collect()
+    assert len(got) == len(model.FEATURES) and {r.n_not_finite for r in got} == {2}
+    assert {r.n_rows for r in got} == {registry.q19_training_sample(spark, folder).count() - 2}

@@ -45,6 +45,14 @@ def training_sample(rows: DataFrame) -> DataFrame:
     return before_cut_off(complete_rows(rows))
 
 
+def all_finite(features: list[str] = FEATURES) -> Column:
+    """Whether all features of a complete row are finite: a zero close makes later rates of change infinite."""
+    found = F.lit(True)
+    for c in features:
+        found = found & (F.abs(F.col(c)) < float("inf"))
+    return found
+
+
 def fit_logit(sample: DataFrame, features: list[str] = FEATURES, label: str = "spike_flag") -> GeneralizedLinearRegressionModel:
     """Unpenalised logistic regression without an intercept."""
     wild = sample.where(" OR ".join(f"isnan({c}) OR abs({c}) = double('Infinity')" for c in features)).count()

@@ -272,9 +272,12 @@ def q19_training_sample(spark, sf_dir):
 
 @query()
 def q20_logit_table(spark, sf_dir):
-    finite = " AND ".join(f"abs({c}) < double('Infinity')" for c in model.FEATURES)
-    sample = stored(model.training_sample(stored(matrix(spark, sf_dir), "matrix")).where(finite), "sample")
-    return model.coefficient_table(model.fit_logit(sample), sample)
+    """The fit over rows with finite features. n_rows: the rows that it saw, n_not_finite: those of q19's sample left out."""
+    sample = stored(model.training_sample(stored(matrix(spark, sf_dir), "matrix")), "sample")
+    finite = model.all_finite()
+    counts = sample.agg(F.count_if(finite).alias("n_rows"), F.count_if(~finite).alias("n_not_finite")).first().asDict()
+    used = sample.where(finite)
+    return model.coefficient_table(model.fit_logit(used), used).withColumns({c: F.lit(n).cast("long") for c, n in counts.items()})
 
 
 SCORE_SQL = f"1 / (1 + exp(-({' + '.join(f'({v!r}) * {k}' for k, v in model.FROZEN.items())})))"
