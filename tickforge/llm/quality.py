@@ -29,8 +29,9 @@ from .words import SLICE_BYTES, mix, owner, split, word_hashes
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
 P = 5
-#: Least deviation of each transformed statistic: keeps estimates of near-constant statistics from being singular.
-FLOORS = (0.5, 0.08, 0.1, 0.2, 0.2)
+#: Least deviation of each transformed statistic: keeps estimates of near-constant statistics from being singular. The last two
+#: are small enough for repeated lines alone, and repeated words below MAX_REPEAT alone, to reach CUT: 1 / 0.17^2 and 0.3 / 0.098^2.
+FLOORS = (0.5, 0.08, 0.1, 0.17, 0.098)
 H, STEPS, MIN_ROWS = 0.75, 6, 100
 #: Probability of a larger distance for a clean Gaussian row.
 TAIL = 1e-5
