@@ -46,11 +46,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_small(df: DataFrame, table: DataFrame, key: str, salts: int = 32) -> DataFrame:
+def with_small(df: DataFrame, table: DataFrame, key: str, salts: int = 32, width: Column | None = None) -> DataFrame:
     """Left join to a table with one row a key. Broadcast if its rows are counted to be few;
-    else a shuffle join in which every key is spread over `salts` parts. Null keys match."""
+    else a shuffle join in which every key is spread over `salts` parts. Null keys match. width: how many rows of fixed
+    width a row counts for, where it holds arrays."""
     names = [c for c in table.columns if c != key]
-    if table.count() <= BROADCAST_ROWS:
+    rows = table.count() if width is None else table.agg(F.sum(width)).first()[0] or 0
+    if rows <= BROADCAST_ROWS:
         right = F.broadcast(table.withColumnRenamed(key, "__key"))
         on = df[key].eqNullSafe(right["__key"])
         return df.join(right, on, "left").drop("__key")
