@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tests.fixtures import SERIES, one_series, series, values
+from tests.fixtures import SERIES, SF, one_series, series, values
 from tickforge.functions import scalars as S
 from tickforge.operators import ingest, latest
 from tickforge.sources import candles as C
@@ -55,7 +55,7 @@ def test_insert_or_ignore(spark):
     batch = offers(spark, [("A", 60_000, 9.0, 1), ("A", 120_000, 3.0, 2), ("A", 120_001, 4.0, 3), ("A", 180_000, 5.0, 4), (None, 1, 1.0, 5), ("A", None, 1.0, 6)])
     new = ingest.insert_or_ignore(stored, batch, ["arrival"])
     assert sorted((r.open_time_ms, r.close) for r in new.collect()) == [(120_000, 3.0), (180_000, 5.0)]
-    report = ingest.sync_report(stored, batch.where("arrival < 5"), new).first()
+    report = ingest.sync_report(batch.where("arrival < 5"), new).first()
     assert (report.attempted, report.inserted, report.ignored) == (4, 2, 2)
     assert ingest.insert_or_ignore(stored, batch.limit(0), ["arrival"]).count() == 0
 
@@ -82,15 +82,46 @@ def test_raw_feed(spark):
     assert bad.count() == 1
 
 
-def test_table(spark):
-    spark.sql("DROP TABLE IF EXISTS t_candles")
-    ingest.create_if_absent(spark, "t_candles")
-    row = spark.createDataFrame([("S", 60000, "1970-01-01 02:01", 1.0, 1.0, 1.0, 1.0, 1.0)], "symbol string, open_time_ms long, open_time string, open double, high double, low double, close double, volume double")
-    row.withColumn("open_date", F.to_date(F.lit("1970-01-01"))).write.insertInto("t_candles")
-    ingest.create_if_absent(spark, "t_candles")
-    assert spark.table("t_candles").count() == 1
-    ingest.reset(spark, "t_candles")
-    assert spark.table("t_candles").count() == 0
+def test_table(spark, tmp_path):
+    name = f"t_{tmp_path.name}"
+    ingest.create_if_absent(spark, name)
+    rows = offers(spark, [("S", 60_000, 1.0, 1), ("S", 60_001, 2.0, 2), ("S/=%", 86_400_000 * 9, 3.0, 3)])
+    assert ingest.append_new(name, rows, ["arrival"]).count() == 2
+    assert ingest.append_new(name, rows, ["arrival"]).count() == 0
+    ingest.create_if_absent(spark, name)
+    assert {(r.symbol, str(r.open_date), r.close, r.low) for r in spark.table(name).collect()} == {("S", "1970-01-01", 1.0, None), ("S/=%", "1970-01-10", 3.0, None)}
+    ingest.reset(spark, name)
+    assert spark.table(name).count() == 0 and spark.table(name).schema == ingest.STORED
+    assert ingest.append_new(name, rows.limit(0), ["arrival"]).count() == 0
+    assert ingest.append_new(name, rows, ["arrival"]).count() == 2
+
+
+def test_a_batch_reads_only_its_days(spark, tmp_path):
+    name = f"t_{tmp_path.name}"
+    ingest.create_if_absent(spark, name)
+    days = [("S", d * 86_400_000 + m * 60_000, 1.0, d) for d in range(12) for m in range(3)]
+    ingest.append_new(name, offers(spark, days), ["arrival"])
+    batch = C.as_stored(offers(spark, [("S", 11 * 86_400_000, 5.0, 1), ("S", 11 * 86_400_000 + 600_000, 6.0, 2)]), "arrival")
+    old = ingest.on_days(spark.table(name), ingest.days_of(batch))
+    new = ingest.insert_or_ignore(old, batch, ["arrival"])
+    text = new._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "open_date" in text[text.index("PartitionFilters: ["):].split("]")[0]
+    assert [r.close for r in new.collect()] == [6.0]
+    assert len(old.inputFiles()) == 1  # of twelve
+
+
+def test_the_range_goes_down_to_the_scan(spark):
+    raw = spark.read.schema(C.EVENTS).parquet(f"{SF}/events.parquet")
+    ends = "2024-01-05 00:00", "2024-01-06 00:00"
+    rows = offers_of(C.events_between_text(raw, *ends))
+    text = ingest.first_of_minute(rows, ["arrival"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in text and "LessThan(ts," in text
+    kept = {r.arrival for r in rows.select("arrival").collect()}
+    assert kept == {r.arrival for r in offers_of(raw).where(F.col("open_time").between(*ends)).select("arrival").collect()}
+
+
+def offers_of(found):
+    return C.from_events(found).withColumn("open_time", S.local_minute_text(F.col("open_time_ms")))
 
 
 def test_latest(spark):

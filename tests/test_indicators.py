@@ -117,6 +117,55 @@ def test_golden_numbers_and_fit(spark):
     assert (counts["short"], counts["long"]) == (7472, 1088)
 
 
+def test_missing_closes_and_clashing_names(spark):
+    df = series(spark, [1.0, 2.0, None, 3.0, 4.0])
+    assert values(I.features(df, (I.Indicator("sma_ratio", 2),)), "sma_ratio_2")[1:4] == [4 / 3, None, None]
+    assert values(labels.forward_max(df, 2), "rolling_max") == [2, 2, 3, 4, 4]
+    for spec in (I.Indicator("rsi", 14), I.Indicator("macd_diff")):
+        with pytest.raises(Exception, match="a close is missing"):
+            I.features(df, (spec,)).collect()
+    named = df.na.drop().withColumns({c: F.lit("own") for c in ("rolling_max", "ROC_1", "p90", "spike_flag", "ema", "b")})
+    assert labels.forward_max(named, 2).columns.count("rolling_max") == 1
+    made = I.features(labels.spike_flag(labels.ratio(labels.forward_max(named, 2))), (I.Indicator("roc", 1),))
+    assert made.columns[-1] == "roc_1" and "ROC_1" not in made.columns and {r.b for r in made.collect()} == {"own"}
+    assert values(I.exponential_mean(named, 0.5), "ema") == [1, 1.5, 2.25, 3.125]
+    with pytest.raises(ValueError, match="underscores"):
+        I.features(df.withColumn("__i", F.lit(1)), (I.Indicator("roc", 1),))
+
+
+def test_a_saved_fit(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(x, int(rng.random() < 1 / (1 + math.exp(-2 * x)))) for x in (rng.gauss(0, 1) for _ in range(300))]
+    fit = model.fit_logit(spark.createDataFrame(rows, "x double, y int"), ["x"], "y")
+    model.save(fit, str(tmp_path / "m"))
+    assert model.coefficients_of(model.saved(str(tmp_path / "m")), ["x"]) == model.coefficients_of(fit, ["x"])
+
+
+def test_large_tables_join_by_salted_shuffle(spark, monkeypatch):
+    from tickforge.operators import joins
+
+    rng = random.Random(9)
+    rows = [(s, i * 60_000, rng.random()) for s in "ABC" for i in range(80)]
+    df = spark.createDataFrame(rows, "symbol string, open_time_ms long, close double")
+    run = lambda: sorted(map(tuple, labels.spike_flag(labels.ratio(labels.forward_max(df, 5))).collect()))
+    want = run()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    assert run() == want
+
+
+def test_brackets_narrow_until_few_rows_are_left(spark, monkeypatch):
+    rng = random.Random(3)
+    own = [rng.gauss(0, 1) for _ in range(4000)] + [math.inf] * 30 + [0.5] * 900
+    df = spark.createDataFrame([("big", v) for v in own] + [("ties", 1.0)] * 500, "symbol string, v double")
+    monkeypatch.setattr(labels, "WHOLE", 100)
+    monkeypatch.setattr(labels, "NEAR_ROWS", 60)
+    for q in (0.0, 0.3, 0.69, 0.9):
+        got = {r.symbol: r.q for r in labels.exact_quantile(df, "v", q, "q").collect()}
+        assert got == {"big": pytest.approx(np.quantile(np.array(own), q), rel=1e-12), "ties": 1.0}
+    inner = labels._brackets(df, 0.3).where("symbol = 'big'").first()
+    assert sum(inner.lo <= v <= inner.hi for v in own) <= 60
+
+
 def test_separable_labels_are_refused(spark):
     df = spark.createDataFrame([(float(x), int(x > 0)) for x in range(-20, 20) if x], "x double, y int")
     with pytest.raises(model.SeparationError):

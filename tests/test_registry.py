@@ -22,7 +22,7 @@ def test_lines_of_a_large_user_are_bounded(spark, tmp_path):
     n = 2 * registry.LINE_IDS + 500
     rows = spark.range(n).selectExpr("id AS event_id", "id % 1440 AS minute", "IF(id % 3 = 0, id, 7) AS user_id", "'a' AS event_type", "CAST(id AS DOUBLE) AS value")
     folder = events_table(spark, tmp_path, rows)
-    held = registry.raw_lines(spark, folder).select("user_id", F.size(F.from_json("value", "array<array<string>>")).alias("n"))
+    held = registry.raw_lines(registry.events(spark, folder)).select("user_id", F.size(F.from_json("value", "array<array<string>>")).alias("n"))
     top, total = held.agg(F.max("n"), F.sum("n")).first()
     assert total == n and top <= registry.LINE_IDS
     got = registry.q04_normalise_candles(spark, folder)

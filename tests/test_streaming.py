@@ -26,43 +26,74 @@ def rows(n=160):
 def test_ingest_and_late_rows(spark, tmp_path):
     every = rows()
     every[100:] = [(s, ms % 600_000, c, i) for s, ms, c, i in every[100:]]  # late
-    stream = land(spark, tmp_path, [every[:60], every[60:100], every[100:]])
-    streams.start_ingest(stream, f"{tmp_path}/t", f"{tmp_path}/c", ["arrival"]).awaitTermination()
-    got = {(r.symbol, r.open_time_ms // 60_000): r.close for r in spark.read.parquet(f"{tmp_path}/t").collect()}
+    parts = [every[:60], every[60:100], every[100:]]
+    stream = land(spark, tmp_path, parts)
+    t, strict = (f"{n}_{tmp_path.name}" for n in ("t", "s"))
+    streams.start_ingest(stream, t, f"{tmp_path}/c", ["arrival"]).awaitTermination()
+    got = {(r.symbol, r.open_time_ms // 60_000): r.close for r in spark.table(t).collect()}
     first = {}
     for s, ms, c, _ in every:
         first.setdefault((s, ms // 60_000), c)
-    assert set(got) == set(first)
+    assert got == first
     batch = ingest.first_of_minute(spark.createDataFrame(every, SCHEMA), ["arrival"])
     assert len(got) == batch.count()
     # the same files again, from a new checkpoint: nothing is added
-    streams.start_ingest(stream, f"{tmp_path}/t", f"{tmp_path}/c2", ["arrival"]).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/t").count() == len(got)
-    streams.start_ingest(stream, f"{tmp_path}/s", f"{tmp_path}/c3", ["arrival"], strict=True).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/s").count() <= len(got)
+    streams.start_ingest(stream, t, f"{tmp_path}/c2", ["arrival"]).awaitTermination()
+    assert spark.table(t).count() == len(got)
+    streams.start_ingest(stream, strict, f"{tmp_path}/c3", ["arrival"], strict=True).awaitTermination()
+    want, marks = {}, {}
+    for part in parts:
+        new = {}
+        for s, ms, c, _ in part:
+            if ms > marks.get(s, -1):
+                new.setdefault((s, ms // 60_000), (ms, c))
+        for (s, minute), (ms, c) in new.items():
+            if (s, minute) not in want:
+                want[s, minute] = c
+                marks[s] = max(marks.get(s, -1), ms)
+    assert {(r.symbol, r.open_time_ms // 60_000): r.close for r in spark.table(strict).collect()} == want
+    assert len(want) < len(got)
 
 
 def test_scores_equal_batch(spark, tmp_path):
     rng = random.Random(8)
     every = [(s, i * 60_000, 50 + rng.random(), i) for s in "AB" for i in range(400)]
     stream = land(spark, tmp_path, [[r for r in every if a <= r[1] // 60_000 < a + 200] for a in (0, 200)])
-    streams.start_scoring(stream, f"{tmp_path}/t", f"{tmp_path}/s", f"{tmp_path}/c", ["arrival"]).awaitTermination()
+    table, scores = (f"{n}_{tmp_path.name}" for n in ("t", "p"))
+    streams.start_scoring(stream, table, scores, f"{tmp_path}/c", ["arrival"]).awaitTermination()
     from tickforge.operators import indicators, model
 
     whole = model.score(indicators.features(spark.createDataFrame(every, SCHEMA).drop("arrival")))
     want = {(r.symbol, r.open_time_ms): r.predicted_proba_spike for r in whole.collect()}
-    got = {(r.symbol, r.open_time_ms): r.predicted_proba_spike for r in spark.read.parquet(f"{tmp_path}/s").collect()}
+    got = {(r.symbol, r.open_time_ms): r.predicted_proba_spike for r in spark.table(scores).collect()}
     assert set(got) == set(want)
     assert all((got[k] is None and v is None) or abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 
+def test_look_back_reads_few_days_and_enough_rows(spark, tmp_path):
+    """Dense series are read some days back, sparse ones as far as their rows are."""
+    name = f"t_{tmp_path.name}"
+    ingest.create_if_absent(spark, name)
+    dense = [("D", d * 86_400_000 + m * 600_000, 1.0, m) for d in range(40) for m in range(144)]
+    thin = [("T", d * 86_400_000, 2.0, 0) for d in range(40)]
+    ingest.append_new(name, spark.createDataFrame(dense + thin, SCHEMA), ["arrival"])
+    first = spark.createDataFrame([("D", 39 * 86_400_000)], "symbol string, __first long")
+    few = streams.recent_rows(spark.table(name), first, 100)
+    assert few.count() == 3 * 144 + 12 and len(few.inputFiles()) < 10
+    first = spark.createDataFrame([("D", 39 * 86_400_000), ("T", 39 * 86_400_000)], "symbol string, __first long")
+    assert streams.recent_rows(spark.table(name), first, 30).where("symbol = 'T'").count() >= 31
+    assert streams.recent_rows(spark.table(name), first, 5000).where("symbol = 'T'").count() == 40
+    assert streams.recent_rows(spark.table(name), first.limit(0), 5).count() == 0
+
+
 def test_stateful_means(spark, tmp_path):
     import pandas as pd
 
     rng = random.Random(4)
     series = {s: [50 + rng.random() for _ in range(90)] for s in "AB"}
     every = [(s, i * 60_000, v, i) for s, own in series.items() for i, v in enumerate(own)]
-    stream = land(spark, tmp_path, [[r for r in every if a <= r[3] < a + 45] for a in (0, 45)])
+    rng.shuffle(every)
+    stream = land(spark, tmp_path, [[r for r in every if a <= r[3] < b] for a, b in ((0, 3), (3, 26), (26, 27), (27, 90))])
     name = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:

@@ -2,27 +2,46 @@
 
 A window over a whole symbol puts the symbol into one task. Here each row knows its place in its series, a block is
 a bounded run of places, and rows near a block's ends are copied to the neighbour that needs them.
+
+Names that begin with two underscores are working columns: candles that have some of their own are refused. An added column replaces
+one of its name.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
 BLOCK = 4096
+#: Marks the places that number_rows gave.
+PLACES = {"tickforge": "place"}
 
 
 def by_block():
     return Window.partitionBy("symbol", "__b").orderBy("__i")
 
 
+def is_numbered(candles: DataFrame) -> bool:
+    """Whether the rows have their places; raises for other working columns."""
+    own = [c for c in candles.columns if c.startswith("__")]
+    if own and (own != ["__i"] or candles.schema["__i"].metadata != PLACES):
+        raise ValueError(f"names that begin with two underscores are working columns: {own}")
+    return bool(own)
+
+
+def without(candles: DataFrame, *added: str) -> list[str]:
+    """The columns of candles that an operator hands on beside those that it adds."""
+    gone = {c.lower() for c in added}
+    return [c for c in candles.columns if c.lower() not in gone]
+
+
 def number_rows(candles: DataFrame) -> DataFrame:
     """candles with __i, the row's place in its symbol from 0. Keys must be unique, so a symbol's day is at most
     1,440 rows; only day counts are summed along the series. Rows that have their places keep them."""
-    if "__i" in candles.columns:
+    if is_numbered(candles):
         return candles
     day = F.floor(F.col("open_time_ms") / DAY_MS).cast("long")
     rows = candles.withColumn("__day", day)
@@ -30,12 +49,8 @@ def number_rows(candles: DataFrame) -> DataFrame:
     counts = rows.groupBy("symbol", "__day").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select("symbol", "__day", F.coalesce(F.sum("__n").over(sums), F.lit(0)).alias("__before"))
     within = Window.partitionBy("symbol", "__day").orderBy("open_time_ms")
-    return (
-        rows.withColumn("__i", F.row_number().over(within) - 1)
-        .join(offsets, ["symbol", "__day"])
-        .withColumn("__i", F.col("__i") + F.col("__before"))
-        .drop("__day", "__before")
-    )
+    placed = rows.withColumn("__r", F.row_number().over(within) - 1).join(offsets, ["symbol", "__day"])
+    return placed.select(*candles.columns, (F.col("__r") + F.col("__before")).alias("__i", metadata=PLACES))
 
 
 def in_blocks(numbered: DataFrame, back: int = 0, ahead: int = 0, block: int = BLOCK) -> DataFrame:
@@ -66,22 +81,27 @@ def block_for(alphas: list[float]) -> int:
     return min(int(300 / -math.log1p(-a)) for a in alphas)
 
 
-def ema(blocked: DataFrame, specs: dict[str, tuple], block: int) -> DataFrame:
-    """Adds exponential means to rows in blocks without copies. specs: name -> (input column, alpha, place of the
-    first row, rows needed before a value shows). One scan within blocks, then one carry from the block before:
-    what lies further back has decayed by e**-300. Inputs must not be null from the first row on."""
-    p = F.pmod(F.col("__i"), F.lit(block)).cast("double")
-    out = blocked
-    for name, (source, alpha, first, _) in specs.items():
-        keep = 1 - alpha
-        weight = F.when(F.col("__i") < first, 0.0).when(F.col("__i") == first, 1.0).otherwise(alpha)
-        term = weight * F.coalesce(F.col(source), F.lit(0.0)) * F.pow(F.lit(keep), -p)
-        out = out.withColumn(f"__{name}", F.pow(F.lit(keep), p) * F.sum(term).over(by_block()))
-    carries = out.groupBy("symbol", (F.col("__b") + 1).alias("__b")).agg(
-        *[F.max_by(f"__{name}", "__i").alias(f"__c_{name}") for name in specs]
-    )
-    out = out.join(carries, ["symbol", "__b"], "left")
-    for name, (_, alpha, first, periods) in specs.items():
-        whole = F.col(f"__{name}") + F.pow(F.lit(1 - alpha), p + 1) * F.coalesce(F.col(f"__c_{name}"), F.lit(0.0))
-        out = out.withColumn(name, F.when(F.col("__i") >= first + periods - 1, whole))
-    return out.drop(*[f"__{n}" for n in specs], *[f"__c_{n}" for n in specs])
+def place_in(block: int) -> Column:
+    return F.pmod(F.col("__i"), F.lit(block)).cast("double")
+
+
+def weight(alpha: float, first: int) -> Column:
+    return F.when(F.col("__i") < first, 0.0).when(F.col("__i") == first, 1.0).otherwise(alpha)
+
+
+def block_mean(source: Column, alpha: float, first: int, block: int) -> Column:
+    """The exponential mean of a block's rows up to this one, as if nothing came before the block. A missing value raises: a mean over
+    a gap is not defined."""
+    p, keep = place_in(block), F.lit(1 - alpha)
+    value = F.when(F.col("__i") < first, 0.0).otherwise(F.coalesce(source, F.raise_error(F.lit("a close is missing")).cast("double")))
+    return F.pow(keep, p) * F.sum(weight(alpha, first) * value * F.pow(keep, -p)).over(by_block())
+
+
+def with_carry(local: Column, carry: Column, alpha: float, block: int) -> Column:
+    """The mean itself: what a block's end hands on fades from row to row. What lies further back has decayed by e**-300."""
+    return local + F.pow(F.lit(1 - alpha), place_in(block) + 1) * F.coalesce(carry, F.lit(0.0))
+
+
+def after(value: Column, first: int, periods: int) -> Column:
+    """value from the row on that has `periods` rows since the first."""
+    return F.when(F.col("__i") >= first + periods - 1, value)

@@ -1,15 +1,24 @@
-"""Indicators and the spec that names them. All frames count rows, as the candles come, not minutes."""
+"""Indicators and the spec that names them. All frames count rows, as the candles come, not minutes.
+
+Candles are numbered and written once; what the exponential means hand on from block to block is a table of one row a block; then all
+columns are made in one pass over the blocks.
+
+Defined cases: keys (symbol, open_time_ms) must be unique; a missing close leaves its frames without a value and fails the exponential
+means (ingest rejects such rows); a flat series has an RSI of 100; a zero divisor gives a signed infinity, 0 / 0 null; columns
+named like an indicator are replaced; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ieee_ratio
-from .blocks import block_for, by_block, ema, in_blocks, number_rows
+from ..sources.scratch import stored
+from .blocks import BLOCK, after, block_for, block_mean, by_block, in_blocks, is_numbered, number_rows, place_in, weight, with_carry, without
+from .joins import BROADCAST_ROWS
 
 
 @dataclass(frozen=True)
@@ -67,44 +76,94 @@ def span(n: int) -> float:
     return 2 / (n + 1)
 
 
-def features(candles: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC, cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """candles with a column for each indicator. Keys (symbol, open_time_ms) must be unique and close not null. cut: writes
-    a table and reads it back; given, no step is computed again for the joins after it."""
-    cut = cut or (lambda df, _: df)
-    recurrences = [s for s in spec if s.kind in ("rsi", "macd_diff")]
-    alphas = [1 / s.window for s in recurrences if s.kind == "rsi"]
-    if any(s.kind == "macd_diff" for s in recurrences):
-        alphas += [span(FAST), span(SLOW), span(SIGNAL)]
+def simple_means(spec: tuple[Indicator, ...]) -> dict[str, tuple[str, float]]:
+    """name -> (source, alpha) of the means that start at a series' first row."""
+    found: dict[str, tuple[str, float]] = {}
+    for s in spec:
+        if s.kind == "rsi":
+            found |= {f"__gain_{s.window}": ("__gain", 1 / s.window), f"__loss_{s.window}": ("__loss", 1 / s.window)}
+        elif s.kind == "macd_diff":
+            found |= {"__fast": ("close", span(FAST)), "__slow": ("close", span(SLOW))}
+    return found
+
+
+def rows_before(spec: tuple[Indicator, ...]) -> int:
+    """How many rows before a row decide its indicators to less than e**-60 of their size."""
+    frames = [s.window for s in spec if s.kind in FRAMES]
+    rsi = [60 * s.window for s in spec if s.kind == "rsi"]
+    macd = [30 * (SLOW + 1) + 30 * (SIGNAL + 1)] if any(s.kind == "macd_diff" for s in spec) else []
+    return max(frames + rsi + macd + [1])
+
+
+def _moves() -> dict[str, Column]:
+    move = F.col("close") - F.lag("close", 1).over(by_block())
+    up = lambda c: F.when(F.col("__i") == 0, 0.0).when(c > 0, c).when(c <= 0, 0.0)
+    return {"__gain": up(move), "__loss": up(-move)}
+
+
+def _carries(numbered: DataFrame, means: dict[str, tuple[str, float]], block: int, signal: bool) -> DataFrame:
+    """(symbol, __b, __c<mean>): what each block gets from the one before. One row a block. The signal's share of its input's carry is
+    a sum of powers, so it needs no pass of its own."""
+    rows = in_blocks(numbered.select("symbol", "__i", "close"), back=1, block=block).withColumns(_moves()).where("__own")
+    rows = rows.withColumns({n: block_mean(F.col(source), alpha, 0, block) for n, (source, alpha) in means.items()})
+    ends = [F.max_by(n, "__i").alias(n) for n in means]
+    if signal:
+        a, first, p = span(SIGNAL), SLOW - 1, place_in(block)
+        share = weight(a, first) * F.pow(F.lit(1 - a), block - 1 - p)
+        fade = lambda n: F.sum(share * F.pow(F.lit(1 - span(n)), p + 1))
+        ends += [F.sum(share * (F.col("__fast") - F.col("__slow"))).alias("__signal"), fade(FAST).alias("__kf"), fade(SLOW).alias("__ks")]
+    ends = stored(rows.groupBy("symbol", "__b").agg(*ends), "block-ends")
+    names = [*means, *(["__signal"] if signal else [])]
+    if signal:
+        last = ends.select("symbol", (F.col("__b") + 1).alias("__b"), F.col("__fast").alias("__pf"), F.col("__slow").alias("__ps"))
+        ends = ends.join(last, ["symbol", "__b"], "left").withColumn(
+            "__signal", F.col("__signal") + F.coalesce(F.col("__pf") * F.col("__kf") - F.col("__ps") * F.col("__ks"), F.lit(0.0))
+        )
+    return stored(ends.select("symbol", (F.col("__b") + 1).alias("__b"), *[F.col(n).alias(f"__c{n}") for n in names]), "carries")
+
+
+def _joined(rows: DataFrame, carries: DataFrame) -> DataFrame:
+    few = carries.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(carries) if few else carries, ["symbol", "__b"], "left")
+
+
+def features(candles: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC) -> DataFrame:
+    """candles with a column for each indicator."""
+    columns = without(candles, *[s.column for s in spec])
+    numbered = candles if is_numbered(candles) else stored(number_rows(candles.select(*columns)), "numbered")
+    means = simple_means(spec)
+    signal = any(s.kind == "macd_diff" for s in spec)
+    alphas = [a for _, a in means.values()] + [span(SIGNAL)] * signal
     back = max([1] + [s.window - FRAMES[s.kind][1] for s in spec if s.kind in FRAMES])
-    block = max(back, block_for(alphas)) if alphas else 4096
-    if alphas and back > block_for(alphas):
+    block = block_for(alphas) if alphas else max(back, BLOCK)
+    if back > block:
         raise ValueError("windows of the frames are longer than a block of the exponential means")
-    rows = in_blocks(cut(number_rows(candles), "numbered") if "__i" not in candles.columns else candles, back=back, block=block)
-    move = F.col("close") - F.lag("close", 1).over(by_block())
+    rows = in_blocks(numbered, back=back, block=block)
     made = {s.column: FRAMES[s.kind][0](s.window) for s in spec if s.kind in FRAMES}
-    if any(s.kind == "rsi" for s in recurrences):
-        made |= {"__gain": F.coalesce(F.greatest(move, F.lit(0.0)), F.lit(0.0)), "__loss": F.coalesce(F.greatest(-move, F.lit(0.0)), F.lit(0.0))}
-    rows = rows.withColumns(made).where("__own")
-    first: dict[str, tuple] = {}
-    for s in recurrences:
-        if s.kind == "rsi":
-            first |= {f"g{s.window}": ("__gain", 1 / s.window, 0, s.window), f"l{s.window}": ("__loss", 1 / s.window, 0, s.window)}
-        else:
-            first |= {"fast": ("close", span(FAST), 0, FAST), "slow": ("close", span(SLOW), 0, SLOW)}
-    if first:
-        rows = ema(cut(rows, "frames"), first, block)
-    for s in recurrences:
+    rows = rows.withColumns(made | (_moves() if means else {})).where("__own")
+    if means:
+        rows = rows.withColumns({n: block_mean(F.col(source), alpha, 0, block) for n, (source, alpha) in means.items()})
+        rows = _joined(rows, _carries(numbered, means, block, signal))
+        rows = rows.withColumns({n: with_carry(F.col(n), F.col(f"__c{n}"), alpha, block) for n, (_, alpha) in means.items()})
+    for s in spec:
         if s.kind == "rsi":
-            gain, loss = F.col(f"g{s.window}"), F.col(f"l{s.window}")
-            rows = rows.withColumn(s.column, F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss))))
-        else:
-            rows = rows.withColumn("__macd", F.col("fast") - F.col("slow"))
-            rows = ema(cut(rows, "means"), {"signal": ("__macd", span(SIGNAL), SLOW - 1, SIGNAL)}, block)
-            rows = rows.withColumn(s.column, F.col("__macd") - F.col("signal"))
-    return rows.select(*candles.columns, *[s.column for s in spec])
+            gain, loss = F.col(f"__gain_{s.window}"), F.col(f"__loss_{s.window}")
+            rsi = F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
+            rows = rows.withColumn(s.column, after(rsi, 0, s.window))
+        elif s.kind == "macd_diff":
+            first, alpha = SLOW - 1, span(SIGNAL)
+            rows = rows.withColumn("__macd", F.col("__fast") - F.col("__slow"))
+            rows = rows.withColumn("__signal", block_mean(F.col("__macd"), alpha, first, block))
+            whole = with_carry(F.col("__signal"), F.col("__c__signal"), alpha, block)
+            rows = rows.withColumn(s.column, after(F.col("__macd") - whole, first, SIGNAL))
+    return rows.select(*columns, *[s.column for s in spec])
 
 
 def exponential_mean(candles: DataFrame, alpha: float, periods: int = 1, name: str = "ema") -> DataFrame:
+    columns = without(candles, name)
+    numbered = candles if is_numbered(candles) else stored(number_rows(candles.select(*columns)), "numbered")
     block = block_for([alpha])
-    rows = in_blocks(number_rows(candles), block=block)
-    return ema(rows, {name: ("close", alpha, 0, periods)}, block).select(*candles.columns, name)
+    means = {"__mean": ("close", alpha)}
+    rows = in_blocks(numbered, block=block).withColumn("__mean", block_mean(F.col("close"), alpha, 0, block))
+    rows = _joined(rows, _carries(numbered, means, block, False))
+    return rows.select(*columns, after(with_carry(F.col("__mean"), F.col("__c__mean"), alpha, block), 0, periods).alias(name))

@@ -1,4 +1,8 @@
-"""Idempotent ingest: the first write of a minute wins, whatever is replayed."""
+"""Idempotent ingest: the first write of a minute wins, whatever is replayed.
+
+A stored table is partitioned by symbol and day. A batch reads only the stored days that it has rows of, so its cost doesn't follow
+the history.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.candles import STORED
+from ..sources.candles import PARTITIONS, STORED, as_stored
+from ..sources.scratch import stored
+from .joins import with_small
 
 KEY = ["symbol", "__minute"]
 
 
-def create_if_absent(spark: SparkSession, table: str) -> None:
-    """A Parquet table partitioned by day. Uniqueness is kept by insert_or_ignore, with one writer a table."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (open_date)")
+def create_if_absent(spark: SparkSession, table: str, schema=STORED, path: str | None = None) -> None:
+    """A Parquet table partitioned by symbol and day, in the warehouse or at path. Uniqueness is kept by append_new, with one writer a
+    table."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    place = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({', '.join(PARTITIONS)}){place}")
 
 
 def reset(spark: SparkSession, table: str) -> None:
     """Empties the table; only ever called by name."""
     create_if_absent(spark, table)
-    spark.sql(f"TRUNCATE TABLE {table}")
+    spark.createDataFrame([], spark.table(table).schema).write.insertInto(table, overwrite=True)
 
 
 def first_of_minute(batch: DataFrame, arrival: list[str]) -> DataFrame:
@@ -34,16 +42,50 @@ def first_of_minute(batch: DataFrame, arrival: list[str]) -> DataFrame:
     )
 
 
-def insert_or_ignore(stored: DataFrame, batch: DataFrame, arrival: list[str]) -> DataFrame:
-    """The rows of batch that violate no key of stored nor of each other. A null key is never new."""
+def insert_or_ignore(old: DataFrame, batch: DataFrame, arrival: list[str]) -> DataFrame:
+    """The rows of batch that violate no key of old nor of each other. A null key is never new."""
     new = first_of_minute(batch.where(F.col("symbol").isNotNull() & F.col("open_time_ms").isNotNull()), arrival)
-    keys = stored.select("symbol", S.floor_minute(F.col("open_time_ms")).alias("__minute"))
+    keys = old.select("symbol", S.floor_minute(F.col("open_time_ms")).alias("__minute"))
     return new.join(keys, KEY, "left_anti").drop("__minute")
 
 
-def sync_report(stored: DataFrame, batch: DataFrame, inserted: DataFrame) -> DataFrame:
+def days_of(batch: DataFrame) -> list:
+    """The days of a batch: one value a day on the driver."""
+    return [r[0] for r in batch.select("open_date").distinct().collect() if r[0] is not None]
+
+
+def on_days(table: DataFrame, days: list) -> DataFrame:
+    """The partitions of those days."""
+    return table.where(F.col("open_date").isin(days))
+
+
+def append_partitions(rows: DataFrame, table: str) -> None:
+    """Appends rows, a file for each symbol and day (at most 1,440 rows)."""
+    names = rows.sparkSession.table(table).columns
+    rows.select(*names).repartition(*PARTITIONS).write.insertInto(table)
+
+
+def append_new(table: str, batch: DataFrame, arrival: list[str]) -> DataFrame:
+    """Appends the batch's new minutes to the stored table and gives them back, with their arrival. A replayed batch adds nothing."""
+    rows = as_stored(batch, *arrival)
+    old = on_days(batch.sparkSession.table(table), days_of(rows))
+    new = stored(insert_or_ignore(old, rows, arrival), "new-candles")
+    append_partitions(new, table)
+    return new
+
+
+def beyond_mark(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of batch that are newer than all that the table has of their symbol. Only days from the batch's first on can hold a
+    row that isn't older."""
+    days = days_of(as_stored(batch))
+    if not days:
+        return batch
+    marks = table.where(F.col("open_date") >= F.lit(min(days))).groupBy("symbol").agg(F.max("open_time_ms").alias("__mark"))
+    return with_small(batch, marks, "symbol").where("__mark IS NULL OR open_time_ms > __mark").drop("__mark")
+
+
+def sync_report(batch: DataFrame, inserted: DataFrame) -> DataFrame:
     """Per symbol of the batch: rows attempted, inserted and ignored, first and last minute."""
-    del stored
     came = batch.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("attempted"), F.min("open_time").alias("first_time"), F.max("open_time").alias("last_time")
     )

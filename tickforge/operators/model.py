@@ -9,7 +9,9 @@ from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinear
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .indicators import DEFAULT_SPEC
+from .joins import with_small
 
 FEATURES = [s.column for s in DEFAULT_SPEC]
 CUT_OFF_MS = 240 * 60_000
@@ -37,8 +39,8 @@ def complete_rows(rows: DataFrame) -> DataFrame:
 
 def before_cut_off(rows: DataFrame, span_ms: int = CUT_OFF_MS) -> DataFrame:
     """Rows strictly older than their symbol's newest by more than the span."""
-    newest = rows.groupBy("symbol").agg(F.max("open_time_ms").alias("__newest"))
-    return rows.join(newest, "symbol").where(F.col("open_time_ms") < F.col("__newest") - span_ms).drop("__newest")
+    newest = stored(rows.groupBy("symbol").agg(F.max("open_time_ms").alias("__newest")), "newest")
+    return with_small(rows, newest, "symbol").where(F.col("open_time_ms") < F.col("__newest") - span_ms).drop("__newest")
 
 
 def training_sample(rows: DataFrame) -> DataFrame:
@@ -99,5 +101,14 @@ def signal_band(short: float = 0.01, long: float = 0.1) -> Column:
     return F.when(p < short, "short").when(p > long, "long").otherwise("flat")
 
 
+def save(model: GeneralizedLinearRegressionModel, path: str) -> None:
+    """Keeps a fit in the shared folder; overwrites one of that name."""
+    model.write().overwrite().save(path)
+
+
+def saved(path: str) -> GeneralizedLinearRegressionModel:
+    return GeneralizedLinearRegressionModel.load(path)
+
+
 def coefficients_of(model: GeneralizedLinearRegressionModel, features: list[str] = FEATURES) -> dict[str, float]:
     return dict(zip(features, map(float, model.coefficients), strict=True))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -12,14 +14,17 @@ from ..operators.blocks import number_rows
 from ..sources import candles as C
 from ..sources.scratch import shared_dir, stored
 from ..streaming import candles as streams
+from . import logit_sql as logit_sql_parts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 NOW_MS = 1_706_745_625_000
 #: Rows of the first part of the feed, which the stored table holds before the batch comes.
-STORED_BEFORE = "2024-01-16 00:00"
+STORED_BEFORE, BATCH_FROM = "2024-01-16 00:00", "2024-01-15 12:00"
 #: Event ids of one landed line. Ids are unique, so a line holds at most so many candles, about 100 bytes each.
 LINE_IDS = 10_000
+#: Parts in which feeds are landed for streams, one micro-batch each.
+PARTS = 3
 
 
 def query(sql: str | None = None):
@@ -36,14 +41,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(C.EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.from_events(events(spark, sf_dir))
-    return rows.withColumn("open_time", S.local_minute_text(F.col("open_time_ms")))
+def offers(found: DataFrame) -> DataFrame:
+    return C.from_events(found).withColumn("open_time", S.local_minute_text(F.col("open_time_ms")))
+
 
+def candles(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """One row a symbol and minute: the first offer, of all events or of those found."""
+    rows = offers(events(spark, sf_dir) if found is None else found)
+    return ingest.first_of_minute(rows, ["arrival"]).select("symbol", "open_time_ms", "open_time", "close")
 
-def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a symbol and minute: the first offer."""
-    return ingest.first_of_minute(offers(spark, sf_dir), ["arrival"]).select("symbol", "open_time_ms", "open_time", "close")
+
+def new_table(spark: SparkSession, schema=C.STORED) -> str:
+    """An empty table of a fresh name in the shared folder."""
+    name = f"t_{uuid.uuid4().hex}"
+    ingest.create_if_absent(spark, name, schema, shared_dir(spark, "table"))
+    return name
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -68,7 +80,8 @@ def q01_latest_n(spark, sf_dir):
 
 @query(f"WITH {OFFERS_SQL} SELECT symbol, open_time, close FROM candles WHERE open_time BETWEEN '2024-01-05 00:00' AND '2024-01-06 00:00'")
 def q02_range_scan(spark, sf_dir):
-    return C.between_text(candles(spark, sf_dir), "2024-01-05 00:00", "2024-01-06 00:00")
+    ends = "2024-01-05 00:00", "2024-01-06 00:00"
+    return C.between_text(candles(spark, sf_dir, C.events_between_text(events(spark, sf_dir), *ends)), *ends)
 
 
 @query(f"""WITH {OFFERS_SQL}, marks AS (SELECT symbol, max(open_time_ms) AS high_water_ms FROM candles GROUP BY symbol
@@ -81,8 +94,8 @@ def q03_high_water_mark(spark, sf_dir):
     return ingest.sync_bounds(marks.unionByName(none), NOW_MS).drop("high_water_ms")
 
 
-def raw_lines(spark, sf_dir) -> DataFrame:
-    """The event table as a landed feed: JSON lines of positional arrays of text, one for each user and LINE_IDS event ids."""
+def raw_lines(found: DataFrame, *keys: str) -> DataFrame:
+    """Events as a landed feed: JSON lines of positional arrays of text, one for each key, user and LINE_IDS event ids (part)."""
     text = lambda c: c.cast("string")
     ms = S.ntz_minute_ms(F.col("ts")) + F.pmod("event_id", F.lit(60_000))
     row = F.array(
@@ -91,7 +104,7 @@ def raw_lines(spark, sf_dir) -> DataFrame:
         *[F.lit("0")] * 6,
     )
     part = (F.col("event_id") - F.pmod("event_id", F.lit(LINE_IDS))).alias("part")
-    return events(spark, sf_dir).groupBy("user_id", part).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value")).drop("part")
+    return found.groupBy(*keys, "user_id", part).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
 
 
 @query("""SELECT epoch_ms(ts) - epoch_ms(ts) % 60000 + event_id % 60000 AS open_time_ms,
@@ -100,13 +113,10 @@ def raw_lines(spark, sf_dir) -> DataFrame:
   round(value, 6) AS close, CASE WHEN event_id % 7 <> 0 THEN user_id::DOUBLE END AS volume, user_id
 FROM events WHERE value IS NOT NULL""")
 def q04_normalise_candles(spark, sf_dir):
-    good, _ = C.normalise(C.explode_raw(raw_lines(spark, sf_dir)), "FEED", ["user_id", "pos"])
+    good, _ = C.normalise(C.explode_raw(raw_lines(events(spark, sf_dir))), "FEED", ["user_id", "pos"])
     return rounded(good.drop("symbol", "open_date", "pos"), "open", "high", "close")
 
 
-LENIENT = ["1.5", " 1.5 ", "1e3", "", "abc", "1.0d", "1f", "NaN"]
-
-
 @query("""SELECT event_id, round(try_cast(CASE event_id % 4 WHEN 0 THEN value::VARCHAR WHEN 1 THEN '  ' || value::VARCHAR || ' '
   WHEN 2 THEN value::VARCHAR || 'd' ELSE event_type END AS DOUBLE), 6) AS number FROM events""")
 def q05_lenient_numeric(spark, sf_dir):
@@ -116,14 +126,15 @@ def q05_lenient_numeric(spark, sf_dir):
 
 
 def _synced(spark, sf_dir):
-    every = offers(spark, sf_dir)
-    stored = ingest.first_of_minute(every.where(F.col("open_time") < STORED_BEFORE), ["arrival"]).drop("__minute")
-    batch = every.where(F.col("open_time") >= "2024-01-15 12:00")
-    return stored, batch, ingest.insert_or_ignore(stored, batch, ["arrival"])
+    """A batch, and what of it was new to a stored table that holds the feed's first part."""
+    every, table = offers(events(spark, sf_dir)), new_table(spark)
+    ingest.append_new(table, every.where(F.col("open_time") < STORED_BEFORE), ["arrival"])
+    batch = every.where(F.col("open_time") >= BATCH_FROM)
+    return batch, ingest.append_new(table, batch, ["arrival"])
 
 
 SYNC_SQL = f"""WITH {OFFERS_SQL}, stored AS (SELECT * FROM candles WHERE open_time < '{STORED_BEFORE}'),
-batch AS (SELECT * FROM offers WHERE open_time >= '2024-01-15 12:00'),
+batch AS (SELECT * FROM offers WHERE open_time >= '{BATCH_FROM}'),
 inserted AS (SELECT symbol, open_time_ms, open_time, close, arrival FROM batch b
   WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.symbol = b.symbol AND s.open_time_ms = b.open_time_ms)
   QUALIFY row_number() OVER (PARTITION BY symbol, open_time_ms ORDER BY arrival) = 1)
@@ -132,7 +143,7 @@ inserted AS (SELECT symbol, open_time_ms, open_time, close, arrival FROM batch b
 
 @query(SYNC_SQL + "SELECT * FROM inserted")
 def q06_insert_or_ignore(spark, sf_dir):
-    return _synced(spark, sf_dir)[2].select("symbol", "open_time_ms", "open_time", "close", "arrival")
+    return _synced(spark, sf_dir)[1].select("symbol", "open_time_ms", "open_time", "close", "arrival")
 
 
 @query(SYNC_SQL + """SELECT symbol, count(*) AS attempted, (SELECT count(*) FROM inserted i WHERE i.symbol = b.symbol) AS inserted,
@@ -203,7 +214,7 @@ FRAMES_SQL = frames_sql()
 def _indicator(kinds: tuple[str, ...]):
     def run(spark, sf_dir):
         spec = tuple(s for s in I.DEFAULT_SPEC if s.kind in kinds)
-        made = I.features(candles(spark, sf_dir), spec, cut=stored)
+        made = I.features(candles(spark, sf_dir), spec)
         return rounded(made, *[s.column for s in spec]).select("symbol", "open_time_ms", *[s.column for s in spec])
 
     return run
@@ -257,7 +268,7 @@ ROUNDED_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in ("ratio", *model.FEATUR
 def matrix(spark, sf_dir) -> DataFrame:
     rows = stored(number_rows(candles(spark, sf_dir)), "numbered")
     flagged = labels.spike_flag(stored(labels.ratio(labels.forward_max(rows)), "labelled")).drop("p90")
-    return I.features(flagged, cut=stored).drop("__i")
+    return I.features(flagged).drop("__i")
 
 
 @query(f"{MATRIX_SQL} SELECT symbol, open_time_ms, open_time, close, rolling_max, spike_flag, {ROUNDED_SQL} FROM matrix")
@@ -270,14 +281,23 @@ def q19_training_sample(spark, sf_dir):
     return rounded(model.training_sample(stored(matrix(spark, sf_dir), "matrix")), "ratio", *model.FEATURES)
 
 
-@query()
+def logit_sql() -> str:
+    finite = " AND ".join(f"abs({c}) < 'inf'::DOUBLE" for c in model.FEATURES)
+    return f"""{MATRIX_SQL}, told AS (SELECT *, {finite} AS finite FROM sample), used AS MATERIALIZED (SELECT * FROM told WHERE finite),
+{logit_sql_parts.fitted("used", "spike_flag", model.FEATURES)}
+SELECT t.*, (SELECT count(*) FROM used) AS n_rows, (SELECT count(*) FROM told WHERE NOT finite) AS n_not_finite
+FROM ({logit_sql_parts.coefficient_table(model.FEATURES, model.Z95)}) t"""
+
+
+@query(logit_sql())
 def q20_logit_table(spark, sf_dir):
     """The fit over rows with finite features. n_rows: the rows that it saw, n_not_finite: those of q19's sample left out."""
     sample = stored(model.training_sample(stored(matrix(spark, sf_dir), "matrix")), "sample")
     finite = model.all_finite()
     counts = sample.agg(F.count_if(finite).alias("n_rows"), F.count_if(~finite).alias("n_not_finite")).first().asDict()
     used = sample.where(finite)
-    return model.coefficient_table(model.fit_logit(used), used).withColumns({c: F.lit(n).cast("long") for c, n in counts.items()})
+    found = rounded(model.coefficient_table(model.fit_logit(used), used), "coef", "std_err", "z", "p_value", "ci_low", "ci_high")
+    return found.withColumns({c: F.lit(n).cast("long") for c, n in counts.items()})
 
 
 SCORE_SQL = f"1 / (1 + exp(-({' + '.join(f'({v!r}) * {k}' for k, v in model.FROZEN.items())})))"
@@ -286,42 +306,121 @@ SCORE_SQL = f"1 / (1 + exp(-({' + '.join(f'({v!r}) * {k}' for k, v in model.FROZ
 @query(f"""{MATRIX_SQL}, scored AS (SELECT symbol, open_time_ms, {SCORE_SQL} AS p FROM matrix)
 SELECT symbol, open_time_ms, round(p, 6) AS predicted_proba_spike, CASE WHEN p < 0.01 THEN 'short' WHEN p > 0.1 THEN 'long' ELSE 'flat' END AS signal_band FROM scored""")
 def q21_score_bands(spark, sf_dir):
-    scored = model.score(I.features(candles(spark, sf_dir), cut=stored)).withColumn("signal_band", model.signal_band())
+    scored = model.score(I.features(candles(spark, sf_dir))).withColumn("signal_band", model.signal_band())
     return rounded(scored, "predicted_proba_spike").select("symbol", "open_time_ms", "predicted_proba_spike", "signal_band")
 
 
-def _stream(spark, sf_dir) -> DataFrame:
-    return C.from_events(streams.event_stream(spark, f"{sf_dir}/events.parquet", C.EVENTS))
+def by_time(rows: DataFrame, ms: Column, parts: int = PARTS) -> DataFrame:
+    """rows with the part of their day among `parts` equal runs of days: a minute lies in one of them."""
+    day = F.floor(ms / 86_400_000)
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    step = ((last or 0) - (first or 0)) // parts + 1
+    return rows.withColumn("__part", F.floor((day - F.lit(first or 0)) / step))
+
+
+def _stream(spark, rows: DataFrame) -> DataFrame:
+    """A stream of the rows (with __part), a micro-batch for each part."""
+    folder = shared_dir(spark, "landed")
+    schema = streams.land(rows, folder, "__part", PARTS).schema
+    return streams.event_stream(spark, folder, schema, files=1)
+
+
+def _events_by_time(spark, sf_dir) -> DataFrame:
+    return by_time(events(spark, sf_dir), S.ntz_minute_ms(F.col("ts")))
 
 
 @query(f"WITH {OFFERS_SQL} SELECT symbol, open_time_ms, close FROM candles")
 def q22_stream_ingest(spark, sf_dir):
-    base = shared_dir(spark)
-    stream = streams.start_ingest(_stream(spark, sf_dir), f"{base}/table", f"{base}/log", ["arrival"])
-    stream.awaitTermination()
-    return spark.read.parquet(f"{base}/table").select("symbol", "open_time_ms", "close")
+    table, feed = new_table(spark), C.from_events(_stream(spark, _events_by_time(spark, sf_dir)))
+    streams.start_ingest(feed, table, shared_dir(spark, "log"), ["arrival"]).awaitTermination()
+    return spark.table(table).select("symbol", "open_time_ms", "close")
 
 
 @query(f"{MATRIX_SQL} SELECT symbol, open_time_ms, close, round({SCORE_SQL}, 6) AS predicted_proba_spike FROM matrix")
 def q23_stream_score(spark, sf_dir):
-    base = shared_dir(spark)
-    stream = streams.start_scoring(_stream(spark, sf_dir), f"{base}/table", f"{base}/scores", f"{base}/log", ["arrival"])
-    stream.awaitTermination()
-    return rounded(spark.read.parquet(f"{base}/scores"), "predicted_proba_spike")
+    table, scores = new_table(spark), new_table(spark, streams.SCORES)
+    feed = C.from_events(_stream(spark, _events_by_time(spark, sf_dir)))
+    streams.start_scoring(feed, table, scores, shared_dir(spark, "log"), ["arrival"]).awaitTermination()
+    return rounded(spark.table(scores).drop("open_date"), "predicted_proba_spike")
 
 
 @query(f"{RECURSIVE} SELECT symbol, open_time_ms, round(rsi_backward_14, 6) AS rsi_backward_14, round(macd_diff, 6) AS macd_diff FROM recurrences")
 def q24_stateful_means(spark, sf_dir):
-    """The recurrences carried as streaming state. The feed is landed as deduplicated candles first."""
+    """The recurrences carried as streaming state from batch to batch. The feed is landed as deduplicated candles by time."""
+    rows = by_time(candles(spark, sf_dir).select("symbol", "open_time_ms", "close"), F.col("open_time_ms"))
     base = shared_dir(spark)
-    candles(spark, sf_dir).select("symbol", "open_time_ms", "close").write.parquet(f"{base}/landed")
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        feed = streams.event_stream(spark, f"{base}/landed", "symbol string, open_time_ms long, close double")
-        writer = streams.stateful_means(feed).writeStream.format("parquet").option("checkpointLocation", f"{base}/log")
+        writer = streams.stateful_means(_stream(spark, rows)).writeStream.format("parquet").option("checkpointLocation", f"{base}/log")
         writer.trigger(availableNow=True).start(f"{base}/means").awaitTermination()
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return rounded(spark.read.parquet(f"{base}/means"), "rsi_backward_14", "macd_diff").drop("close")
+
+
+LATE_SQL = """WITH fed AS (
+  SELECT event_type AS symbol, epoch_ms(ts) - epoch_ms(ts) % 60000 AS open_time_ms, value AS close, event_id AS arrival, user_id % 2 AS part FROM events
+), marks AS (SELECT symbol, max(open_time_ms) AS mark FROM fed WHERE part = 0 GROUP BY symbol),
+told AS (
+  SELECT 'lenient' AS mode, * FROM fed UNION ALL
+  SELECT 'strict', f.* FROM fed f LEFT JOIN marks m ON m.symbol = f.symbol WHERE part = 0 OR mark IS NULL OR open_time_ms > mark
+)
+SELECT mode, symbol, open_time_ms, close FROM told QUALIFY row_number() OVER (PARTITION BY mode, symbol, open_time_ms ORDER BY part, arrival) = 1"""
+
+
+@query(LATE_SQL)
+def q25_stream_late_rows(spark, sf_dir):
+    """Half of the users' events come late: they fill gaps, or, in strict mode, only what is newer than all before."""
+    rows = events(spark, sf_dir).withColumn("__part", F.pmod("user_id", F.lit(2)))
+    feed, found = C.from_events(_stream(spark, rows)), []
+    for mode in ("lenient", "strict"):
+        table = new_table(spark)
+        streams.start_ingest(feed, table, shared_dir(spark, "log"), ["arrival"], strict=mode == "strict").awaitTermination()
+        found.append(spark.table(table).select(F.lit(mode).alias("mode"), "symbol", "open_time_ms", "close"))
+    return found[0].unionByName(found[1])
+
+
+FETCH_NOW_MS = 1_706_400_030_000
+
+
+@query(f"""WITH raw AS (SELECT *, epoch_ms(ts) - epoch_ms(ts) % 60000 AS minute FROM events WHERE value IS NOT NULL)
+SELECT minute + event_id % 60000 AS open_time_ms, round(value, 6) AS open, CASE WHEN event_id % 3 <> 0 THEN round(value, 6) END AS high,
+  round(value, 6) AS close, CASE WHEN event_id % 7 <> 0 THEN user_id::DOUBLE END AS volume
+FROM raw WHERE minute < {FETCH_NOW_MS} - {FETCH_NOW_MS} % 60000
+QUALIFY row_number() OVER (PARTITION BY minute ORDER BY event_id - event_id % {LINE_IDS}, user_id, event_id % 60000) = 1""")
+def q26_raw_sync(spark, sf_dir):
+    """The sync from end to end: bounds of the next fetch, raw lines as they land, normalised, cut to the bounds, stored."""
+    table = new_table(spark)
+    asked = spark.createDataFrame([("FEED",)], "symbol string").join(ingest.high_water_mark(spark.table(table)), "symbol", "left")
+    bounds = ingest.sync_bounds(asked, FETCH_NOW_MS).first()
+    lines = _stream(spark, raw_lines(_events_by_time(spark, sf_dir), "__part"))
+    arrival = ["part", "user_id", "pos"]
+    good, _ = C.normalise(C.explode_raw(lines), "FEED", arrival)
+    streams.start_ingest(C.between(good, bounds["start_ms"], bounds["end_ms"]), table, shared_dir(spark, "log"), arrival).awaitTermination()
+    return rounded(spark.table(table), "open", "high", "close").select("open_time_ms", "open", "high", "close", "volume")
+
+
+@query(SYNC_SQL + "SELECT symbol, open_time_ms, open_time, close FROM batch QUALIFY row_number() OVER (PARTITION BY symbol, open_time_ms ORDER BY arrival) = 1")
+def q27_table_reset(spark, sf_dir):
+    """A table that is made once, filled, emptied by name and filled again."""
+    every, table = offers(events(spark, sf_dir)), new_table(spark)
+    ingest.append_new(table, every.where(F.col("open_time") < STORED_BEFORE), ["arrival"])
+    ingest.create_if_absent(spark, table)
+    ingest.reset(spark, table)
+    ingest.append_new(table, every.where(F.col("open_time") >= BATCH_FROM), ["arrival"])
+    return spark.table(table).select("symbol", "open_time_ms", "open_time", "close")
+
+
+@query(f"""WITH {OFFERS_SQL}, top AS (SELECT * FROM candles ORDER BY open_time_ms DESC, open_time DESC, symbol DESC LIMIT 5)
+SELECT 'newest' AS list, row_number() OVER (ORDER BY open_time_ms DESC, open_time DESC, symbol DESC)::INT AS place, symbol, close, strptime(open_time, '%Y-%m-%d %H:%M')::VARCHAR AS opened FROM top
+UNION ALL SELECT 'tail', row_number() OVER (ORDER BY open_time_ms, open_time, symbol)::INT, symbol, close, strptime(open_time, '%Y-%m-%d %H:%M')::VARCHAR FROM top""")
+def q28_newest(spark, sf_dir):
+    rows, key = candles(spark, sf_dir), ["open_time_ms", "open_time", "symbol"]
+    found = []
+    for name, few, order in (("newest", latest.newest(rows, 5), F.desc), ("tail", latest.tail(rows, 5), F.asc)):
+        place = F.row_number().over(Window.partitionBy("list").orderBy(*map(order, key)))
+        found.append(few.withColumn("list", F.lit(name)).withColumn("place", place))
+    both = found[0].unionByName(found[1])
+    return both.select("list", "place", "symbol", "close", S.local_text_to_ntz(F.col("open_time")).cast("string").alias("opened"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +17,14 @@ RAW_FIELDS = [
 ]
 PRICES = ["open", "high", "low", "close", "volume"]
 
+#: Columns that a stored table is partitioned by, after its others.
+PARTITIONS = ["symbol", "open_date"]
 STORED = T.StructType(
     [
-        T.StructField("symbol", T.StringType()),
         T.StructField("open_time_ms", T.LongType()),
         T.StructField("open_time", T.StringType()),
         *[T.StructField(c, T.DoubleType()) for c in PRICES],
+        T.StructField("symbol", T.StringType()),
         T.StructField("open_date", T.DateType()),
     ]
 )
@@ -57,11 +61,24 @@ def normalise(raw: DataFrame, symbol: Column | str, arrival: list[str]) -> tuple
         S.local_minute_text(ms).alias("open_time"),
         *[S.lenient_double(F.col(c)).alias(c) for c in PRICES],
         *arrival,
-    ).withColumn("open_date", F.substring("open_time", 1, 10).cast("date"))
+    ).withColumn("open_date", open_date())
     good = F.col("open_time_ms").isNotNull() & F.col("close").isNotNull() & F.col("symbol").isNotNull()
     return named.where(good), named.where(~good)
 
 
+def open_date() -> Column:
+    """The day of the local minute, by which tables are partitioned."""
+    return F.substring("open_time", 1, 10).cast("date")
+
+
+def as_stored(candles: DataFrame, *more: str) -> DataFrame:
+    """Candles with the columns of a stored table, in its order, and the named ones. Prices that aren't given are null; the
+    local minute and the day follow from the time."""
+    kinds = {f.name: f.dataType for f in STORED.fields}
+    rows = candles.withColumn("open_time", S.local_minute_text(F.col("open_time_ms"))).withColumn("open_date", open_date())
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()], *more)
+
+
 def from_events(events: DataFrame, symbol: Column | str = "event_type") -> DataFrame:
     """(symbol, open_time_ms, close, arrival): an event is an offer of a candle for its minute."""
     name = F.col(symbol) if isinstance(symbol, str) else symbol
@@ -81,5 +98,9 @@ def between_text(candles: DataFrame, first: str, last: str) -> DataFrame:
     return candles.where(F.col("open_time").between(first, last)).select("symbol", "open_time", "close")
 
 
-def stored_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED).parquet(path)
+def events_between_text(events: DataFrame, first: str, last: str) -> DataFrame:
+    """The events of those minutes, by bounds on the raw time: a minute lies wholly in or out, so this may go before whatever
+    takes one row of a minute, down to the scan."""
+    minute = lambda text, more: (datetime.strptime(text, "%Y-%m-%d %H:%M") - timedelta(milliseconds=S.LOCAL_OFFSET_MS) + more).isoformat(" ")
+    low, high = (F.lit(minute(t, m)).cast("timestamp_ntz") for t, m in ((first, timedelta(0)), (last, timedelta(minutes=1))))
+    return events.where((F.col("ts") >= low) & (F.col("ts") < high))

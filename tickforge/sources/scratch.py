@@ -1,4 +1,7 @@
-"""Written tables between steps: they cut the lineage, and a lost executor loses none of them."""
+"""Written tables between steps: they cut the lineage, and a lost executor loses none of them.
+
+They stay in the folder that the cluster names: a lazily read result needs them, so whoever owns the folder clears it after the job.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +11,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, name: str = "candles") -> str:
-    """A fresh folder in the one that driver and executors share. Where none is named, a local master gets its own."""
+def base_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is named, a local master gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found}/{name}-{uuid.uuid4().hex}"
+    return found
+
+
+def shared_dir(spark: SparkSession, name: str = "candles") -> str:
+    """A fresh folder in the shared one."""
+    return f"{base_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df, written once to the shared folder and read from there."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

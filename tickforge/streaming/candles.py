@@ -1,95 +1,124 @@
-"""Streaming ingest and scoring. Micro-batches go through the same operators as batches do."""
+"""Streaming ingest and scoring. Micro-batches go through the same operators as batches do.
+
+Tables are partitioned by symbol and day. A micro-batch reads the days that it has rows of and, to score, as many days before them as
+the indicators look back, so its cost doesn't follow the history.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.indicators import DEFAULT_SPEC, FAST, SIGNAL, SLOW, Indicator, features, span
-from ..operators.ingest import insert_or_ignore
+from ..operators.indicators import DEFAULT_SPEC, FAST, SIGNAL, SLOW, Indicator, features, rows_before, span
+from ..operators.ingest import append_new, append_partitions, beyond_mark, create_if_absent, days_of, on_days
+from ..operators.joins import with_small
 from ..operators.model import FROZEN, score
-
-#: Bytes of memory don't follow the series: a touched symbol is scored from so many rows back.
-LOOK_BACK = 1024
-
-
-def ingest_batch(target: str, schema, arrival: list[str]) -> Callable[[DataFrame, int], None]:
-    """Appends a micro-batch's new minutes to the Parquet table at target. A replayed batch adds nothing. The
-    table's one writer is this query."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        stored = batch.sparkSession.read.schema(schema).parquet(target)
-        insert_or_ignore(stored, batch, arrival).write.mode("append").parquet(target)
-
-    return write
+from ..sources.candles import as_stored
+from ..sources.scratch import stored
+
+SCORES = T.StructType(
+    [
+        T.StructField("open_time_ms", T.LongType()),
+        T.StructField("close", T.DoubleType()),
+        T.StructField("predicted_proba_spike", T.DoubleType()),
+        T.StructField("symbol", T.StringType()),
+        T.StructField("open_date", T.DateType()),
+    ]
+)
+MINUTES_A_DAY = 1440
+#: Symbols that are named in a partition filter; more are joined.
+NAMED_SYMBOLS = 1000
+
+
+def _started(candles: DataFrame, write, checkpoint: str, every: str | None) -> StreamingQuery:
+    writer = candles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def start_ingest(
-    candles: DataFrame, target: str, checkpoint: str, arrival: list[str], every: str | None = None, strict: bool = False
+    candles: DataFrame, table: str, checkpoint: str, arrival: list[str], every: str | None = None, strict: bool = False
 ) -> StreamingQuery:
-    """candles: a stream of normalised candles. every: the trigger's interval; none: what is there, then stop. strict:
-    leave gaps behind the high-water mark as they are."""
-    spark, schema = candles.sparkSession, candles.schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(target)
-    plain = ingest_batch(target, schema, arrival)
-
-    def beyond_mark(batch: DataFrame, n: int) -> None:
-        marks = batch.sparkSession.read.schema(schema).parquet(target).groupBy("symbol").agg(F.max("open_time_ms").alias("__mark"))
-        late = batch.join(marks, "symbol", "left").where("__mark IS NULL OR open_time_ms > __mark").drop("__mark")
-        plain(late, n)
-
-    writer = candles.writeStream.foreachBatch(beyond_mark if strict else plain).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-
-
-def score_touched(stored: DataFrame, batch: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC, coefficients=FROZEN) -> DataFrame:
-    """Scores of the batch's keys, from the touched symbols' rows since LOOK_BACK rows before the batch's first key."""
-    keys = batch.select("symbol", "open_time_ms").distinct()
-    first = keys.groupBy("symbol").agg(F.min("open_time_ms").alias("__first"))
-    touched = stored.join(first, "symbol")
-    before = touched.where(F.col("open_time_ms") < F.col("__first"))
-    # Count back by minutes of stored rows: day counts bound what is ranked.
-    from pyspark.sql import Window
+    """Appends the new minutes of a stream of normalised candles to the stored table, whose one writer is this query. A replayed
+    batch adds nothing. every: the trigger's interval; none: what is there, then stop. strict: leave gaps behind the high-water mark
+    as they are."""
+    create_if_absent(candles.sparkSession, table)
 
-    w = Window.partitionBy("symbol").orderBy(F.desc("open_time_ms"))
-    recent = before.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= LOOK_BACK).drop("__r")
-    rows = recent.unionByName(touched.where(F.col("open_time_ms") >= F.col("__first"))).drop("__first")
-    made = score(features(rows.select("symbol", "open_time_ms", "close"), spec), coefficients)
+    def write(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            append_new(table, beyond_mark(batch.sparkSession.table(table), batch) if strict else batch, arrival)
+
+    return _started(candles, write, checkpoint, every)
+
+
+def recent_rows(history: DataFrame, first: DataFrame, n: int) -> DataFrame:
+    """The history's rows of the symbols of first (symbol, __first), back to n rows or more before that time, or to the symbol's first
+    row. Whole days are read, four times as many while some symbol has too few rows in them and has older ones."""
+    start = first.agg(F.min("__first")).first()[0]
+    if start is None:
+        return history.where("false")
+    day = as_stored(history.sparkSession.createDataFrame([("", start)], "symbol string, open_time_ms long")).first()["open_date"]
+    days = math.ceil(n / MINUTES_A_DAY) + 1
+    while True:
+        since = F.lit(day - timedelta(days=days))
+        rows = with_small(history.where(F.col("open_date") >= since), first, "symbol").where("__first IS NOT NULL")
+        before = rows.where("open_time_ms < __first").groupBy("symbol").agg(F.count(F.lit(1)).alias("__n"))
+        short = stored(first.join(before, "symbol", "left").where(f"coalesce(__n, 0) < {n}").select("symbol"), "short-symbols")
+        names = [r[0] for r in short.limit(NAMED_SYMBOLS + 1).collect()]
+        older = history.where(F.col("open_date") < since)
+        older = older.where(F.col("symbol").isin(names)) if len(names) <= NAMED_SYMBOLS else older.join(short, "symbol", "left_semi")
+        if not names or older.select("symbol").isEmpty():
+            return rows.drop("__first")
+        days *= 4
+
+
+def score_touched(history: DataFrame, keys: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC, coefficients=FROZEN) -> DataFrame:
+    """Scores of the keys (symbol, open_time_ms), from as many rows before each symbol's first key as the spec looks back."""
+    first = stored(keys.groupBy("symbol").agg(F.min("open_time_ms").alias("__first")), "touched")
+    rows = recent_rows(history, first, rows_before(spec))
+    made = score(features(rows.select("symbol", "open_time_ms", "close", "open_date"), spec), coefficients)
     return made.join(keys, ["symbol", "open_time_ms"], "left_semi")
 
 
 def start_scoring(
-    candles: DataFrame, table: str, scores: str, checkpoint: str, arrival: list[str], every: str | None = None
+    candles: DataFrame, table: str, scores: str, checkpoint: str, arrival: list[str], every: str | None = None,
+    spec: tuple[Indicator, ...] = DEFAULT_SPEC, coefficients=FROZEN,
 ) -> StreamingQuery:
-    """Ingests a stream of candles into `table` and appends the new keys' scores to `scores`."""
-    spark, schema = candles.sparkSession, candles.schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(table)
+    """Ingests a stream of candles into `table` and appends the new keys' scores to the table `scores`. A late row is scored when it
+    comes; scores of later rows stay as they are."""
+    create_if_absent(candles.sparkSession, table)
+    create_if_absent(candles.sparkSession, scores, SCORES)
 
     def write(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        here = batch.sparkSession.read.schema(schema)
-        insert_or_ignore(here.parquet(table), batch, arrival).write.mode("append").parquet(table)
-        done = batch.sparkSession.read.schema(score_schema).parquet(scores).select("symbol", "open_time_ms")
-        new = score_touched(here.parquet(table), batch).select(*score_schema.fieldNames())
-        new.join(done, ["symbol", "open_time_ms"], "left_anti").write.mode("append").parquet(scores)
-
-    empty = spark.createDataFrame([], "symbol string, open_time_ms long, close double, predicted_proba_spike double")
-    score_schema = empty.schema
-    empty.write.mode("append").parquet(scores)
-    writer = candles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        spark = batch.sparkSession
+        append_new(table, batch, arrival)
+        keys = stored(as_stored(batch).select("symbol", "open_time_ms", "open_date").distinct(), "batch-keys")
+        done = on_days(spark.table(scores), days_of(keys)).select("symbol", "open_time_ms")
+        new = score_touched(spark.table(table), keys.join(done, ["symbol", "open_time_ms"], "left_anti"), spec, coefficients)
+        append_partitions(stored(new, "new-scores"), scores)
+
+    return _started(candles, write, checkpoint, every)
+
+
+def carried(values: np.ndarray, alpha: float, before: float | None) -> np.ndarray:
+    """The exponential mean of values that follow a mean."""
+    series = pd.Series(values if before is None else np.concatenate([[before], values]))
+    return series.ewm(alpha=alpha, adjust=False).mean().to_numpy()[0 if before is None else 1 :]
 
 
 class MeansState(StatefulProcessor):
-    """RSI and MACD difference of each symbol, carried from batch to batch. Rows must come in the order of time;
-    those at or before the last row are left out."""
+    """RSI and MACD difference of each symbol, carried from batch to batch. Rows must come in the order of time from batch to batch;
+    those at or before the last row are left out. A micro-batch's rows of one symbol are held at once, so land the feed by time and
+    bound the files of a trigger."""
 
     RSI = 14
 
@@ -99,28 +128,33 @@ class MeansState(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("open_time_ms").drop_duplicates("open_time_ms")
-        have = self.state.get() if self.state.exists() else None
-        last, n, close, gain, loss, fast, slow, signal = have or (-1, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-        mean = lambda old, new, a: a * new + (1 - a) * old
-        out = []
-        for ms, c in zip(frame["open_time_ms"], frame["close"], strict=True):
-            if ms <= last:
-                continue
-            move = c - close if n else 0.0
-            up, down = max(move, 0.0), max(-move, 0.0)
-            gain = mean(gain, up, 1 / self.RSI) if n else up
-            loss = mean(loss, down, 1 / self.RSI) if n else down
-            fast = mean(fast, c, span(FAST)) if n else c
-            slow = mean(slow, c, span(SLOW)) if n else c
-            if n >= SLOW - 1:
-                signal = mean(signal, fast - slow, span(SIGNAL)) if n >= SLOW else fast - slow
-            rsi = (100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)) if n >= self.RSI - 1 else None
-            diff = fast - slow - signal if n >= SLOW + SIGNAL - 2 else None
-            out.append((key[0], ms, c, rsi, diff))
-            last, n, close = ms, n + 1, c
-        self.state.update((int(last), int(n), float(close), float(gain), float(loss), float(fast), float(slow), float(signal)))
-        yield pd.DataFrame(out, columns=["symbol", "open_time_ms", "close", "rsi_backward_14", "macd_diff"])
+        last, n, *means = self.state.get() if self.state.exists() else (-1, 0, *[None] * 6)
+        close, gain, loss, fast, slow, signal = means
+        frame = pd.concat([part[part["open_time_ms"] > last] for part in rows])
+        frame = frame.sort_values("open_time_ms", kind="stable").drop_duplicates("open_time_ms")
+        if len(frame):
+            c, place = frame["close"].to_numpy(), n + np.arange(len(frame))
+            if np.isnan(c).any():
+                raise ValueError("a close is missing")
+            move = np.diff(c, prepend=c[0] if close is None else close)
+            ups, downs = (carried(np.maximum(m, 0), 1 / self.RSI, b) for m, b in ((move, gain), (-move, loss)))
+            fasts, slows = carried(c, span(FAST), fast), carried(c, span(SLOW), slow)
+            macd, diff = fasts - slows, np.full(len(c), np.nan)
+            late = place >= SLOW - 1
+            if late.any():
+                signals = carried(macd[late], span(SIGNAL), signal)
+                diff[late] = macd[late] - signals
+                signal = float(signals[-1])
+            diff[place < SLOW + SIGNAL - 2] = np.nan
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rsi = np.where(downs == 0, 100.0, 100 - 100 / (1 + ups / downs))
+            rsi[place < self.RSI - 1] = np.nan
+            ends = [float(x[-1]) for x in (c, ups, downs, fasts, slows)]
+            self.state.update((int(frame["open_time_ms"].iloc[-1]), int(n + len(c)), *ends, signal))
+            none = lambda x: pd.Series(x, dtype=object).where(~np.isnan(x), None)
+            yield pd.DataFrame(
+                {"symbol": key[0], "open_time_ms": frame["open_time_ms"].to_numpy(), "close": c, "rsi_backward_14": none(rsi), "macd_diff": none(diff)}
+            )
 
     def close(self) -> None:
         pass
@@ -134,6 +168,18 @@ def stateful_means(candles: DataFrame) -> DataFrame:
     )
 
 
-def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A file stream over a Parquet file or folder. A pattern is given, since a stream takes no lone file by its name."""
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+def event_stream(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """A file stream over a Parquet file or folder. A pattern is given, since a stream takes no lone file by its name. files: how many
+    a micro-batch takes, in the order of their writing."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def land(rows: DataFrame, folder: str, part: str, parts: int) -> DataFrame:
+    """Writes rows as `parts` files, one after the other, by the whole number `part` from 0, so a stream takes them in that order. Choose
+    so many parts that each fits a task. The stream's schema is that of the rows given back."""
+    kept = stored(rows, "to-land")
+    for k in range(parts):
+        kept.where(F.col(part) == k).drop(part).coalesce(1).write.mode("append").parquet(folder)
+    return kept.drop(part)
