@@ -8,11 +8,13 @@ import pyarrow as pa
 import pytest
 
 from tickforge.llm import common, words
+from tickforge.operators import joins
+from tickforge.sources import scratch
 
 
 @pytest.mark.parametrize("rows", [0, 50_000])
 def test_with_small(spark, monkeypatch, rows):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
     left = spark.createDataFrame([(i, "a" if i % 2 else None) for i in range(40)] + [(99, "none")], "id long, k string")
     right = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
     got = sorted((r.id, r.k, r.v) for r in common.with_small(left, right, "k", salts=4).collect())
@@ -21,7 +23,7 @@ def test_with_small(spark, monkeypatch, rows):
 
 def test_stored_in_the_shared_folder(spark):
     df = common.stored(spark.range(5), "probe")
-    assert df.count() == 5 and df.inputFiles()[0].removeprefix("file://").startswith(common.shared_dir(spark))
+    assert df.count() == 5 and df.inputFiles()[0].removeprefix("file://").startswith(scratch.base_dir(spark))
 
 
 def test_split_and_shingles():

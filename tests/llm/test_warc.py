@@ -75,3 +75,11 @@ def test_broken_files(spark, tmp_path):
     (tmp_path / "empty").write_bytes(b"")
     for name, n in (("cut", 2), ("late", 0), ("empty", 0)):
         assert read_warc(spark, str(tmp_path / name)).count() == n, name
+
+
+def test_large_sides(spark, monkeypatch):
+    from tickforge.llm import warc
+
+    monkeypatch.setattr(warc, "NARROW_ROWS", -1)
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string")
+    assert as_rows(archive_pages(df.repartition(2))) == brute(pages())

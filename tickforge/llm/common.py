@@ -1,64 +1,35 @@
-"""What the text operators share: column names, word rules, size-checked joins and stored tables."""
+"""What the text operators share: word rules, columns that are carried along, size-checked joins and stored tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import named, with_small
+from ..sources.scratch import shared_dir, stored
+
+__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "ascii_lower", "carry", "named", "others", "shared_dir", "stored", "unpacked", "with_small"]
+
 #: Characters that separate words and are stripped from lines.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A table of at most so many rows of fixed width (a few MB) may be broadcast.
-BROADCAST_ROWS = 50_000
 
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, a local master gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def others(docs: DataFrame, *replaced: str) -> list[str]:
+    """Names of the columns of docs that no replaced one clashes with; Spark's names know no case."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in docs.columns if c.lower() not in gone]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: a lost executor loses none of it."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def carry(docs: DataFrame, names: list[str]) -> Column:
+    """The named columns as one struct `own`, in which they clash with no working column. unpacked() takes them out again."""
+    return F.struct(*[named(c) for c in names] or [F.lit(0).alias("none")]).alias("own")
 
 
-def with_small(df: DataFrame, table: DataFrame, key: str, salts: int = 32, width: Column | None = None) -> DataFrame:
-    """Left join to a table with one row a key. Broadcast if its rows are counted to be few;
-    else a shuffle join in which every key is spread over `salts` parts. Null keys match. width: how many rows of fixed
-    width a row counts for, where it holds arrays."""
-    names = [c for c in table.columns if c != key]
-    rows = table.count() if width is None else table.agg(F.sum(width)).first()[0] or 0
-    if rows <= BROADCAST_ROWS:
-        right = F.broadcast(table.withColumnRenamed(key, "__key"))
-        on = df[key].eqNullSafe(right["__key"])
-        return df.join(right, on, "left").drop("__key")
-    left = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    right = table.withColumnRenamed(key, "__key").withColumn(
-        "__part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    on = left[key].eqNullSafe(right["__key"]) & (left["__salt"] == right["__part"])
-    return left.join(right, on, "left").select(*df.columns, *names)
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("own").getField(c).alias(c) for c in names]

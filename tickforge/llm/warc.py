@@ -8,7 +8,7 @@ is no record. A record that holds such lines is put together from its pieces, fe
 Defined cases: a null payload is empty; a null page id is an ordinary id, below all others; rows that repeat the
 largest id of equal payloads are all responses; a null url gives no target header, and control characters in urls are left
 out; a file that doesn't start with a record, and a record cut short by the file's end, give nothing; an empty table
-gives an empty archive. Other columns aren't carried.
+gives an empty archive. Other columns aren't carried. Page ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import shared_dir, stored
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -177,6 +177,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    path = fresh_path(pages.sparkSession, "warc")
+    path = shared_dir(pages.sparkSession, "warc")
     write_warc(pages, path, min_bytes)
     return read_warc(pages.sparkSession, path)

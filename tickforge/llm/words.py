@@ -8,22 +8,33 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 3_000_000
+#: Bytes and rows of text worked on at once; a longer text is a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 4_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def release() -> None:
+    """Gives the memory of freed Arrow buffers back: a worker that waits for its next task holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+
+
+def cuts(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, stop) of slices of at most `most` bytes and SLICE_ROWS rows."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = min(max(start + 1, int(np.searchsorted(ends, before + most, side="right"))), start + SLICE_ROWS)
+        yield start, stop
+        start = stop
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends, start = np.cumsum(sizes), 0
-        while start < batch.num_rows:
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        for start, stop in cuts(batch.column(column), most):
             yield batch.slice(start, stop - start)
-            start = stop
+        del batch
+        release()
 
 
 def split(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
