@@ -10,11 +10,10 @@ from .mixing import mix_sources
 from .mpeg import text_media
 from .ngram_join import near_components
 from .pieces import round_trip
-from .quality import COUNTS, fit_groups, judge, with_counts
+from .quality import COUNTS, quality
 from .sharding import shard_ring
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
-from .common import stored
 from .warc import archive_pages
 
 QUERIES: dict = {}
@@ -131,8 +130,7 @@ SELECT page_id, payload_bytes, payload_digest,
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    rows = stored(with_counts(docs).drop("text"), "quality")
-    return judge(rows, fit_groups(rows)).select("doc_id", *COUNTS[:5], "base_failed", "kept", "distance", "group_level")
+    return quality(docs, keep_text=False).select("doc_id", *COUNTS[:5], "base_failed", "kept", "distance", "group_level")
 
 
 @query
