@@ -1,7 +1,6 @@
 """The whole pipeline against plain Python on a small corpus."""
 
 import hashlib
-import math
 import random
 from collections import Counter
 from fractions import Fraction
@@ -12,7 +11,7 @@ import corpus_pipeline
 from tests.llm.test_native import brute_lines, poisson_inverse
 from tests.llm.test_ngram_join import brute as brute_components
 from tests.llm.test_quality import brute as brute_counts
-from tests.llm.test_quality import plain_mcd
+from tests.llm.test_quality import plain_mcd, vector
 from tickforge.llm import quality as Q
 from tickforge.llm.queries import vocabulary
 
@@ -40,17 +39,13 @@ def corpus():
 def plain(rows):
     stats = {i: brute_counts(t) for i, t, _, _ in rows}
 
-    def vector(i):
-        w, c, s, d, r, n = stats[i]
-        return np.array([math.log(max(w, 1)), math.log(max(c, 1) / max(w, 1)), math.sqrt(s / max(w, 1)), math.sqrt(d / max(n, 1)), math.sqrt(r / max(w, 1))])
-
     failed = {i: v[0] < 20 or 100 * v[4] > 30 * v[0] for i, v in stats.items()}
     estimates = {}
 
     def estimate(lang, source):
         if (lang, source) not in estimates:
             for pick in ([r for r in rows if r[2:] == (lang, source)], [r for r in rows if r[2] == lang], rows):
-                good = [vector(r[0]) for r in pick if not failed[r[0]]]
+                good = [vector(stats[r[0]]) for r in pick if not failed[r[0]]]
                 if len(good) >= Q.MIN_ROWS:
                     break
             estimates[lang, source] = plain_mcd(np.array(good))
@@ -59,7 +54,7 @@ def plain(rows):
     kept = []
     for i, t, lang, source in rows:
         mu, inv = estimate(lang, source)
-        x = vector(i) - mu
+        x = vector(stats[i]) - mu
         if not failed[i] and x @ inv @ x <= Q.CUT:
             kept.append((i, t, lang, source))
     texts = {i: t for i, _, _, t in brute_lines([r[:2] for r in kept])}
