@@ -78,3 +78,36 @@ def test_components(spark):
     got = {r.id: r.label for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert {got[i] for i in range(61)} == {0} and got[300] == 100 and got[1199] == 1000 and 5 in got
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_large_sides_and_short_blocks(spark, monkeypatch):
+    """Nothing is broadcast, and lists are cut into blocks of three: the same components."""
+    from tickforge.llm import components as module
+    from tickforge.llm import ngram_join
+
+    for m, n in ((ngram_join, "NARROW_ROWS"), (module, "NARROW_ROWS")):
+        monkeypatch.setattr(m, n, -1)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 4)
+    rng = random.Random(5)
+    shared = " ".join(f"s{i}" for i in range(70))
+    rows = corpus(9) + [(2000 + i, shared + " " + " ".join(f"o{i}-{j}" for j in range(rng.randint(6, 14)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in near_components(df, 3, "0.9").collect())
+    assert got == brute(rows, 3, Fraction("0.9"))
+
+
+def test_shorter_prefix_loses_no_pair(spark):
+    from pyspark.sql import functions as F
+
+    from tickforge.llm.ngram_join import band, needed, shorter_prefix
+
+    for limit in map(Fraction, ("0.5", "0.8", "0.9", "1")):
+        df = spark.range(1, 400).withColumnRenamed("id", "a").join(spark.range(1, 400).withColumnRenamed("id", "b"), F.col("b").between(F.col("a"), F.ceil(F.col("a") / float(limit))))
+        n, m = F.col("a"), F.col("b")
+        row = df.select(n, m, needed(limit, n, m).alias("need"), shorter_prefix(limit, n).alias("short"), band(limit, n).alias("u"), band(limit, m).alias("v")).collect()
+        for r in row:
+            o = next(o for o in range(r.a + r.b + 1) if o * limit.denominator >= limit.numerator * (r.a + r.b - o))
+            assert r.need == o
+            if o <= r.a:  # a shared shingle is among the first a - o + 1
+                assert r.short >= r.a - o + 1 and abs(r.u - r.v) <= 1

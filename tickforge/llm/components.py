@@ -1,7 +1,11 @@
 """Connected components of links between ids, by alternating large-star and small-star steps on Spark.
 
 No vertex's neighbours are ever gathered: each step takes minima by vertex, aggregated before the shuffle, and joins them
-back. Tables are written to the shared folder between steps.
+back. Few minima are broadcast; many are written first, so both sides of the join are exchanges whose skewed parts adaptive
+execution splits: star links make hubs. Tables are written to the shared folder between steps.
+
+Defined cases: links of an id to itself, repeated links and links told both ways count once; ids without links are left out; no
+links give no rows. Ids must not be null: such a link is left out.
 """
 
 from __future__ import annotations
@@ -11,12 +15,17 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Minima of at most so many vertices (16 bytes each) may be broadcast.
+NARROW_ROWS = 200_000
+
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links: (u, v) with u > v. Large star: a vertex's larger neighbours go to the least of its neighbourhood; small star:
-    its smaller neighbours and itself do."""
+def _star(links: DataFrame, large: bool, count: int) -> DataFrame:
+    """links: (u, v) with u > v, `count` of them. Large star: a vertex's larger neighbours go to the least of its neighbourhood;
+    small star: its smaller neighbours and itself do."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    # There are at most twice as many vertices as links.
+    least = F.broadcast(least) if 2 * count <= NARROW_ROWS else stored(least, "least")
     moved = both.join(least, "u")
     if large:
         found = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,7 +45,10 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = _sum(now)
     while True:
-        now = stored(_star(_star(now, True), False), "links")
+        half = _star(now, True, before[0])
+        if 2 * before[0] > NARROW_ROWS:
+            half = stored(half, "half-step")
+        now = stored(_star(half, False, before[0]), "links")
         after = _sum(now)
         if after == before:
             break

@@ -1,19 +1,23 @@
 """N-gram Jaccard join: links between documents whose sets of word shingles are alike, and their components.
 
 Documents of equal sets are one node. Shingles are put in one order for all, rare ones first, by a counted table of hash
-buckets; a set's first shingles are its prefix. Nodes meet in the lists of the prefix shingles that they share, and pairs
-pass length and positional filters, then a suffix filter on parity sketches (a bit for each hash range tells whether it holds
-an odd number of shingles, so the bits that differ bound the shingles not shared), and are verified once on the whole sets. To keep groups of near copies linear, each list's nodes first meet only its first node; what these
-links join is one label, and only nodes of different labels meet after that. No link between labels is lost, so the
+buckets; a set's first shingles are its prefix. Nodes meet in the lists of the prefix shingles that they share; of two that meet, the
+smaller set must have the shingle in its shorter prefix, which is enough where the other set is no smaller. Pairs pass length and
+positional filters, then a suffix filter on parity sketches (a bit for each hash range tells whether it holds an odd number of
+shingles, so the bits that differ bound the shingles not shared), and are verified once on the whole sets. To keep groups of near
+copies linear, each list's nodes first meet only its first node; what these links join is one label, and only nodes of different
+labels meet after that, by length band and, in long lists, in blocks of nodes. No link between labels is lost, so the
 components are those of all links.
 
 Defined cases: a null text or one without words has no shingles and links with nothing; fewer words than a shingle are one
-shingle; a null id is an ordinary id, below all others; rows that repeat an id are one document, linked by the set
-with the least fingerprint; an empty table gives an empty result; other columns aren't carried.
+shingle; a null id is an ordinary id, below all others; rows that repeat an id are one document: each of its sets is a node, and
+these are tied (by_row: they are not); an empty table gives an empty result; other columns aren't carried. Ids are whole
+numbers; any other type that doesn't cast to long is refused by Spark.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import named, stored
 from .components import components
 from .words import list_array, mix, shingles, slices, split
 
@@ -31,11 +35,13 @@ from .words import list_array, mix, shingles, slices, split
 FREQUENCY_BITS, CHUNK_BITS = 22, 14
 #: Longs of a set's parity sketch.
 SKETCH = 8
-#: Id tables up to this many rows (at most 40 MB) may be broadcast.
-NARROW_ROWS = 500_000
+#: Id tables up to this many rows (at most 16 MB) may be broadcast.
+NARROW_ROWS = 200_000
 #: A shingle whose bucket counts at most so many documents has a list that one task may sort; longer lists are counted
 #: before the shuffle. Of those, lists with more than HOT_SHARE of the entries, so at most its inverse, join by broadcast.
 SHORT_LIST, HOT_SHARE = 20_000, 1e-5
+#: Nodes of a list that meet each other at once, on either side.
+BLOCK = 256
 NULL_ID = -(2**63)
 
 
@@ -44,7 +50,13 @@ def narrow(table: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    text = named(text_col)
+    return docs.select(F.coalesce(named(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("own"))
+
+
+def quotient(a: Column, b: int) -> Column:
+    """a / b, rounded up, in whole numbers."""
+    return ((a + F.pmod(-a, F.lit(b))) / b).cast("long")
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
@@ -83,7 +95,7 @@ def ceil_of(share: Fraction, n: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, limit: Fraction, table: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, sketch, prefix, n_short): set size, fingerprint of the set, parity by hash range, the rarest
+    """(doc, own, n, f1, f2, sketch, prefix, n_short): hash of the text, set size, fingerprint of the set, parity by hash range, the rarest
     n - ceil(limit * n) + 1 shingles in order, and how many of these, the first, have short lists."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -109,16 +121,16 @@ def prefixes(docs: DataFrame, k: int, limit: Fraction, table: np.ndarray) -> Dat
             first = h[order][head].view(np.int64)
             brief = np.bincount(text[order][head & (often[order] <= SHORT_LIST)], minlength=rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]),
+                [part.column(0), part.column(2), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]),
                  list_array(pa.array(sketch), np.full(rows, SKETCH)), list_array(pa.array(first), length), pa.array(brief.astype(np.int32))],
-                ["id", "n", "f1", "f2", "sketch", "prefix", "n_short"],
+                ["doc", "own", "n", "f1", "f2", "sketch", "prefix", "n_short"],
             )
 
-    return docs.mapInArrow(cut, "id long, n int, f1 long, f2 long, sketch array<long>, prefix array<long>, n_short int")
+    return docs.mapInArrow(cut, "doc long, own long, n int, f1 long, f2 long, sketch array<long>, prefix array<long>, n_short int")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) in the order of the hashes, for docs (id, text, f1, f2): rows whose set has that fingerprint."""
+    """(id, shingles) in the order of the hashes, for docs (id, text, f1, f2): rows whose set has that fingerprint. Node ids."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -138,8 +150,23 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
 
 def needed(limit: Fraction, a: Column, b: Column) -> Column:
     """The least overlap of sets of sizes a and b that are alike enough."""
-    p, q = limit.numerator, limit.denominator
-    return F.ceil(((a.cast("long") + b.cast("long")) * p) / F.lit(p + q) - 1e-9)
+    return quotient((a.cast("long") + b.cast("long")) * limit.numerator, limit.numerator + limit.denominator)
+
+
+def shorter_prefix(limit: Fraction, n: Column) -> Column:
+    """How many of a set's first shingles hold one of every set alike that is no smaller."""
+    return n - quotient(n.cast("long") * 2 * limit.numerator, limit.numerator + limit.denominator) + 1
+
+
+def smaller_has_it(limit: Fraction, n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
+    """Whether the smaller of two sets (either, if equal) has the shared shingle in its shorter prefix."""
+    first, second = pos < shorter_prefix(limit, n), pos2 < shorter_prefix(limit, n2)
+    return F.when(n < n2, first).when(n > n2, second).otherwise(first | second)
+
+
+def band(limit: Fraction, n: Column) -> Column:
+    """Sizes of alike sets lie in one band or in neighbours."""
+    return F.floor(F.log(n.cast("double")) / (-math.log(limit) * 1.000001)).cast("int") if limit < 1 else n.cast("int")
 
 
 def length_and_place(limit: Fraction, n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
@@ -158,17 +185,16 @@ def sketches_allow(limit: Fraction, n: Column, sketch: Column, n2: Column, sketc
     return differ <= n.cast("long") + n2.cast("long") - 2 * needed(limit, n, n2)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, k: int, limit: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, k: int, limit: Fraction) -> DataFrame:
     """(u, v) of the pairs (a, b) that are alike. Each pair comes once. The suffix filter goes first: sets are made again only
     for the documents of the pairs that it leaves."""
-    info = rows.select("id", "n", "sketch")
     side = lambda name: info.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"k_{name}"))
     held = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("need", needed(limit, F.col("n_a"), F.col("n_b")))
     held = held.where(sketches_allow(limit, F.col("n_a"), F.col("k_a"), F.col("n_b"), F.col("k_b")))
     held = stored(held.select("a", "b", "need").distinct(), "pairs")
     users = held.select(F.col("a").alias("id")).unionByName(held.select(F.col("b").alias("id"))).distinct()
-    users = narrow(stored(users.join(rows.select("id", "f1", "f2"), "id").distinct(), "users"))
-    sets = stored(whole_sets(texts.join(users, "id"), k), "sets")
+    users = narrow(stored(users.join(info.select("id", "doc", "f1", "f2"), "id"), "users"))
+    sets = stored(whole_sets(texts.join(users, "doc"), k), "sets")
     one = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"s_{name}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,29 +214,31 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, k: int, limit:
     return held.join(one("a"), "a").join(one("b"), "b").select("a", "b", "need", "s_a", "s_b").mapInArrow(check, "u long, v long")
 
 
-def entries_of(rows: DataFrame) -> DataFrame:
+def entries_of(rows: DataFrame, limit: Fraction) -> DataFrame:
     """(token, id, n, pos): prefix entries. Those of short lists have a neighbour in the list: one shuffle finds them."""
     entry = F.posexplode("prefix").alias("pos", "token")
     brief = rows.where("n_short > 0").select("id", "n", F.posexplode(F.slice("prefix", 1, F.col("n_short"))).alias("pos", "token"))
-    w = Window.partitionBy("token").orderBy("id")
-    brief = brief.withColumn("before", F.lag("id").over(w)).withColumn("next", F.lead("id").over(w))
-    brief = brief.where("before IS NOT NULL OR next IS NOT NULL").select("token", "id", "n", "pos")
+    w = Window.partitionBy("token")
+    small = F.max(F.col("pos") < shorter_prefix(limit, F.col("n"))).over(w)
+    brief = brief.withColumn("before", F.lag("id").over(w.orderBy("id"))).withColumn("next", F.lead("id").over(w.orderBy("id"))).withColumn("small", small)
+    brief = brief.where("small AND (before IS NOT NULL OR next IS NOT NULL)").select("token", "id", "n", "pos")
     long = rows.where("n_short < size(prefix)").select("id", "n", "n_short", entry).where("pos >= n_short")
     return brief.unionByName(long.select("token", "id", "n", "pos"))
 
 
 def in_lists(rows: DataFrame, limit: Fraction) -> DataFrame:
-    """(token, id, n, pos, first, first_n, first_pos): entries of lists with several nodes, each with the list's first: the
-    node with the largest share of its prefix in such lists. So lists of one group of near copies have few different firsts.
-    Which node it is changes no result, only how much is left for later."""
-    entries = stored(entries_of(rows), "entries")
+    """(token, id, n, pos, first, first_n, first_pos): entries of lists with several nodes, of which one has the token in its shorter
+    prefix, each with the list's first: the node with the largest share of its prefix in such lists. So lists of one group of near
+    copies have few different firsts. Which node it is changes no result, only how much is left for later."""
+    entries = stored(entries_of(rows, limit), "entries")
     met = narrow(stored(entries.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "met"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(limit.numerator) / F.lit(limit.denominator) - 1e-9) + 1
+    length = F.col("n") - quotient(F.col("n").cast("long") * limit.numerator, limit.denominator) + 1
     alone = F.floor((1 - F.least(F.col("met") / length, F.lit(1.0))) * (1 << 20)).cast("long")
-    ranked = entries.join(met, "id").select("token", "id", "n", "pos", (F.shiftleft(alone, 32) + F.pmod("id", F.lit(1 << 32))).alias("rank"))
+    small = F.col("pos") < shorter_prefix(limit, F.col("n"))
+    ranked = entries.join(met, "id").select("token", "id", "n", "pos", small.alias("small"), (F.shiftleft(alone, 32) + F.pmod("id", F.lit(1 << 32))).alias("rank"))
     shape = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
-    lists = ranked.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", "rank").alias("first"), F.min_by(shape, "rank").alias("shape"))
-    lists = lists.where("members > 1").select(
+    lists = ranked.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.max("small").alias("small"), F.min_by("id", "rank").alias("first"), F.min_by(shape, "rank").alias("shape"))
+    lists = lists.where("members > 1 AND small").select(
         "token", "members", "first", F.shiftright("shape", 32).cast("int").alias("first_n"), F.col("shape").bitwiseAND(0xFFFFFFFF).cast("int").alias("first_pos")
     )
     lists = stored(lists, "lists")
@@ -221,42 +249,88 @@ def in_lists(rows: DataFrame, limit: Fraction) -> DataFrame:
     return entries.join(hot, "token").unionByName(cold)
 
 
-def near_components(
-    docs: DataFrame, k: int = 5, limit: str = "0.8", id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs. component_id: the least id reachable by links."""
+def between_labels(held: DataFrame, sketches: DataFrame, limit: Fraction) -> DataFrame:
+    """(a, b): pairs of nodes of different labels that meet in a list and pass all filters, for held (token, id, n, pos, label, main).
+    Nodes outside a list's main label meet all others. A list's nodes are cut into blocks on both sides, so no task joins a whole
+    long list."""
+    outside = F.col("label") != F.col("main")
+    parts = lambda c: F.ceil(c / BLOCK).cast("int")
+    lists = held.groupBy("token").agg(parts(F.count_if(outside)).alias("xs"), parts(F.count(F.lit(1))).alias("ys")).where("xs > 0")
+    members = held.join(narrow(stored(lists, "open-lists")), "token").join(sketches, "id")
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = band(limit, F.col("n"))
+    side = lambda df, mark: df.select("token", "band", "xpart", "ypart", *[F.col(c).alias(c + mark) for c in ("id", "n", "pos", "label", "main", "sketch")])
+    x = side(members.where(outside).withColumn("band", own).withColumn("xpart", part("xs")).withColumn("ypart", every("ys")), "_x")
+    y = side(members.withColumn("band", F.explode(F.array(own - 1, own, own + 1))).withColumn("ypart", part("ys")).withColumn("xpart", every("xs")), "_y")
+    n, pos, n2, pos2 = (F.col(c) for c in ("n_x", "pos_x", "n_y", "pos_y"))
+    found = x.join(y, ["token", "band", "xpart", "ypart"]).where(
+        (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main_y")) | (F.col("id_x") < F.col("id_y")))
+        & length_and_place(limit, n, pos, n2, pos2) & smaller_has_it(limit, n, pos, n2, pos2)
+        & sketches_allow(limit, n, F.col("sketch_x"), n2, F.col("sketch_y"))
+    )
+    return found.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+
+
+def alike_sets(docs: DataFrame, k: int, limit: str, id_col: str, text_col: str, by_row: bool) -> DataFrame:
+    """(doc, own, n, f1, f2, label): a row for each row of docs, with the node id that names its component."""
     share = Fraction(limit)
     texts = keyed(docs, id_col, text_col)
     table = frequencies(texts, k)
     every = stored(prefixes(texts, k, share, table), "prefixes")
-    chosen = stored(every.groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("f")).select("id", "f.*"), "chosen")
-    nodes = stored(chosen.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id")), "nodes")
-    rows = every.join(narrow(nodes), ["id", "f1", "f2"])
+    # An id of several rows gives each of its sets a number of its own; so does the missing id.
+    several = every.where("n > 0").groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where(f"rows > 1 OR doc = {NULL_ID}")
+    several = stored(several.select("doc", F.lit(True).alias("multi")), "several")
+    repeats = not several.isEmpty()
+    node = F.col("doc")
+    if repeats:
+        every = every.join(narrow(several), "doc", "left")
+        node = F.when(F.col("multi"), F.xxhash64("doc", "f1", "f2")).otherwise(node)
+        texts = texts.dropDuplicates(["doc", "own"])
+    every = every.withColumn("set_id", node)
+    nodes = stored(every.where("n > 0").groupBy("f1", "f2").agg(F.min("set_id").alias("set_id")), "nodes")
+    rows = every.join(narrow(nodes), ["set_id", "f1", "f2"]).withColumnRenamed("set_id", "id")
+    rows = rows.dropDuplicates(["id"]) if repeats else rows
+    info = stored(rows.select("id", "doc", "n", "f1", "f2", "sketch"), "sets-info")
     shared = stored(in_lists(rows, share), "shared")
     fits = length_and_place(share, F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos"))
     stars = stored(shared.where((F.col("id") != F.col("first")) & fits).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "stars")
-    links = stored(verified(stars, rows, texts, k, share), "links-1")
+    links = stored(verified(stars, info, texts, k, share), "links-1")
     labels = components(links)
     # Lists that still hold several labels: nodes outside the first node's label meet all others that differ.
     label = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     main = labels.select(F.col("id").alias("first"), F.col("label").alias("main"))
     held = label(shared.select("token", "id", "n", "pos", "first")).join(main, "first", "left").withColumn("main", F.coalesce("main", "first"))
     held = stored(held.drop("first"), "labelled")
-    open_lists = held.where("label <> main").select("token").distinct()
-    members = held.join(open_lists, "token", "left_semi").join(rows.select("id", "sketch"), "id")
-    x = members.where("label <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "label", "sketch")])
-    y = members.select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "label", "main", "sketch")])
-    rest = x.join(y, "token").where(
-        (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main_y")) | (F.col("id_x") < F.col("id_y")))
-        & length_and_place(share, F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"))
-        & sketches_allow(share, F.col("n_x"), F.col("sketch_x"), F.col("n_y"), F.col("sketch_y"))
-    )
-    rest = stored(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    more = stored(verified(rest, rows, texts, k, share), "links-2")
-    labels = components(links.unionByName(more))
-    named = nodes.select("id", "f1", "f2").join(labels, "id", "left").select("f1", "f2", F.coalesce("label", "id").alias("label"))
-    comp = chosen.join(named, ["f1", "f2"], "left").select("id", F.coalesce("label", "id").alias("label"))
-    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return every.select("id", "n").join(comp, "id").select(
-        real("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("label").alias("component_id")
-    )
+    rest = between_labels(held, info.select("id", "sketch"), share)
+    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    more = links.unionByName(stored(verified(rest, info, texts, k, share), "links-2"))
+    named_rows = every.join(narrow(nodes.withColumnRenamed("set_id", "node")), ["f1", "f2"], "left")
+    if repeats and not by_row:
+        tied = named_rows.where(f"multi AND doc <> {NULL_ID} AND n > 0").select("doc", "node").distinct()
+        hub = tied.groupBy("doc").agg(F.min("node").alias("v"))
+        more = more.unionByName(tied.join(hub, "doc").select(F.col("node").alias("u"), "v").where("u <> v"))
+    labels = components(more).withColumnRenamed("id", "node")
+    named_rows = named_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node", "set_id"))
+    return named_rows.select("doc", "own", "n", "f1", "f2", "label")
+
+
+def near_components(
+    docs: DataFrame, k: int = 5, limit: str = "0.8", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs. component_id: the least id reachable by links."""
+    rows = stored(alike_sets(docs, k, limit, id_col, text_col, False), "alike")
+    least = narrow(stored(rows.groupBy("label").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many"), "least"))
+    real = lambda c: F.when(c != NULL_ID, c)
+    # A document without shingles is alone, whatever its id's other rows hold.
+    comp = F.when(F.col("n") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc"))
+    return rows.join(least, "label", "left").select(real(F.col("doc")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(comp).alias("component_id"))
+
+
+def near_copies(docs: DataFrame, k: int = 5, limit: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, own): id (NULL_ID where it is missing) and xxhash64 of the text of every row that is a near copy of a row before it in
+    the order of id and text hash. Rows of one id are judged each by its own text; rows equal in both are one."""
+    rows = stored(alike_sets(docs, k, limit, id_col, text_col, True).where("n > 0").select("label", "doc", "own").distinct(), "alike")
+    least = stored(rows.groupBy("label").agg(F.min(F.struct("doc", "own")).alias("keeper"), F.count(F.lit(1)).alias("many")).where("many > 1"), "keepers")
+    found = rows.join(narrow(least), "label").where((F.col("doc") != F.col("keeper.doc")) | (F.col("own") != F.col("keeper.own")))
+    return found.select("doc", "own")
