@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickforge.llm import pieces as P
@@ -90,3 +91,21 @@ def test_suffix_array():
     low, high = P.occurrences(text, order, np.array(want), np.array([2, 2, 2]))
     for w, a, b in zip(want, low, high, strict=True):
         assert sorted(order[a:b]) == [i for i in range(199) if tuple(text[i : i + 2]) == w]
+
+
+def test_unbroken_texts(monkeypatch):
+    """Units longer than what is indexed at once, cut anywhere, and a text of a million characters without a space."""
+    from pathlib import Path
+
+    import sentencepiece
+
+    proto = Path(vocabulary(MODEL)).read_bytes()
+    library, model = sentencepiece.SentencePieceProcessor(model_proto=proto), P.Model(proto)
+    rng = random.Random(2)
+    long = "".join(rng.choice(["the", "ing", "er", "a", "é", "日", "x", "0"]) for _ in range(400_000))
+    assert model.encode(pa.array([long]))[0].as_py() == library.encode(long)
+    for size in (7, 40, 300):
+        monkeypatch.setattr(P, "INDEXED", size)
+        texts = ["".join(rng.choice("theringaon\u00e9日") for _ in range(rng.randint(1, 700))) for _ in range(20)] + ["a" * 500, "▁" * 90]
+        model = P.Model(proto)
+        assert [x.as_py() for x in model.encode(pa.array(texts))] == library.encode(texts)

@@ -7,32 +7,40 @@ symbols joins them, until none does; short units go through this side by side, l
 the model's own rule; a shortest path over the same edges would give other pieces than a BPE model does. Units and ids come back
 to whole documents by array gathers.
 
+A unit longer than INDEXED is indexed in overlapping parts, and only its edges are kept, sorted by position and length.
+
 Defined cases: a null or empty text has no pieces and decodes to the empty text; characters without a piece become byte pieces;
-rows are independent, so repeated ids, ties and other columns change nothing; the model's own space mark in a text reads as a
-space, so such a text decodes otherwise than it was (round_trip is false); ids out of range are refused.
+rows are independent, so repeated ids and ties change nothing; other columns pass through, and one named like an added column is
+replaced; an empty table gives an empty result; the model's own space mark in a text reads as a space, so such a text decodes
+otherwise than it was (round_trip is false); ids out of range are refused, and so are models of another kind than BPE, with a
+normaliser, without the space mark before the text, or with user-defined symbols. Document ids may be of any type.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
-from .words import list_array, slices
+from .common import carry, named, others, unpacked
+from .words import list_array, release, slices
 
 MARK = "▁"
 #: Distinct units that a worker keeps, with at most 12 characters each on average; the table starts anew when it is full.
 KEPT = 200_000
 #: Bytes of text worked on at once, characters indexed at once, and the longest unit that is relaxed beside others.
-SLICE, INDEXED, SHORT = 2_000_000, 300_000, 200
+SLICE, INDEXED, SHORT = 1_000_000, 200_000, 200
 #: Documents decoded at once.
 DECODED = 500
 BREAK = 0x110000
@@ -85,27 +93,28 @@ def occurrences(text: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths
     return low, high
 
 
-def relax(n: int, cost: Callable[[int, int], float]) -> list[tuple[int, int]]:
-    """Spans of the symbols that are left of n characters. cost(start, stop): of the edge, infinite if there is none."""
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(c, i, i + 2) for i in range(n - 1) if (c := cost(i, i + 2)) < np.inf]
+def relax(n: int, rank: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """Spans of the symbols that are left of n characters. rank(start, stop): place of the edge's score, best first; -1 if
+    there is none. A pair waits as one number, its rank before its place."""
+    end, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    heap = [r << 40 | i for i in range(n - 1) if (r := rank(i, i + 2)) >= 0]
     heapq.heapify(heap)
-    live = [True] * n
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        top = heapq.heappop(heap)
+        i = top & (1 << 40) - 1
         j = end[i]
-        if not live[i] or j >= n or end[j] != stop:
-            continue
-        live[j] = False
-        end[i] = stop
+        if j <= 0 or j >= n or rank(i, end[j]) != top >> 40:
+            continue  # one of the two has changed since
+        stop = end[i] = end[j]
+        end[j] = 0
         if stop < n:
             before[stop] = i
-            if (c := cost(i, end[stop])) < np.inf:
-                heapq.heappush(heap, (c, i, end[stop]))
+            if (r := rank(i, end[stop])) >= 0:
+                heapq.heappush(heap, r << 40 | i)
         h = before[i]
-        if h >= 0 and (c := cost(h, stop)) < np.inf:
-            heapq.heappush(heap, (c, h, stop))
-    return [(i, end[i]) for i in range(n) if live[i]]
+        if h >= 0 and (r := rank(h, stop)) >= 0:
+            heapq.heappush(heap, r << 40 | h)
+    return [(i, end[i]) for i in range(n) if end[i]]
 
 
 def relax_together(starts: np.ndarray, sizes: np.ndarray, cost: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +155,56 @@ def relax_together(starts: np.ndarray, sizes: np.ndarray, cost: Callable[[np.nda
     return first[order], stop[order]
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffers message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        tag = number()
+        size = {1: 8, 5: 4}.get(tag & 7)
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+            continue
+        size = number() if size is None else size
+        yield tag >> 3, message[at : at + size]
+        at += size
+
+
+def refuse_others(proto: bytes) -> None:
+    """Raises unless the model is one that these operators encode as the library does."""
+    # Field numbers of the published model format.
+    piece, trainer, normaliser = 1, 2, 3
+    piece_type, user_defined, model_type, bpe, suffix_space = 3, 4, 3, 2, 24
+    rules, prefix, trim, escape = 2, 3, 4, 5
+    parts = list(fields(proto))
+    made = {k: v for f, m in parts if f == trainer for k, v in fields(m)}
+    norm = {k: v for f, m in parts if f == normaliser for k, v in fields(m)}
+    if made.get(model_type, 1) != bpe or made.get(suffix_space, 0):
+        raise ValueError("not a BPE model with the space mark before words")
+    if norm.get(rules) or not norm.get(prefix, 1) or norm.get(trim, 1) or not norm.get(escape, 1):
+        raise ValueError("the model normalises its text")
+    if any(dict(fields(m)).get(piece_type, 1) == user_defined for f, m in parts if f == piece):
+        raise ValueError("the model has user-defined symbols")
+
+
 class Model:
     """A BPE model's pieces, scores and byte pieces."""
 
     def __init__(self, proto: bytes):
         import sentencepiece
 
+        refuse_others(proto)
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.size = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(self.size)]
@@ -180,6 +233,7 @@ class Model:
         for c, i in self.single.items():
             self.one[ord(c)] = i
         self.cost = -np.array(self.scores)
+        self.rank = np.unique(self.cost, return_inverse=True)[1].tolist()
         self.wide = int(self.lengths.max())
         self.clear()
 
@@ -215,9 +269,9 @@ class Model:
         for u in np.flatnonzero(~brief):
             s = int(starts[u])
 
-            def own(a: int, b: int, s: int = s) -> float:
+            def own(a: int, b: int, s: int = s) -> int:
                 e = edges[s + a, b - a] if b - a <= self.wide else -1
-                return self.cost[e] if e >= 0 else np.inf
+                return self.rank[e] if e >= 0 else -1
 
             left = np.array(relax(int(sizes[u]), own)) + s
             spans.append((left[:, 0], left[:, 1]))
@@ -226,9 +280,14 @@ class Model:
         first, stop = first[by], stop[by]
         ids = np.where(stop - first > 1, edges[first, np.minimum(stop - first, self.wide)], self.one[joined[first]])
         unit = np.searchsorted(starts, first, side="right") - 1
+        ids, unit = self.with_leaves(ids, unit, joined[first])
+        return ids, np.bincount(unit, minlength=len(units))
+
+    def with_leaves(self, ids: np.ndarray, unit: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids and their units, with the byte pieces of characters that have no piece."""
         bare = np.flatnonzero(ids < 0)
-        if len(bare):  # characters without a piece
-            leaves = [self.leaf(int(c)) for c in joined[first[bare]]]
+        if len(bare):
+            leaves = [self.leaf(int(c)) for c in codes[bare]]
             grown = np.ones(len(ids), np.int64)
             grown[bare] = [len(x) for x in leaves]
             place = np.cumsum(grown) - grown
@@ -236,7 +295,36 @@ class Model:
             for p, x in zip(place[bare].tolist(), leaves, strict=True):
                 wide[p : p + len(x)] = x
             ids, unit = wide, np.repeat(unit, grown)
-        return ids.astype(np.int32), np.bincount(unit, minlength=len(units))
+        return ids.astype(np.int32), unit
+
+    def match_long(self, unit: str) -> np.ndarray:
+        """The ids of one long unit, indexed in parts that overlap by less than a piece."""
+        codes = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+        step, keys, found = self.wide + 1, [], []
+        for start in range(0, len(codes), INDEXED):
+            part = codes[start : start + INDEXED + self.wide - 1].astype(np.int64)
+            order = suffix_array(part, self.wide)
+            low, high = occurrences(part, order, self.pieces, self.lengths)
+            hit = np.flatnonzero(high > low)
+            many = high[hit] - low[hit]
+            at = order[np.repeat(low[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            key, own = (start + at) * step + np.repeat(self.lengths[hit], many), np.repeat(self.ids[hit], many).astype(np.int32)
+            own, key = own[at < INDEXED], key[at < INDEXED]
+            by = np.argsort(key)
+            keys.append(key[by])
+            found.append(own[by])
+        edges, ids = array("q", np.concatenate(keys).tobytes()), np.concatenate(found)
+
+        def edge(a: int, b: int) -> int:
+            if b - a > self.wide:
+                return -1
+            key = a * step + b - a
+            at = bisect_left(edges, key)
+            return int(ids[at]) if at < len(edges) and edges[at] == key else -1
+
+        left = np.array(relax(len(codes), lambda a, b: self.rank[e] if (e := edge(a, b)) >= 0 else -1))
+        out = np.array([edge(a, b) if b - a > 1 else self.one[codes[a]] for a, b in left.tolist()])
+        return self.with_leaves(out, np.zeros(len(out), np.int64), codes[left[:, 0]])[0]
 
     def learn(self, units: list[str]) -> None:
         a = 0
@@ -245,7 +333,11 @@ class Model:
             while b < len(units) and (b == a or chars + len(units[b]) <= INDEXED):
                 chars += len(units[b])
                 b += 1
-            ids, sizes = self.match(units[a:b])
+            if chars > INDEXED:
+                ids = self.match_long(units[a])
+                sizes = np.array([len(ids)])
+            else:
+                ids, sizes = self.match(units[a:b])
             self.index.update(zip(units[a:b], range(len(self.index), len(self.index) + b - a), strict=True))
             self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
             self.chars += chars
@@ -281,49 +373,64 @@ class Model:
         return pa.array([(b[1:] if b[:1] == b" " else b).decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
 
 
-_loaded: dict[int, Model] = {}
+_loaded: dict[str, Model] = {}
 
 
-def _model(key: int, shared) -> Model:
+def _model(key: str, shared) -> Model:
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = Model(shared.value)
     return _loaded[key]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with `ids_col`, the piece ids of the whole text. The model (under a MB whatever the data) is read on the
-    driver and broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-    key = hash(model_path)
-    own = [c for c in docs.columns if c != ids_col]
+def shared_model(spark, model_path: str) -> tuple:
+    """A digest of the model and its bytes (under a MB whatever the data), read on the driver and broadcast."""
+    proto = Path(model_path).read_bytes()
+    refuse_others(proto)
+    return hashlib.sha256(proto).hexdigest(), spark.sparkContext.broadcast(proto)
+
+
+def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
+    """docs with `ids_col`, the piece ids of the whole text, and `check_col`, if one is named: whether the ids decode to the text."""
+    key, shared = shared_model(docs.sparkSession, model_path)
+    added = [c for c in (ids_col, check_col) if c]
+    names = others(docs, *added)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared)
-        for part in slices(batches, len(own), SLICE):
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], model.encode(part.column(len(own)))], [*own, ids_col])
+        for part in slices(batches, 1, SLICE):
+            made = [model.encode(part.column(1))]
+            if check_col:
+                made.append(pc.equal(decoded(model, made[0]), pc.fill_null(part.column(1), "")))
+            yield pa.RecordBatch.from_arrays([part.column(0), *made], ["own", *added])
 
-    schema = docs.select(*own).schema.add(ids_col, ArrayType(IntegerType()))
-    return docs.select(*own, F.col(text_col).alias("__text")).mapInArrow(work, schema)
+    rows = docs.select(carry(docs, names), named(text_col).alias("text"))
+    schema = rows.select("own").schema.add(ids_col, ArrayType(IntegerType()))
+    schema = schema.add(check_col, BooleanType()) if check_col else schema
+    return rows.mapInArrow(work, schema).select(*unpacked(names), *[named(c) for c in added])
+
+
+def decoded(model: Model, ids: pa.ListArray) -> pa.Array:
+    parts = [model.decode(ids.slice(a, DECODED)) for a in range(0, len(ids), DECODED)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def decode_pieces(spark, model_path: str):
     """A column function from piece ids to text."""
-    shared = spark.sparkContext.broadcast(Path(model_path).read_bytes())
-    key = hash(model_path)
+    key, shared = shared_model(spark, model_path)
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-        model = _model(key, shared)
-        parts = [model.decode(ids.slice(a, DECODED)) for a in range(0, len(ids), DECODED)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        made = decoded(_model(key, shared), ids)
+        release()
+        return made
 
     return decode
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip): round_trip says whether the ids decode to the text."""
-    decode = decode_pieces(docs.sparkSession, model_path)
-    made = encode_pieces(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model_path)
-    same: Column = decode(F.col("ids")) == F.coalesce(F.col("text"), F.lit(""))
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
+    made = encode_pieces(rows, model_path, check_col="round_trip")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
