@@ -118,6 +118,12 @@ def test_ring(spark, slack):
     assert shard_ring(df.limit(0)).count() == 0
 
 
+def test_exact_shards_move_more(spark):
+    df = spark.range(2000).selectExpr("id AS doc_id", "'t' AS text")
+    a, b = ({r.doc_id: r.shard for r in shard_ring(df, n).collect()} for n in (8, 9))
+    assert sum(a[i] != b[i] for i in a) < 0.65 * 2000
+
+
 def test_ring_moves_little(spark):
     df = spark.range(2000).selectExpr("id AS doc_id", "'t' AS text")
     a, b = ({r.doc_id: r.shard for r in shard_ring(df, n, 0.25).collect()} for n in (8, 9))

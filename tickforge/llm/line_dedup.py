@@ -5,7 +5,8 @@ threshold are dropped and the rest reassembled by position. DataFrame functions
 
 Defined cases: a null text is one empty line; an empty table gives an empty result; rows that repeat a
 document id count as one document and each lose the same lines; a null id is an ordinary id, below all
-others; other columns pass through unread. Internal names begin with two underscores.
+others; other columns pass through unread, and one named n_lines or n_dropped is replaced. Ids may be of any type that
+Spark can order.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, text_or_empty
+from .common import SPACES, ascii_lower, carry, named, others, stored, unpacked
 
 SALTS = 16
+ADDED = ["n_lines", "n_dropped"]
 
 
 def split_lines(text: Column) -> Column:
@@ -26,17 +28,12 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def key_hashes(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __text, __pos, __h1, __h2) for each line whose key is long enough. __text tells rows of one id
+def key_hashes(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(id, hash, pos, h1, h2) for each line of rows (id, text, hash) whose key is long enough. The text's hash tells rows of one id
     apart; the two hashes of a key have independent seeds."""
-    line = docs.select(
-        F.col(id_col).alias("__id"),
-        F.xxhash64(text_col).alias("__text"),
-        F.posexplode(F.transform(split_lines(text_or_empty(text_col)), line_key)).alias("__pos", "__line"),
-    ).where(F.char_length("__line") >= min_chars)
-    return line.select(
-        "__id", "__text", "__pos", F.xxhash64("__line").alias("__h1"), F.xxhash64(F.lit(7), "__line").alias("__h2")
-    )
+    lines = F.transform(split_lines(F.coalesce("text", F.lit(""))), line_key)
+    line = rows.select("id", "hash", F.posexplode(lines).alias("pos", "line")).where(F.char_length("line") >= min_chars)
+    return line.select("id", "hash", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def line_dedup(
@@ -44,37 +41,31 @@ def line_dedup(
 ) -> DataFrame:
     """docs with `text_col` reduced, and `n_lines` (before) and `n_dropped`. A key of at least `min_chars` code
     points found in at least `min_docs` documents stays only in the largest id that holds it."""
-    lines = key_hashes(docs, min_chars, id_col, text_col)
+    names = others(docs, *ADDED)
+    text = named(text_col)
+    rows = docs.select(named(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"), carry(docs, [c for c in names if c != text_col]))
+    lines = stored(key_hashes(rows, min_chars), "line-hashes")
     common = (
-        lines.select("__h1", "__h2", "__id")
+        lines.select("h1", "h2", "id")
         .distinct()
-        .groupBy("__h1", "__h2")
-        .agg(F.count(F.lit(1)).alias("__docs"), F.max("__id").alias("__keeper"))
-        .where(F.col("__docs") >= min_docs)
-        .select("__h1", "__h2", "__keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+        .groupBy("h1", "h2")
+        .agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper"))
+        .where(F.col("docs") >= min_docs)
+        .select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    salted = lines.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     dropped = (
-        salted.join(common, ["__h1", "__h2", "__salt"])
-        .where(~F.col("__id").eqNullSafe(F.col("__keeper")))
-        .groupBy("__id", "__text")
-        .agg(F.collect_set("__pos").alias("__gone"))
-    )
-    left = docs.withColumn("__own", F.xxhash64(text_col))
-    joined = left.join(
-        dropped, left[id_col].eqNullSafe(dropped["__id"]) & (left["__own"] == dropped["__text"]), "left"
+        salted.join(common, ["h1", "h2", "salt"])
+        .where(~F.col("id").eqNullSafe(F.col("keeper")))
+        .groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+        .agg(F.collect_set("pos").alias("gone"))
     )
-    all_lines = split_lines(text_or_empty(text_col))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    return (
-        joined.withColumn("__lines", all_lines)
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn(
-            text_col,
-            F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
-                F.array_join(F.transform(kept, lambda p: F.get("__lines", p)), "\n")
-            ),
-        )
-        .select(*docs.columns, "n_lines", "n_dropped")
+    joined = rows.join(dropped, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.array_join(F.transform(kept, lambda p: F.get("lines", p)), "\n")
+    joined = joined.withColumn("lines", split_lines(F.coalesce("text", F.lit("")))).select(
+        "own", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    out = [F.col("text").alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in names]
+    return joined.select(*out, *ADDED)
