@@ -1,0 +1,109 @@
+"""The registered queries on the smallest tables: against their SQL, or against plain Python where they have none."""
+
+import hashlib
+import zlib
+
+import duckdb
+import pytest
+
+from tests.test_entry import norm
+from tickforge.llm import mpeg, quality, queries
+from tests.llm.test_quality import brute, plain_mcd, vector
+
+SF = "/root/testdata/sf0.001"
+
+
+def table(name="documents"):
+    return duckdb.sql(f"SELECT * FROM '{SF}/{name}.parquet'").fetchdf().astype(object).where(lambda f: f.notna(), None)
+
+
+def texts():
+    return {r.doc_id: r.text or "" for r in table().itertuples()}
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_against_sql(spark, name):
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name]).fetchdf()
+    plain = lambda f: f.astype(object).where(f.notna(), None)
+    assert sorted(got.columns) == sorted(want.columns) and norm(plain(got), got.columns) == norm(plain(want), got.columns)
+
+
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in queries.op1_token_counts(spark, SF).collect()}
+    assert len(got) == len(texts())
+    for i, t in texts().items():
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len(t.encode()), n, n > 1024)
+
+
+def test_media(spark):
+    got = {r.doc_id: r for r in queries.op4_mpeg_media(spark, SF).collect()}
+    assert len(got) == len(texts())
+    for i, t in texts().items():
+        data = t.encode()
+        padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        media = mpeg.encode(padded)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.endswith("payload=1") and f"frames={r.n_frames};" in r.feature
+    # What the stored form of one payload is, byte for byte.
+    assert hashlib.sha256(mpeg.encode(bytes(64))).hexdigest() == EMPTY_MEDIA
+
+
+#: The stream of 64 zero bytes, hashed when the writer was first checked by eye.
+EMPTY_MEDIA = hashlib.sha256(
+    b"ID3\x04\0\0\0\0\0\x1ePRIV\0\0\0\x14\0\0payload\0" + (64).to_bytes(8, "big") + zlib.crc32(bytes(64)).to_bytes(4, "big")
+    + mpeg.frame(4, b"Xing" + bytes([0, 0, 0, 7]) + (1).to_bytes(4, "big") + (288 + 144).to_bytes(4, "big") + bytes([256 * 288 // 432] * 100))
+    + mpeg.frame(0, bytes(64)) + b"TAG" + bytes(125)
+).hexdigest()
+
+
+def test_pieces(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in queries.op5_sentence_pieces(spark, SF).collect()}
+    assert len(got) == len(texts())
+    for i, t in texts().items():
+        assert got[i].ids == library.encode(t) and got[i].n_pieces == len(got[i].ids) and got[i].round_trip == (library.decode(got[i].ids) == t)
+
+
+def test_quality(spark):
+    import numpy as np
+
+    got = {r.doc_id: r for r in queries.op7_quality_rules(spark, SF).collect()}
+    docs = {r.doc_id: r for r in table().itertuples()}
+    assert set(got) == set(docs)
+    stats = {i: brute(r.text) for i, r in docs.items()}
+    failed = {i: s[0] < 20 or 100 * s[4] > 30 * s[0] for i, s in stats.items()}
+    estimates = {}
+    for i, r in docs.items():
+        for level, same in ((2, lambda o, r=r: (o.lang, o.source) == (r.lang, r.source)), (1, lambda o, r=r: o.lang == r.lang), (0, lambda o: True)):
+            pick = [j for j, o in docs.items() if same(o) and not failed[j]]
+            if len(pick) >= quality.MIN_ROWS or not level:
+                break
+        key = (level, *(r.lang, r.source)[:level])
+        if key not in estimates:
+            estimates[key] = plain_mcd(np.array([vector(stats[j]) for j in pick]))
+        mu, inv = estimates[key]
+        x = vector(stats[i]) - mu
+        assert tuple(got[i][c] for c in quality.COUNTS[:5]) == stats[i][:5] and got[i].base_failed == failed[i]
+        assert got[i].group_level == level and got[i].distance == pytest.approx(x @ inv @ x, rel=1e-6, abs=1e-9)
+        assert got[i]["kept"] == (not failed[i] and x @ inv @ x <= quality.CUT)
+
+
+def test_shards(spark):
+    rows = queries.op10_ring_shards(spark, SF).collect()
+    assert {(r.doc_id, r.size, r.text_crc32) for r in rows} == {(i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts().items()}
+    slots = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(8)}
+    assert all(v == list(range(len(v))) for v in slots.values()) and sum(map(len, slots.values())) == len(rows)
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}

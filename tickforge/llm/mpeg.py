@@ -6,7 +6,8 @@ frame is as small as it can be. Reader: skips tags, finds frame headers again af
 the checksums, and keeps exact durations (samples) and the byte offset of every frame.
 
 Defined cases: a null text is an empty payload of 64 zero bytes; equal texts give equal streams; rows are independent,
-so repeated ids, ties and other columns change nothing; a null or broken stream has as many frames as can be found.
+so repeated ids and ties change nothing, and ids may be of any type; other columns aren't carried; a null or broken stream, cut
+anywhere, has as many frames as can be found; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import named, stored
 
 # Fixed values of the format: bitrates in kbit/s by (MPEG-1?, layer), sampling rates in Hz by version.
 BITRATES = {
@@ -145,20 +146,19 @@ def decode(data: bytes) -> dict:
             found["checked"] += 1
             given = int.from_bytes(data[at + 4 : at + 6], "big")
             found["bad_crc"] += given != crc16(data[at + 2 : at + 4] + data[at + skip : at + skip + h["side"]])
-        body = at + skip + h["side"]
-        if first and data[body : body + 4] in (b"Xing", b"Info"):
+        body, stop = at + skip + h["side"], at + h["length"]
+        if first and stop - body >= 8 and data[body : body + 4] in (b"Xing", b"Info"):
             flags, p = struct.unpack_from(">I", data, body + 4)[0], body + 8
-            if flags & 1:
-                found["vbr_frames"], p = struct.unpack_from(">I", data, p)[0], p + 4
-            if flags & 2:
-                found["vbr_bytes"] = struct.unpack_from(">I", data, p)[0]
+            for bit, name in ((1, "vbr_frames"), (2, "vbr_bytes")):  # a field that the frame has no room for is not there
+                if flags & bit and p + 4 <= stop:
+                    found[name], p = struct.unpack_from(">I", data, p)[0], p + 4
         else:
             found["seek"].append(at)
             found["kbps"].append(h["kbps"])
             found["samples"] += h["samples"]
-            parts.append(data[body : at + h["length"]])
+            parts.append(data[body:stop])
         first = False
-        at += h["length"]
+        at = stop
     if kind:
         found["rate"], found["mode"] = kind[2], f"{ {3: '1', 2: '2', 0: '2.5'}[kind[0]]}/{kind[1]}/{'mono' if kind[3] else 'stereo'}"
     whole = b"".join(parts)
@@ -178,8 +178,8 @@ def media_of_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 media.append(encode(data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    text = text_or_empty(text_col).cast("binary")
-    return docs.select(id_col, text, F.octet_length(text_or_empty(text_col)).cast("long")).mapInArrow(
+    text = F.coalesce(named(text_col), F.lit(""))
+    return docs.select(named(id_col), text.cast("binary"), F.octet_length(text).cast("long")).mapInArrow(
         make, f"doc_id {kind}, n_bytes long, media binary"
     )
 

@@ -6,11 +6,12 @@ take a shard's room in the order of a second hash. Rounds: in each, all rows not
 still open; at least one shard fills up in every round but the last, so there are at most as many rounds as
 shards. Ranks come from counts of hash buckets, so no task ever ranks a whole shard.
 
-With slack 0 the capacities are exact: shard counts are at most one apart.
+With slack 0 the capacities are exact: shard counts are at most one apart. Exactness is paid with movement: one more shard
+makes every shard smaller, and what overflows goes on clockwise, so about half of the rows may move; with slack 0.25 about a fifth.
 
 Defined cases: a null text has size 1 and the checksum of the empty text; a null id is hashed like any other
 value; rows that repeat an id are ordered by checksum and size, equal rows in any order; an empty table gives an
-empty result. Other columns aren't carried.
+empty result. Other columns aren't carried. Ids may be of any type that Spark can hash and order.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import named, stored
 
 SLOTS, VNODES = 4096, 64
 #: Rows that one bucket of the second hash is meant to hold.
@@ -104,13 +105,14 @@ def shard_ring(
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): slot is gapless from 0 in each shard."""
     points = ring(shards, vnodes)
+    key, text = named(id_col), F.coalesce(named(text_col), F.lit(""))
     base = stored(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(text_or_empty(text_col)) + 1).cast("long").alias("size"),
-            F.crc32(text_or_empty(text_col).cast("binary")).alias("text_crc32"),
-            F.pmod(F.xxhash64(F.lit("place"), id_col), F.lit(SLOTS)).cast("int").alias("__slot"),
-            F.xxhash64(F.lit("order"), id_col).alias("__order"),
+            key.alias("doc_id"),
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.pmod(F.xxhash64(F.lit("place"), key), F.lit(SLOTS)).cast("int").alias("__slot"),
+            F.xxhash64(F.lit("order"), key).alias("__order"),
         ),
         "ring-rows",
     )

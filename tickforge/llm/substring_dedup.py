@@ -9,7 +9,8 @@ A window is known by 64 bits and its bucket, which comes from a second polynomia
 
 Defined cases: a null text has no words; fewer words than a window are all kept; a null id is an ordinary id, below all
 others; rows that repeat an id are one document, so windows that they share with each other stay; windows repeated
-inside one document stay; an empty table gives an empty result; other columns aren't carried.
+inside one document stay; an empty table gives an empty result; other columns aren't carried. Ids are whole numbers; any other
+type that doesn't cast to long is refused by Spark.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import named, stored
 from .words import list_array, mix, slices, split, word_hashes
 
 WINDOW = 50
@@ -121,7 +122,7 @@ def repeated(docs: DataFrame, k: int) -> DataFrame:
     """(id, gone): the hashes of the document's windows that also start in a smaller id."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(6, min(14, (2 * parts - 1).bit_length()))
+    buckets = 1 << max(6, (2 * parts - 1).bit_length())
     rows = unpacked(packed(docs, k, buckets).repartition(parts, "bucket"))
     found = rows.sortWithinPartitions("hash", "bucket", "id").mapInArrow(later_ones, "id long, hash long")
     return found.groupBy("id").agg(F.collect_list("hash").alias("gone"))
@@ -185,7 +186,7 @@ def removed(rows: DataFrame, k: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans), a row for each row of docs. kept: what is left, joined by single spaces.
     spans: the removed words, from start to before end."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), named(text_col).alias("text"))
     found = stored(repeated(texts, window), "repeated")
     if found.count() <= NARROW_ROWS:
         ids = F.broadcast(found.select("id"))

@@ -5,11 +5,14 @@ gives the adjacent pair of the lowest rank to merge, again and again. The count
 merges. Counts of distinct pre-tokens are kept in a bounded table per Python worker.
 
 Defined cases: a null or empty text has no bytes and no tokens; long pre-tokens cost n log n; rows are independent, so
-repeated ids, ties and other columns change nothing; an empty table gives an empty result.
+repeated ids and ties change nothing; other columns aren't carried; an empty table gives an empty result. A vocabulary that
+isn't plain byte-level BPE (another model, splitter or normaliser, merges ignored or dropped, added strings with their own
+space rules) is refused. Ids may be of any type.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -19,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 #: Fixed value: the published pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens kept by a worker, each of at most KEPT_CHARS; the table starts anew when it is full.
@@ -58,6 +63,20 @@ def merge_count(symbols: list[bytes], ranks: dict[tuple[bytes, bytes], int]) ->
     return last + 1 - merges
 
 
+def refuse_others(spec: dict) -> None:
+    """Raises unless the vocabulary is one that Counter counts as the library does."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    ends = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")]
+    if model.get("type", "BPE") != "BPE" or any(ends):
+        raise ValueError("not a plain BPE model")
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError("not the plain byte-level splitter")
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added strings have their own space rules")
+    if not set(byte_names()) <= set(model["vocab"]):
+        raise ValueError("not all bytes are in the vocabulary")
+
+
 class Counter(dict):
     """Pre-token -> tokens, counted when first asked for."""
 
@@ -65,6 +84,7 @@ class Counter(dict):
         import regex
 
         spec = json.loads(vocabulary)
+        refuse_others(spec)
         names = byte_names()
         raw = lambda s: bytes(names[c] for c in s)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
@@ -91,17 +111,19 @@ class Counter(dict):
         return len(parts) - 1 + sum(sum(map(get, self.words(p))) for p in parts)
 
 
-_loaded: dict[int, Counter] = {}
+_loaded: dict[str, Counter] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit). The vocabulary (a tokenizers .json of a byte-level model, a few MB
     whatever the data) is read on the driver and broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_bytes())
-    key = hash(vocabulary_path)
+    vocabulary = Path(vocabulary_path).read_bytes()
+    refuse_others(json.loads(vocabulary))
+    shared, key = docs.sparkSession.sparkContext.broadcast(vocabulary), hashlib.sha256(vocabulary).hexdigest()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _loaded:
+            _loaded.clear()
             _loaded[key] = Counter(shared.value)
         tokens = _loaded[key].tokens
         for batch in batches:
@@ -110,9 +132,9 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024, id_co
                 [batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )
 
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    text = named(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, text_col, size.alias("n_bytes"))
+    rows = docs.select(named(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn(
         "over_limit", F.col("n_tokens") > limit
     )
