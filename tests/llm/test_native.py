@@ -6,7 +6,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from tickforge.llm.line_dedup import line_dedup
 from tickforge.llm.mixing import mix_sources, source_rates
@@ -102,12 +101,12 @@ def test_ring(spark, slack):
     else:
         assert max(sizes) - min(sizes) <= 1
     # one row after another, by rounds
-    slots = {r.doc_id: r for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.lit(4096)).alias("slot"), F.xxhash64(F.lit("order"), "doc_id").alias("o")).collect()}
-    room, rest, want = capacities(len(rows), 8, slack), sorted((slots[i].o, i or -1, i) for i, _ in rows), Counter()
+    bits = lambda name, i: int(hashlib.md5(f"{name}|{'null' if i is None else i}".encode()).hexdigest()[:13], 16)
+    room, rest, want = capacities(len(rows), 8, slack), sorted((bits("ring-order", i), i or -1, i) for i, _ in rows), Counter()
     while rest:
         table, later = owners(ring(8), {s for s in range(8) if room[s] > 0}), []
         for x in rest:
-            s = table[slots[x[2]].slot]
+            s = table[bits("ring-place", x[2]) % 4096]
             if room[s] > 0:
                 room[s] -= 1
                 want[x[2], s] += 1

@@ -193,3 +193,37 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def ring_sql(shards: int = 8, vnodes: int = 64, slots: int = 4096) -> str:
+    """One round after another: rows ask the next open shard clockwise; each shard takes rows in the order of their second hash."""
+    key = "coalesce(doc_id::VARCHAR, 'null')"
+    bits = lambda name: f"('0x' || substr(md5('{name}|' || {key}), 1, 13))::BIGINT"
+    order = "ord, doc_id, text_crc32, size"
+    parts = [f"""WITH bytes_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))
+), coded AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents
+), rest0 AS MATERIALIZED (
+  SELECT doc_id, size, xor(list_reduce(list_concat([4294967295], bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32,
+    {bits("ring-place")} % {slots} AS place, {bits("ring-order")} AS ord FROM coded, bytes_table
+), points AS MATERIALIZED (
+  SELECT s AS shard, ('0x' || substr(h, 1, 8))::BIGINT % {slots} AS at, substr(h, 9, 8) AS tie FROM (SELECT s, md5('shard-' || s || '-' || v) AS h FROM range({shards}) a(s), range({vnodes}) b(v))
+), room0 AS (
+  SELECT s AS shard, n // {shards} + (s < n % {shards})::INT AS room FROM range({shards}) a(s), (SELECT count(*) AS n FROM rest0)
+)"""]
+    for k in range(shards):
+        parts.append(f"""owners{k} AS (
+  SELECT g AS place, arg_min(p.shard, (p.at < g, p.at, p.tie, p.shard)) AS shard FROM range({slots}) a(g), points p JOIN room{k} r ON r.shard = p.shard AND room > 0 GROUP BY g
+), ranked{k} AS MATERIALIZED (
+  SELECT x.*, o.shard, row_number() OVER (PARTITION BY o.shard ORDER BY {order}) <= room AS fits FROM rest{k} x JOIN owners{k} o USING (place) JOIN room{k} r ON r.shard = o.shard
+), room{k + 1} AS MATERIALIZED (
+  SELECT r.shard, room - (SELECT count(*) FROM ranked{k} x WHERE fits AND x.shard = r.shard) AS room FROM room{k} r
+), rest{k + 1} AS MATERIALIZED (SELECT doc_id, size, text_crc32, place, ord FROM ranked{k} WHERE NOT fits)""")
+    placed = " UNION ALL ".join(f"SELECT doc_id, size, text_crc32, ord, shard FROM ranked{k} WHERE fits" for k in range(shards))
+    return ", ".join(parts) + f"""
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY {order}) - 1 AS slot,
+  NULL::INT AS grown_shard FROM ({placed})"""
+
+
+ORACLE_SQL["op10_ring_shards"] = ring_sql()

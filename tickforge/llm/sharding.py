@@ -11,7 +11,7 @@ makes every shard smaller, and what overflows goes on clockwise, so about half o
 
 Defined cases: a null text has size 1 and the checksum of the empty text; a null id is hashed like any other
 value; rows that repeat an id are ordered by checksum and size, equal rows in any order; an empty table gives an
-empty result. Other columns aren't carried. Ids may be of any type that Spark can hash and order.
+empty result. Other columns aren't carried. Ids may be of any type that casts to string.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import named, stored
+from .mixing import UNIT, hashed
 
 SLOTS, VNODES = 4096, 64
 #: Rows that one bucket of the second hash is meant to hold.
@@ -59,7 +60,7 @@ def capacities(rows: int, shards: int, slack: float) -> list[int]:
 
 def _bucket(n: int) -> Column:
     """Buckets 0 to n - 1 in the order of the second hash."""
-    return F.floor((F.col("__order").cast("double") + 2.0**63) / 2.0**64 * n).cast("int")
+    return F.floor(F.col("__order").cast("double") / UNIT * n).cast("int")
 
 
 def _before(rows: DataFrame, shard: str) -> DataFrame:
@@ -111,8 +112,8 @@ def shard_ring(
             key.alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.pmod(F.xxhash64(F.lit("place"), key), F.lit(SLOTS)).cast("int").alias("__slot"),
-            F.xxhash64(F.lit("order"), key).alias("__order"),
+            F.pmod(hashed("ring-place", key), F.lit(SLOTS)).cast("int").alias("__slot"),
+            hashed("ring-order", key).alias("__order"),
         ),
         "ring-rows",
     )
