@@ -1,15 +1,19 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 
 from tickforge.llm import quality as Q
+from tickforge.llm.common import WORD
+
+WORDS = re.compile(WORD)
 
 
 def brute(text):
-    words = Q.word_pattern().findall(text or "")
-    lines = [x for x in (text or "").split("\n") if Q.word_pattern().search(x)]
+    words = WORDS.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
     seen, doubles = set(), 0
     for x in lines:
         doubles += x in seen

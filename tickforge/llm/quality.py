@@ -19,7 +19,6 @@ group_level, kept) is replaced by it; an empty table gives an empty result. Ids
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, carry, named, others, stored, unpacked, with_small
+from .common import SPACES, carry, named, others, stored, unpacked, with_small
 from .words import cuts, mix, owner, release, split, word_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -362,7 +361,3 @@ def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     rows = stored(with_counts(docs, text_col, lang_col, source_col, keep_text), "quality")
     judged = judge(rows, fit_groups(rows))
     return judged.select(*unpacked(own_columns(docs, text_col, keep_text)), *ADDED)
-
-
-def word_pattern() -> re.Pattern:
-    return re.compile(WORD)
