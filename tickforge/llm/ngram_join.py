@@ -35,8 +35,8 @@ from .words import list_array, mix, shingles, slices, split
 FREQUENCY_BITS, CHUNK_BITS = 22, 14
 #: Longs of a set's parity sketch.
 SKETCH = 8
-#: Id tables up to this many rows (at most 16 MB) may be broadcast.
-NARROW_ROWS = 200_000
+#: Id tables up to this many rows (at most 40 MB) may be broadcast.
+NARROW_ROWS = 500_000
 #: A shingle whose bucket counts at most so many documents has a list that one task may sort; longer lists are counted
 #: before the shuffle. Of those, lists with more than HOT_SHARE of the entries, so at most its inverse, join by broadcast.
 SHORT_LIST, HOT_SHARE = 20_000, 1e-5
@@ -214,23 +214,23 @@ def verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, k: int, limit:
     return held.join(one("a"), "a").join(one("b"), "b").select("a", "b", "need", "s_a", "s_b").mapInArrow(check, "u long, v long")
 
 
-def entries_of(rows: DataFrame, limit: Fraction) -> DataFrame:
+def entries_of(rows: DataFrame) -> DataFrame:
     """(token, id, n, pos): prefix entries. Those of short lists have a neighbour in the list: one shuffle finds them."""
     entry = F.posexplode("prefix").alias("pos", "token")
     brief = rows.where("n_short > 0").select("id", "n", F.posexplode(F.slice("prefix", 1, F.col("n_short"))).alias("pos", "token"))
-    w = Window.partitionBy("token")
-    small = F.max(F.col("pos") < shorter_prefix(limit, F.col("n"))).over(w)
-    brief = brief.withColumn("before", F.lag("id").over(w.orderBy("id"))).withColumn("next", F.lead("id").over(w.orderBy("id"))).withColumn("small", small)
-    brief = brief.where("small AND (before IS NOT NULL OR next IS NOT NULL)").select("token", "id", "n", "pos")
+    w = Window.partitionBy("token").orderBy("id")
+    brief = brief.withColumn("before", F.lag("id").over(w)).withColumn("next", F.lead("id").over(w))
+    brief = brief.where("before IS NOT NULL OR next IS NOT NULL").select("token", "id", "n", "pos")
     long = rows.where("n_short < size(prefix)").select("id", "n", "n_short", entry).where("pos >= n_short")
     return brief.unionByName(long.select("token", "id", "n", "pos"))
 
 
 def in_lists(rows: DataFrame, limit: Fraction) -> DataFrame:
-    """(token, id, n, pos, first, first_n, first_pos): entries of lists with several nodes, of which one has the token in its shorter
-    prefix, each with the list's first: the node with the largest share of its prefix in such lists. So lists of one group of near
-    copies have few different firsts. Which node it is changes no result, only how much is left for later."""
-    entries = stored(entries_of(rows, limit), "entries")
+    """(token, id, n, pos, first, first_n, first_pos, small): entries of lists with several nodes, each with the list's first: the
+    node with the largest share of its prefix in such lists. So lists of one group of near copies have few different firsts.
+    Which node it is changes no result, only how much is left for later. small: whether some node has the token in its shorter
+    prefix; only such lists can hold the first meeting of a pair that is alike."""
+    entries = stored(entries_of(rows), "entries")
     met = narrow(stored(entries.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "met"))
     length = F.col("n") - quotient(F.col("n").cast("long") * limit.numerator, limit.denominator) + 1
     alone = F.floor((1 - F.least(F.col("met") / length, F.lit(1.0))) * (1 << 20)).cast("long")
@@ -238,8 +238,8 @@ def in_lists(rows: DataFrame, limit: Fraction) -> DataFrame:
     ranked = entries.join(met, "id").select("token", "id", "n", "pos", small.alias("small"), (F.shiftleft(alone, 32) + F.pmod("id", F.lit(1 << 32))).alias("rank"))
     shape = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
     lists = ranked.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.max("small").alias("small"), F.min_by("id", "rank").alias("first"), F.min_by(shape, "rank").alias("shape"))
-    lists = lists.where("members > 1 AND small").select(
-        "token", "members", "first", F.shiftright("shape", 32).cast("int").alias("first_n"), F.col("shape").bitwiseAND(0xFFFFFFFF).cast("int").alias("first_pos")
+    lists = lists.where("members > 1").select(
+        "token", "members", "small", "first", F.shiftright("shape", 32).cast("int").alias("first_n"), F.col("shape").bitwiseAND(0xFFFFFFFF).cast("int").alias("first_pos")
     )
     lists = stored(lists, "lists")
     total = lists.agg(F.sum("members")).first()[0] or 0
@@ -300,7 +300,7 @@ def alike_sets(docs: DataFrame, k: int, limit: str, id_col: str, text_col: str,
     # Lists that still hold several labels: nodes outside the first node's label meet all others that differ.
     label = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     main = labels.select(F.col("id").alias("first"), F.col("label").alias("main"))
-    held = label(shared.select("token", "id", "n", "pos", "first")).join(main, "first", "left").withColumn("main", F.coalesce("main", "first"))
+    held = label(shared.where("small").select("token", "id", "n", "pos", "first")).join(main, "first", "left").withColumn("main", F.coalesce("main", "first"))
     held = stored(held.drop("first"), "labelled")
     rest = between_labels(held, info.select("id", "sketch"), share)
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
