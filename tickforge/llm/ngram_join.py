@@ -296,7 +296,7 @@ def alike_sets(docs: DataFrame, k: int, limit: str, id_col: str, text_col: str,
     fits = length_and_place(share, F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos"))
     stars = stored(shared.where((F.col("id") != F.col("first")) & fits).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "stars")
     links = stored(verified(stars, info, texts, k, share), "links-1")
-    labels = components(links)
+    labels = narrow(stored(components(links), "labels"))
     # Lists that still hold several labels: nodes outside the first node's label meet all others that differ.
     label = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     main = labels.select(F.col("id").alias("first"), F.col("label").alias("main"))
