@@ -42,3 +42,11 @@ def test_rows_left_out_of_the_fit_are_reported(spark, tmp_path):
     got = registry.q20_logit_table(spark, folder).collect()
     assert len(got) == len(model.FEATURES) and {r.n_not_finite for r in got} == {2}
     assert {r.n_rows for r in got} == {registry.q19_training_sample(spark, folder).count() - 2}
+
+
+def test_events_without_a_value_are_no_offers(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id AS event_id", "id DIV 2 AS minute", "id % 5 AS user_id", "'a' AS event_type", "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 9 = 0 THEN double('NaN') ELSE 1.0D + id % 7 END AS value")
+    folder = events_table(spark, tmp_path, rows)
+    got = registry.q18_feature_matrix(spark, folder).collect()
+    assert {r.open_time_ms for r in got} == {r.open_time_ms for r in registry.candles(spark, folder).collect()} and len(got) > 100
+    assert all(r.close is not None for r in got) and any(r.macd_diff is not None for r in got)

@@ -66,7 +66,7 @@ OFFERS_SQL = """
 offers AS (
   SELECT event_type AS symbol, epoch_ms(ts) - epoch_ms(ts) % 60000 AS open_time_ms,
     strftime(make_timestamp((epoch_ms(ts) - epoch_ms(ts) % 60000 + 7200000) * 1000), '%Y-%m-%d %H:%M') AS open_time,
-    value AS close, event_id AS arrival FROM events
+    value AS close, event_id AS arrival FROM events WHERE value IS NOT NULL AND NOT isnan(value)
 ), candles AS (
   SELECT symbol, open_time_ms, open_time, close FROM offers
   QUALIFY row_number() OVER (PARTITION BY symbol, open_time_ms ORDER BY arrival) = 1
@@ -361,7 +361,7 @@ def q24_stateful_means(spark, sf_dir):
 
 
 LATE_SQL = """WITH fed AS (
-  SELECT event_type AS symbol, epoch_ms(ts) - epoch_ms(ts) % 60000 AS open_time_ms, value AS close, event_id AS arrival, user_id % 2 AS part FROM events
+  SELECT event_type AS symbol, epoch_ms(ts) - epoch_ms(ts) % 60000 AS open_time_ms, value AS close, event_id AS arrival, user_id % 2 AS part FROM events WHERE value IS NOT NULL AND NOT isnan(value)
 ), marks AS (SELECT symbol, max(open_time_ms) AS mark FROM fed WHERE part = 0 GROUP BY symbol),
 told AS (
   SELECT 'lenient' AS mode, * FROM fed UNION ALL

@@ -80,12 +80,13 @@ def as_stored(candles: DataFrame, *more: str) -> DataFrame:
 
 
 def from_events(events: DataFrame, symbol: Column | str = "event_type") -> DataFrame:
-    """(symbol, open_time_ms, close, arrival): an event is an offer of a candle for its minute."""
+    """(symbol, open_time_ms, close, arrival): an event is an offer of a candle for its minute; one without a value is none."""
     name = F.col(symbol) if isinstance(symbol, str) else symbol
-    return events.select(
+    rows = events.select(
         name.alias("symbol"), S.ntz_minute_ms(F.col("ts")).alias("open_time_ms"),
         S.nan_to_null(F.col("value")).alias("close"), F.col("event_id").alias("arrival"),
     )
+    return rows.where(F.col("close").isNotNull())
 
 
 def between(candles: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
