@@ -24,7 +24,7 @@ STORED_BEFORE, BATCH_FROM = "2024-01-16 00:00", "2024-01-15 12:00"
 #: Event ids of one landed line. Ids are unique, so a line holds at most so many candles, about 100 bytes each.
 LINE_IDS = 10_000
 #: Parts in which feeds are landed for streams, one micro-batch each.
-PARTS = 3
+PARTS = 2
 
 
 def query(sql: str | None = None):

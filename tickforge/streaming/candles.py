@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions.scalars import LOCAL_OFFSET_MS
 from ..operators.indicators import DEFAULT_SPEC, FAST, SIGNAL, SLOW, Indicator, features, rows_before, span
 from ..operators.ingest import append_new, append_partitions, beyond_mark, create_if_absent, days_of, on_days
 from ..operators.joins import with_small
@@ -64,7 +65,7 @@ def recent_rows(history: DataFrame, first: DataFrame, n: int) -> DataFrame:
     start = first.agg(F.min("__first")).first()[0]
     if start is None:
         return history.where("false")
-    day = as_stored(history.sparkSession.createDataFrame([("", start)], "symbol string, open_time_ms long")).first()["open_date"]
+    day = datetime.fromtimestamp((start + LOCAL_OFFSET_MS) / 1000, timezone.utc).date()
     days = math.ceil(n / MINUTES_A_DAY) + 1
     while True:
         since = F.lit(day - timedelta(days=days))
