@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lexical_search import lexical_search
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .mpeg import text_media
@@ -13,6 +14,7 @@ from .pieces import round_trip
 from .quality import COUNTS, quality
 from .sharding import shard_ring
 from .substring_dedup import substring_dedup
+from .token_alignment import align_tokens
 from .token_counts import token_counts
 from .warc import archive_pages
 
@@ -227,3 +229,39 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, row_number(
 
 
 ORACLE_SQL["op10_ring_shards"] = ring_sql()
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE_SQL["op13_lexical_search"] = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), found AS (
+  SELECT doc_id, t, count(*) AS tf FROM terms GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM found GROUP BY doc_id
+), corpus AS (
+  SELECT count(*) AS total, sum(n)::BIGINT AS length FROM sizes
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM found GROUP BY t), corpus
+), scales AS (
+  SELECT doc_id, 25 + (75 * n * total) // length AS m FROM sizes, corpus
+), asked AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+  ) GROUP BY ALL
+), scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN found USING (t) JOIN scales USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
