@@ -96,16 +96,16 @@ def test_table(spark, tmp_path):
     assert ingest.append_new(name, rows, ["arrival"]).count() == 2
 
 
-def test_a_batch_reads_only_its_days(spark, tmp_path):
+def test_a_batch_reads_only_its_months(spark, tmp_path):
     name = f"t_{tmp_path.name}"
     ingest.create_if_absent(spark, name)
-    days = [("S", d * 86_400_000 + m * 60_000, 1.0, d) for d in range(12) for m in range(3)]
+    days = [("S", d * 30 * 86_400_000 + m * 60_000, 1.0, d) for d in range(12) for m in range(3)]
     ingest.append_new(name, offers(spark, days), ["arrival"])
-    batch = C.as_stored(offers(spark, [("S", 11 * 86_400_000, 5.0, 1), ("S", 11 * 86_400_000 + 600_000, 6.0, 2)]), "arrival")
-    old = ingest.on_days(spark.table(name), ingest.days_of(batch))
+    batch = C.as_stored(offers(spark, [("S", 330 * 86_400_000, 5.0, 1), ("S", 330 * 86_400_000 + 600_000, 6.0, 2)]), "arrival")
+    old = ingest.touched(spark.table(name), batch)
     new = ingest.insert_or_ignore(old, batch, ["arrival"])
     text = new._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in text and "open_date" in text[text.index("PartitionFilters: ["):].split("]")[0]
+    assert "open_month" in text[text.index("PartitionFilters: ["):].split("]")[0] and "GreaterThanOrEqual(open_time_ms" in text
     assert [r.close for r in new.collect()] == [6.0]
     assert len(old.inputFiles()) == 1  # of twelve
 

@@ -1,7 +1,6 @@
 """Idempotent ingest: the first write of a minute wins, whatever is replayed.
 
-A stored table is partitioned by symbol and day. A batch reads only the stored days that it has rows of, so its cost doesn't follow
-the history.
+A batch reads only the stored months, and of these the row groups, that lie within its times, so its cost doesn't follow the history.
 """
 
 from __future__ import annotations
@@ -10,19 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.candles import PARTITIONS, STORED, as_stored
-from ..sources.scratch import stored
+from ..sources.candles import STORED, as_stored
+from ..sources.scratch import is_whole, once, stored
+from . import tables
 from .joins import with_small
 
 KEY = ["symbol", "__minute"]
 
 
 def create_if_absent(spark: SparkSession, table: str, schema=STORED, path: str | None = None) -> None:
-    """A Parquet table partitioned by symbol and day, in the warehouse or at path. Uniqueness is kept by append_new, with one writer a
-    table."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    place = f" LOCATION '{path}'" if path else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({', '.join(PARTITIONS)}){place}")
+    """A stored table in the warehouse or at path. Uniqueness is kept by append_new, with one writer a table."""
+    tables.create(spark, table, schema, path)
 
 
 def reset(spark: SparkSession, table: str) -> None:
@@ -49,39 +46,38 @@ def insert_or_ignore(old: DataFrame, batch: DataFrame, arrival: list[str]) -> Da
     return new.join(keys, KEY, "left_anti").drop("__minute")
 
 
-def days_of(batch: DataFrame) -> list:
-    """The days of a batch: one value a day on the driver."""
-    return [r[0] for r in batch.select("open_date").distinct().collect() if r[0] is not None]
-
-
-def on_days(table: DataFrame, days: list) -> DataFrame:
-    """The partitions of those days."""
-    return table.where(F.col("open_date").isin(days))
-
-
-def append_partitions(rows: DataFrame, table: str) -> None:
-    """Appends rows, a file for each symbol and day (at most 1,440 rows)."""
-    names = rows.sparkSession.table(table).columns
-    rows.select(*names).repartition(*PARTITIONS).write.insertInto(table)
+def touched(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The stored rows that may share a minute with one of rows (with open_time_ms and open_date)."""
+    return tables.within(table, [(m, a - a % S.MINUTE_MS, z - z % S.MINUTE_MS + S.MINUTE_MS - 1) for m, a, z in tables.bounds(rows)])
 
 
 def append_new(table: str, batch: DataFrame, arrival: list[str]) -> DataFrame:
     """Appends the batch's new minutes to the stored table and gives them back, with their arrival. A replayed batch adds nothing."""
-    rows = as_stored(batch, *arrival)
-    old = on_days(batch.sparkSession.table(table), days_of(rows))
-    new = stored(insert_or_ignore(old, rows, arrival), "new-candles")
-    append_partitions(new, table)
+    rows = stored(as_stored(batch, *arrival), "batch")
+    new = stored(insert_or_ignore(touched(batch.sparkSession.table(table), rows), rows, arrival), "new-candles")
+    tables.append(new, table)
+    return new
+
+
+def append_once(table: str, rows: DataFrame, arrival: list[str], path: str, strict: bool = False) -> DataFrame:
+    """append_new of a stream's batch (as_stored, written). What is new is settled once and written to path before anything is appended, so
+    a try that broke off while appending changes neither the result nor, in strict mode, the marks that rows are held against."""
+    spark = rows.sparkSession
+    again = is_whole(spark, path)
+    wanted = beyond_mark(spark.table(table), rows) if strict and not again else rows
+    new = once(insert_or_ignore(touched(spark.table(table), rows), wanted, arrival), path)
+    tables.append(insert_or_ignore(touched(spark.table(table), new), new, arrival) if again else new, table)
     return new
 
 
-def beyond_mark(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """The rows of batch that are newer than all that the table has of their symbol. Only days from the batch's first on can hold a
-    row that isn't older."""
-    days = days_of(as_stored(batch))
-    if not days:
-        return batch
-    marks = table.where(F.col("open_date") >= F.lit(min(days))).groupBy("symbol").agg(F.max("open_time_ms").alias("__mark"))
-    return with_small(batch, marks, "symbol").where("__mark IS NULL OR open_time_ms > __mark").drop("__mark")
+def beyond_mark(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (as_stored) that are newer than all that the table has of their symbol. Only months from the first of rows on can hold
+    one that isn't older."""
+    spans = tables.bounds(rows)
+    if not spans:
+        return rows
+    marks = table.where(F.col("open_month") >= min(m for m, _, _ in spans)).groupBy("symbol").agg(F.max("open_time_ms").alias("__mark"))
+    return with_small(rows, stored(marks, "marks"), "symbol").where("__mark IS NULL OR open_time_ms > __mark").drop("__mark")
 
 
 def sync_report(batch: DataFrame, inserted: DataFrame) -> DataFrame:

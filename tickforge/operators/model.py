@@ -16,7 +16,7 @@ from .joins import with_small
 FEATURES = [s.column for s in DEFAULT_SPEC]
 CUT_OFF_MS = 240 * 60_000
 Z95 = 1.959963984540054
-#: Coefficients of a reference fit on one series, for scoring without a model.
+#: Coefficients of a fit on one series (the events of sf0.01 as one symbol), for scoring without a model.
 FROZEN = {
     "rsi_backward_14": 0.22649047481,
     "roc_14": -0.00002829786155,
@@ -97,8 +97,9 @@ def score(rows: DataFrame, coefficients: dict[str, float] = FROZEN) -> DataFrame
 
 
 def signal_band(short: float = 0.01, long: float = 0.1) -> Column:
+    """short, long or flat; none where there is no probability."""
     p = F.col("predicted_proba_spike")
-    return F.when(p < short, "short").when(p > long, "long").otherwise("flat")
+    return F.when(p < short, "short").when(p > long, "long").when(p.isNotNull(), "flat")
 
 
 def save(model: GeneralizedLinearRegressionModel, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import indicators as I
-from ..operators import ingest, labels, latest, model
+from ..operators import ingest, labels, latest, model, tables
 from ..operators.blocks import number_rows
 from ..sources import candles as C
 from ..sources.scratch import shared_dir, stored
@@ -304,7 +304,7 @@ SCORE_SQL = f"1 / (1 + exp(-({' + '.join(f'({v!r}) * {k}' for k, v in model.FROZ
 
 
 @query(f"""{MATRIX_SQL}, scored AS (SELECT symbol, open_time_ms, {SCORE_SQL} AS p FROM matrix)
-SELECT symbol, open_time_ms, round(p, 6) AS predicted_proba_spike, CASE WHEN p < 0.01 THEN 'short' WHEN p > 0.1 THEN 'long' ELSE 'flat' END AS signal_band FROM scored""")
+SELECT symbol, open_time_ms, round(p, 6) AS predicted_proba_spike, CASE WHEN p < 0.01 THEN 'short' WHEN p > 0.1 THEN 'long' WHEN p IS NOT NULL THEN 'flat' END AS signal_band FROM scored""")
 def q21_score_bands(spark, sf_dir):
     scored = model.score(I.features(candles(spark, sf_dir))).withColumn("signal_band", model.signal_band())
     return rounded(scored, "predicted_proba_spike").select("symbol", "open_time_ms", "predicted_proba_spike", "signal_band")
@@ -341,7 +341,7 @@ def q23_stream_score(spark, sf_dir):
     table, scores = new_table(spark), new_table(spark, streams.SCORES)
     feed = C.from_events(_stream(spark, _events_by_time(spark, sf_dir)))
     streams.start_scoring(feed, table, scores, shared_dir(spark, "log"), ["arrival"]).awaitTermination()
-    return rounded(spark.table(scores).drop("open_date"), "predicted_proba_spike")
+    return rounded(spark.table(scores).drop("open_date", "bucket", "open_month"), "predicted_proba_spike")
 
 
 @query(f"{RECURSIVE} SELECT symbol, open_time_ms, round(rsi_backward_14, 6) AS rsi_backward_14, round(macd_diff, 6) AS macd_diff FROM recurrences")
@@ -424,3 +424,53 @@ def q28_newest(spark, sf_dir):
         found.append(few.withColumn("list", F.lit(name)).withColumn("place", place))
     both = found[0].unionByName(found[1])
     return both.select("list", "place", "symbol", "close", S.local_text_to_ntz(F.col("open_time")).cast("string").alias("opened"))
+
+
+BAD_FEED_SQL = f"""fed AS (
+  SELECT event_type AS symbol, CASE WHEN event_id % 13 <> 0 THEN epoch_ms(ts) - epoch_ms(ts) % 60000 + event_id % 60000 END AS ms,
+    CASE WHEN event_id % 11 <> 0 AND NOT isnan(value) THEN value END AS close, event_id - event_id % {LINE_IDS} AS line, user_id, event_id,
+    epoch_ms(ts) // 86400000 AS day FROM events
+), days AS (SELECT min(day) AS a, (max(day) - min(day)) // {PARTS} + 1 AS step FROM fed),
+judged AS (SELECT *, ((day - a) // step)::BIGINT AS batch, ms IS NOT NULL AND close IS NOT NULL AS good FROM fed, days),
+told AS (
+  SELECT *, good AND row_number() OVER (PARTITION BY symbol, ms - ms % 60000, good ORDER BY batch, line, user_id, event_id % 60000) = 1 AS won,
+    CASE WHEN good THEN strftime(make_timestamp((ms - ms % 60000 + 7200000) * 1000), '%Y-%m-%d %H:%M') END AS minute FROM judged
+)"""
+
+
+@query(f"""WITH {BAD_FEED_SQL} SELECT batch, symbol, count(*) FILTER (WHERE good) AS attempted, count(*) FILTER (WHERE won) AS inserted,
+  count(*) FILTER (WHERE good AND NOT won) AS ignored, count(*) FILTER (WHERE NOT good) AS rejected, min(minute) AS first_time, max(minute) AS last_time
+FROM told GROUP BY batch, symbol""")
+def q29_stream_report(spark, sf_dir):
+    """The report of every micro-batch of a raw feed in which some rows have no time or no close."""
+    bad = _events_by_time(spark, sf_dir).withColumns({
+        "value": F.when(F.pmod("event_id", F.lit(11)) != 0, F.nanvl("value", F.lit(None))), "ts": F.when(F.pmod("event_id", F.lit(13)) != 0, F.col("ts")),
+    })
+    lines, arrival = _stream(spark, raw_lines(bad, "__part", "event_type")), ["part", "user_id", "pos"]
+    report = shared_dir(spark, "report")
+    feed = C.judged(C.explode_raw(lines), F.col("event_type"), arrival)
+    streams.start_ingest(feed, new_table(spark), shared_dir(spark, "log"), arrival, report=report).awaitTermination()
+    return streams.batch_report(spark, report)
+
+
+LATE_OFFERS_SQL = OFFERS_SQL.replace("event_id AS arrival FROM", "event_id AS arrival, user_id % 2 AS part FROM").replace("ORDER BY arrival", "ORDER BY part, arrival")
+
+
+@query(f"{MATRIX_SQL.replace(OFFERS_SQL, LATE_OFFERS_SQL)} SELECT symbol, open_time_ms, close, round({SCORE_SQL}, 6) AS predicted_proba_spike FROM matrix")
+def q30_score_repair(spark, sf_dir):
+    """Half of the users' events come late; the scores are those of all candles, as if none had."""
+    table, scores = new_table(spark), new_table(spark, streams.SCORES)
+    feed = C.from_events(_stream(spark, events(spark, sf_dir).withColumn("__part", F.pmod("user_id", F.lit(2)))))
+    streams.start_scoring(feed, table, scores, shared_dir(spark, "log"), ["arrival"]).awaitTermination()
+    return rounded(spark.table(scores).select("symbol", "open_time_ms", "close", "predicted_proba_spike"), "predicted_proba_spike")
+
+
+@query(f"WITH {OFFERS_SQL} SELECT symbol, open_time_ms, open_time, close FROM candles")
+def q31_compacted_table(spark, sf_dir):
+    """Six appends leave six files in a partition; packed, the table has the same rows in one each."""
+    table, rows = new_table(spark), candles(spark, sf_dir).withColumn("arrival", F.lit(0))
+    landed = stored(by_time(rows, F.col("open_time_ms"), 6), "landed")
+    for k in range(6):
+        ingest.append_new(table, landed.where(F.col("__part") == k).drop("__part"), ["arrival"])
+    tables.compact(spark, table)
+    return spark.table(table).select("symbol", "open_time_ms", "open_time", "close")

@@ -17,8 +17,6 @@ RAW_FIELDS = [
 ]
 PRICES = ["open", "high", "low", "close", "volume"]
 
-#: Columns that a stored table is partitioned by, after its others.
-PARTITIONS = ["symbol", "open_date"]
 STORED = T.StructType(
     [
         T.StructField("open_time_ms", T.LongType()),
@@ -26,6 +24,8 @@ STORED = T.StructType(
         *[T.StructField(c, T.DoubleType()) for c in PRICES],
         T.StructField("symbol", T.StringType()),
         T.StructField("open_date", T.DateType()),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("open_month", T.StringType()),
     ]
 )
 EVENTS = T.StructType(
@@ -51,9 +51,9 @@ def explode_raw(lines: DataFrame, payload: str = "value") -> DataFrame:
     return parsed.select(*[c for c in parsed.columns if c != "__raw"], *fields)
 
 
-def normalise(raw: DataFrame, symbol: Column | str, arrival: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(candles, rejects). Prices that are no numbers become null; a row whose time is no whole number, or whose
-    close is missing, is a reject: time series need both."""
+def judged(raw: DataFrame, symbol: Column | str, arrival: list[str]) -> DataFrame:
+    """Candles of raw rows, with `reject`: why a row is none (its symbol, time or close is missing), else null. Prices that are no numbers
+    become null; a time that is no whole number is missing."""
     ms = F.col("open_time").try_cast("bigint")
     named = raw.select(
         (F.lit(symbol) if isinstance(symbol, str) else symbol).alias("symbol"),
@@ -62,19 +62,25 @@ def normalise(raw: DataFrame, symbol: Column | str, arrival: list[str]) -> tuple
         *[S.lenient_double(F.col(c)).alias(c) for c in PRICES],
         *arrival,
     ).withColumn("open_date", open_date())
-    good = F.col("open_time_ms").isNotNull() & F.col("close").isNotNull() & F.col("symbol").isNotNull()
-    return named.where(good), named.where(~good)
+    why = F.when(F.col("symbol").isNull(), "symbol").when(F.col("open_time_ms").isNull(), "time").when(F.col("close").isNull(), "close")
+    return named.withColumn("reject", why)
+
+
+def normalise(raw: DataFrame, symbol: Column | str, arrival: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(candles, rejects): time series need a symbol, a time and a close."""
+    rows = judged(raw, symbol, arrival)
+    return rows.where("reject IS NULL").drop("reject"), rows.where("reject IS NOT NULL").drop("reject")
 
 
 def open_date() -> Column:
-    """The day of the local minute, by which tables are partitioned."""
+    """The day of the local minute."""
     return F.substring("open_time", 1, 10).cast("date")
 
 
 def as_stored(candles: DataFrame, *more: str) -> DataFrame:
-    """Candles with the columns of a stored table, in its order, and the named ones. Prices that aren't given are null; the
-    local minute and the day follow from the time."""
-    kinds = {f.name: f.dataType for f in STORED.fields}
+    """Candles with the columns of a stored table but those that place them, in its order, and the named ones. Prices that aren't given
+    are null; the local minute and the day follow from the time."""
+    kinds = {f.name: f.dataType for f in STORED.fields if f.name not in ("bucket", "open_month")}
     rows = candles.withColumn("open_time", S.local_minute_text(F.col("open_time_ms"))).withColumn("open_date", open_date())
     return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()], *more)
 

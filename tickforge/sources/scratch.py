@@ -32,3 +32,36 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _files(spark, path)
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
+def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders in path that begin so."""
+    files, place = _files(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place) if f.isDirectory() and f.getPath().getName().startswith(prefix))
+
+
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a written table stands there, complete."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def once(df: DataFrame, path: str) -> DataFrame:
+    """df, written to path unless an earlier try has done so: what a replayed micro-batch reads is what its first try wrote."""
+    if not is_whole(df.sparkSession, path):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
 """Streaming ingest and scoring. Micro-batches go through the same operators as batches do.
 
-Tables are partitioned by symbol and day. A micro-batch reads the days that it has rows of and, to score, as many days before them as
-the indicators look back, so its cost doesn't follow the history.
+A micro-batch is written once, under its number in the folder of the query's checkpoint; all else reads what was written, and a
+replay reads it again. It reads the stored rows of its own times and, to score, as many days before them as the indicators look
+back, so its cost doesn't follow the history.
 """
 
 from __future__ import annotations
@@ -12,18 +13,19 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.scalars import LOCAL_OFFSET_MS
+from ..operators import tables
 from ..operators.indicators import DEFAULT_SPEC, FAST, SIGNAL, SLOW, Indicator, features, rows_before, span
-from ..operators.ingest import append_new, append_partitions, beyond_mark, create_if_absent, days_of, on_days
+from ..operators.ingest import append_once, create_if_absent, sync_report
 from ..operators.joins import with_small
 from ..operators.model import FROZEN, score
 from ..sources.candles import as_stored
-from ..sources.scratch import stored
+from ..sources.scratch import exists, is_whole, once, remove, stored
 
 SCORES = T.StructType(
     [
@@ -32,6 +34,8 @@ SCORES = T.StructType(
         T.StructField("predicted_proba_spike", T.DoubleType()),
         T.StructField("symbol", T.StringType()),
         T.StructField("open_date", T.DateType()),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("open_month", T.StringType()),
     ]
 )
 MINUTES_A_DAY = 1440
@@ -44,21 +48,66 @@ def _started(candles: DataFrame, write, checkpoint: str, every: str | None) -> S
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def ingest_batch(
+    batch: DataFrame, number: int, table: str, folder: str, arrival: list[str], strict: bool = False, report: str | None = None
+) -> DataFrame | None:
+    """Appends a micro-batch's new minutes to the table and gives them back; none if it has no rows. folder: where the batch is kept under its number.
+    batch may have a column `reject` (judged()): rows with one are kept out of the table. report: a folder that gets, at most once a batch, its
+    rejects and a row for each symbol."""
+    spark, path = batch.sparkSession, f"{folder}/batch-{number}"
+    rows = as_stored(batch if "reject" in batch.columns else batch.withColumn("reject", F.lit(None).cast("string")), *arrival, "reject")
+    if is_whole(spark, path):
+        rows = once(rows, path)
+        empty = rows.isEmpty()
+    else:
+        told = Observation()
+        rows = once(rows.observe(told, F.count(F.lit(1)).alias("n")), path)
+        empty = not told.get["n"]
+    old = f"{folder}/batch-{number - 2}"
+    if exists(spark, old):
+        remove(spark, old)
+    if empty:
+        return None
+    good = rows.where("reject IS NULL").drop("reject")
+    new = append_once(table, good, arrival, f"{path}-new", strict)
+    if exists(spark, f"{old}-new"):
+        remove(spark, f"{old}-new")
+    if report:
+        bad = rows.where("reject IS NOT NULL")
+        counts = bad.groupBy("symbol").agg(F.count(F.lit(1)).alias("rejected"))
+        told = sync_report(good, new).join(counts.withColumnRenamed("symbol", "__s"), F.col("symbol").eqNullSafe(F.col("__s")), "full")
+        zero = {c: F.coalesce(c, F.lit(0)) for c in ("attempted", "inserted", "ignored", "rejected")}
+        told = told.withColumns(zero | {"symbol": F.coalesce("symbol", "__s")}).drop("__s")
+        told.coalesce(1).write.mode("overwrite").parquet(f"{report}/symbols/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{report}/rejects/batch={number}")
+    return new
+
+
 def start_ingest(
-    candles: DataFrame, table: str, checkpoint: str, arrival: list[str], every: str | None = None, strict: bool = False
+    candles: DataFrame, table: str, checkpoint: str, arrival: list[str], every: str | None = None, strict: bool = False, report: str | None = None
 ) -> StreamingQuery:
-    """Appends the new minutes of a stream of normalised candles to the stored table, whose one writer is this query. A replayed
+    """Appends the new minutes of a stream of candles, normalised or judged, to the stored table, whose one writer is this query. A replayed
     batch adds nothing. every: the trigger's interval; none: what is there, then stop. strict: leave gaps behind the high-water mark
-    as they are."""
+    as they are. report: see ingest_batch; read it by batch_report() and rejects()."""
     create_if_absent(candles.sparkSession, table)
 
-    def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            append_new(table, beyond_mark(batch.sparkSession.table(table), batch) if strict else batch, arrival)
+    def write(batch: DataFrame, number: int) -> None:
+        ingest_batch(batch, number, table, f"{checkpoint}/candles", arrival, strict, report)
 
     return _started(candles, write, checkpoint, every)
 
 
+def batch_report(spark: SparkSession, report: str) -> DataFrame:
+    """(batch, symbol, attempted, inserted, ignored, rejected, first_time, last_time) of all micro-batches; rejects without a symbol have null."""
+    kinds = "symbol string, attempted long, inserted long, ignored long, first_time string, last_time string, rejected long, batch long"
+    return spark.read.schema(kinds).parquet(f"{report}/symbols")
+
+
+def rejects(spark: SparkSession, report: str) -> DataFrame:
+    """The rows that were left out, with the batch and the reason."""
+    return spark.read.option("basePath", f"{report}/rejects").parquet(f"{report}/rejects")
+
+
 def recent_rows(history: DataFrame, first: DataFrame, n: int) -> DataFrame:
     """The history's rows of the symbols of first (symbol, __first), back to n rows or more before that time, or to the symbol's first
     row. Whole days are read, four times as many while some symbol has too few rows in them and has older ones."""
@@ -68,44 +117,90 @@ def recent_rows(history: DataFrame, first: DataFrame, n: int) -> DataFrame:
     day = datetime.fromtimestamp((start + LOCAL_OFFSET_MS) / 1000, timezone.utc).date()
     days = math.ceil(n / MINUTES_A_DAY) + 1
     while True:
-        since = F.lit(day - timedelta(days=days))
-        rows = with_small(history.where(F.col("open_date") >= since), first, "symbol").where("__first IS NOT NULL")
+        since = day - timedelta(days=days)
+        rows = with_small(tables.since(history, since), first, "symbol").where("__first IS NOT NULL")
         before = rows.where("open_time_ms < __first").groupBy("symbol").agg(F.count(F.lit(1)).alias("__n"))
         short = stored(first.join(before, "symbol", "left").where(f"coalesce(__n, 0) < {n}").select("symbol"), "short-symbols")
         names = [r[0] for r in short.limit(NAMED_SYMBOLS + 1).collect()]
-        older = history.where(F.col("open_date") < since)
+        older = tables.until(history, since)
         older = older.where(F.col("symbol").isin(names)) if len(names) <= NAMED_SYMBOLS else older.join(short, "symbol", "left_semi")
         if not names or older.select("symbol").isEmpty():
             return rows.drop("__first")
         days *= 4
 
 
-def score_touched(history: DataFrame, keys: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC, coefficients=FROZEN) -> DataFrame:
-    """Scores of the keys (symbol, open_time_ms), from as many rows before each symbol's first key as the spec looks back."""
-    first = stored(keys.groupBy("symbol").agg(F.min("open_time_ms").alias("__first")), "touched")
-    rows = recent_rows(history, first, rows_before(spec))
+def stale_days(history: DataFrame, new: DataFrame, n: int) -> DataFrame:
+    """(symbol, open_date, __from): the days that hold new rows, or rows with a new one among the n before them, and the first minute
+    from which that is so."""
+    first = stored(new.groupBy("symbol", "open_date").agg(F.min("open_time_ms").alias("__new")), "new-days")
+    begin = stored(first.groupBy("symbol").agg(F.min("__new").alias("__first"), F.min("open_date").alias("__day")), "touched")
+    day = begin.agg(F.min("__day")).first()[0]
+    if day is None:
+        return first.select("symbol", "open_date", F.col("__new").alias("__from"))
+    rows = with_small(tables.since(history, day).select("symbol", "open_date", "open_time_ms"), begin, "symbol").where("open_date >= __day")
+    counts = rows.groupBy("symbol", "open_date").agg(F.count(F.lit(1)).alias("__n"), F.min("open_time_ms").alias("__start"))
+    counts = counts.join(first, ["symbol", "open_date"], "left")
+    w = Window.partitionBy("symbol").orderBy("open_date")
+    through = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("__through", through)
+    last = F.max(F.when(F.col("__new").isNotNull(), F.col("__through"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    near = F.coalesce(F.col("__through") - F.col("__n") - last < n, F.lit(False))
+    found = counts.withColumn("__from", F.when(near, F.col("__start")).otherwise(F.col("__new")))
+    return found.where("__from IS NOT NULL").select("symbol", "open_date", "__from")
+
+
+def fresh_scores(history: DataFrame, new: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC, coefficients=FROZEN) -> DataFrame:
+    """Scores of the new rows (symbol, open_date, open_time_ms) and of all that look back on them, from as many rows before each symbol's first as
+    the spec needs."""
+    n = rows_before(spec)
+    days = stored(stale_days(history, new, n), "stale-days")
+    first = stored(days.groupBy("symbol").agg(F.min("__from").alias("__first"), F.max("open_date").alias("__last")), "touched")
+    rows = recent_rows(history, first.select("symbol", "__first"), n)
+    rows = with_small(rows, first.select("symbol", "__last"), "symbol").where("open_date <= __last")
     made = score(features(rows.select("symbol", "open_time_ms", "close", "open_date"), spec), coefficients)
-    return made.join(keys, ["symbol", "open_time_ms"], "left_semi")
+    return made.join(days, ["symbol", "open_date"]).where("open_time_ms >= __from").select("symbol", "open_date", "open_time_ms", "close", "predicted_proba_spike")
+
+
+def put_scores(fresh: DataFrame, scores: str) -> list[str]:
+    """Makes the written rows `fresh` the scores of their keys. Partitions that have older scores of them are replaced, each at once; to
+    others they are appended. Done again, it changes nothing. Gives the folders that were left."""
+    spark = fresh.sparkSession
+    rows = tables.placed(fresh, scores)
+    keys = ["symbol", "open_time_ms"]
+    held = tables.within(spark.table(scores), tables.bounds(fresh))
+    hit = tables.partitions(held.join(rows.select(*keys), keys, "left_semi"))
+    if not hit:
+        tables.append(rows, scores)
+        return []
+    inside = tables.in_partitions(rows, hit)
+    kept = tables.in_partitions(spark.table(scores), hit).join(inside.select(*keys), keys, "left_anti")
+    left = tables.replace(kept.select(*rows.columns).unionByName(inside), scores)
+    chosen = spark.createDataFrame(hit, "bucket int, open_month string")
+    tables.append(rows.join(F.broadcast(chosen), tables.KEYS, "left_anti"), scores)
+    return left
 
 
 def start_scoring(
     candles: DataFrame, table: str, scores: str, checkpoint: str, arrival: list[str], every: str | None = None,
     spec: tuple[Indicator, ...] = DEFAULT_SPEC, coefficients=FROZEN,
 ) -> StreamingQuery:
-    """Ingests a stream of candles into `table` and appends the new keys' scores to the table `scores`. A late row is scored when it
-    comes; scores of later rows stay as they are."""
+    """Ingests a stream of candles into `table` and keeps the table `scores` as a scoring of all stored candles would have it: new rows
+    are scored as they come, and after a late row the scores of all that look back on it are replaced. Any order of arrival that leaves
+    the same candles gives the same scores."""
     create_if_absent(candles.sparkSession, table)
     create_if_absent(candles.sparkSession, scores, SCORES)
+    folder = f"{checkpoint}/candles"
 
-    def write(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        append_new(table, batch, arrival)
-        keys = stored(as_stored(batch).select("symbol", "open_time_ms", "open_date").distinct(), "batch-keys")
-        done = on_days(spark.table(scores), days_of(keys)).select("symbol", "open_time_ms")
-        new = score_touched(spark.table(table), keys.join(done, ["symbol", "open_time_ms"], "left_anti"), spec, coefficients)
-        append_partitions(stored(new, "new-scores"), scores)
+        new = ingest_batch(batch, number, table, folder, arrival)
+        if new is None:
+            return
+        fresh = once(fresh_scores(spark.table(table), new, spec, coefficients), f"{folder}/batch-{number}-scores")
+        put_scores(fresh, scores)
+        old = f"{folder}/batch-{number - 2}-scores"
+        if exists(spark, old):
+            remove(spark, old)
 
     return _started(candles, write, checkpoint, every)
 
