@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickforge.llm import line_dedup, mixing, mpeg, ngram_join, pieces, quality, sharding, substring_dedup, token_counts, warc
+from tickforge.llm import lexical_search, line_dedup, mixing, mpeg, ngram_join, pieces, quality, sharding, substring_dedup, token_alignment, token_counts, toxicity, warc
 from tickforge.llm.queries import vocabulary
 
 #: Names that operators add or work with, and some that need quoting.
 NAMES = [
     "own", "key", "Kept", "n_words", "distance", "group_rows", "group_level", "n_lines", "n_dropped", "copy", "n_copies", "shuffle_key", "ids",
-    "round_trip", "__text", "__i", "__key", "__salt", "x0", "s", "id", "hash", "label", "size", "shard", "slot", "a.b", "with space", "tick`ed", "page_id", "url", "media",
+    "round_trip", "__text", "__i", "__key", "__salt", "x0", "s", "id", "hash", "label", "size", "shard", "slot", "a.b", "with space", "tick`ed", "page_id", "url", "media", "__hash", "__keeper", "__page", "__own",
+    "score", "terms", "n", "pairs", "fold", "row", "item",
 ]
 TEXT = "one two three four five six seven eight nine ten " * 2 + "\nThis line is long enough to be a key of its own here"
 
@@ -36,6 +37,8 @@ OPERATORS = {
     "quality": (quality.quality, True, quality.ADDED),
     "near_components": (ngram_join.near_components, False, []),
     "line_dedup": (lambda d: line_dedup.line_dedup(d, min_docs=2), True, line_dedup.ADDED),
+    "align_tokens": (lambda d: token_alignment.align_tokens(d, vocabulary(BPE), vocabulary(PIECES)), False, []),
+    "toxicity": (lambda d: toxicity.toxicity(d, toxicity.ToxicityModel({"tie": 3.0}, *toxicity.DEFAULT)), False, []),
     "shard_ring": (lambda d: sharding.shard_ring(d, 3), False, []),
 }
 

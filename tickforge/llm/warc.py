@@ -8,7 +8,7 @@ is no record. A record that holds such lines is put together from its pieces, fe
 Defined cases: a null payload is empty; a null page id is an ordinary id, below all others; rows that repeat the
 largest id of equal payloads are all responses; a null url gives no target header, and control characters in urls are left
 out; a file that doesn't start with a record, and a record cut short by the file's end, give nothing; an empty table
-gives an empty archive. Other columns aren't carried. Page ids are whole numbers.
+gives an empty archive. Other columns, whatever their names, aren't carried. Page ids are whole numbers; a page is one value of Spark's, so it has 2 GB at most.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import named, shared_dir, stored
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -30,11 +30,11 @@ def small(table: DataFrame) -> bool:
     return table.count() <= NARROW_ROWS
 
 
-def revisits(pages: DataFrame, min_bytes: int, id_col: str, payload_col: str) -> DataFrame:
-    """(__page, __hash, __keeper) for each row whose payload another row of a larger id holds too."""
-    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
+def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
+    """(__page, __hash, __keeper) for each row (page_id, html) whose payload another row of a larger id holds too."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.where(F.octet_length(payload) >= min_bytes).select(
-        F.col(id_col).alias("__page"), F.xxhash64(payload_col).alias("__hash"), F.unhex(F.sha2(payload, 256)).alias("__key")
+        F.col("page_id").alias("__page"), F.xxhash64("html").alias("__hash"), F.unhex(F.sha2(payload, 256)).alias("__key")
     )
     keepers = (
         rows.groupBy("__key").agg(F.max("__page").alias("__keeper"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
@@ -48,20 +48,21 @@ def revisits(pages: DataFrame, min_bytes: int, id_col: str, payload_col: str) ->
 def write_warc(
     pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
 ) -> None:
-    again = stored(revisits(pages, min_bytes, id_col, payload_col), "revisits")
+    pages = pages.select(named(id_col).alias("page_id"), named(url_col).alias("url"), named(payload_col).alias("html"))
+    again = stored(revisits(pages, min_bytes), "revisits")
     again = F.broadcast(again) if small(again) else again
-    rows = pages.withColumn("__own", F.xxhash64(payload_col))
-    rows = rows.join(again, rows[id_col].eqNullSafe(again["__page"]) & (rows["__own"] == again["__hash"]), "left")
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    rows = pages.withColumn("__own", F.xxhash64("html"))
+    rows = rows.join(again, rows["page_id"].eqNullSafe(again["__page"]) & (rows["__own"] == again["__hash"]), "left")
+    payload = F.coalesce(F.col("html"), F.lit(""))
     twin = F.col("__hash").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">\r\n"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(END)
     )
     block = F.concat(http, F.when(twin, F.lit("")).otherwise(payload))
-    url = F.regexp_replace(F.col(url_col), r"[\x00-\x1F\x7F]", "")
+    url = F.regexp_replace(F.col("url"), r"[\x00-\x1F\x7F]", "")
     record = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), F.when(twin, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), name(F.col(id_col)),
+        F.lit(MAGIC + "WARC-Type: "), F.when(twin, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), url, F.lit("\r\n")), F.lit("")),
         F.lit(f"WARC-Date: {DATE}\r\nWARC-Payload-Digest: sha1:"), F.sha1(payload.cast("binary")), F.lit("\r\n"),
         F.when(twin, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), name(F.col("__keeper")))).otherwise(""),
