@@ -14,6 +14,7 @@ from ..operators.blocks import number_rows
 from ..sources import candles as C
 from ..sources.scratch import shared_dir, stored
 from ..streaming import candles as streams
+from ..streaming import features as stateful
 from . import logit_sql as logit_sql_parts
 
 QUERIES: dict = {}
@@ -318,10 +319,10 @@ def by_time(rows: DataFrame, ms: Column, parts: int = PARTS) -> DataFrame:
     return rows.withColumn("__part", F.floor((day - F.lit(first or 0)) / step))
 
 
-def _stream(spark, rows: DataFrame) -> DataFrame:
+def _stream(spark, rows: DataFrame, parts: int = PARTS) -> DataFrame:
     """A stream of the rows (with __part), a micro-batch for each part."""
     folder = shared_dir(spark, "landed")
-    schema = streams.land(rows, folder, "__part", PARTS).schema
+    schema = streams.land(rows, folder, "__part", parts).schema
     return streams.event_stream(spark, folder, schema, files=1)
 
 
@@ -348,16 +349,20 @@ def q23_stream_score(spark, sf_dir):
 def q24_stateful_means(spark, sf_dir):
     """The recurrences carried as streaming state from batch to batch. The feed is landed as deduplicated candles by time."""
     rows = by_time(candles(spark, sf_dir).select("symbol", "open_time_ms", "close"), F.col("open_time_ms"))
-    base = shared_dir(spark)
-    name = "spark.sql.streaming.stateStore.providerClass"
+    return rounded(_with_state(spark, streams.stateful_means(_stream(spark, rows))), "rsi_backward_14", "macd_diff").drop("close")
+
+
+def _with_state(spark, made: DataFrame) -> DataFrame:
+    """What a stream with state writes until its feed is read."""
+    base, name = shared_dir(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        writer = streams.stateful_means(_stream(spark, rows)).writeStream.format("parquet").option("checkpointLocation", f"{base}/log")
-        writer.trigger(availableNow=True).start(f"{base}/means").awaitTermination()
+        writer = made.writeStream.format("parquet").option("checkpointLocation", f"{base}/log")
+        writer.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-    return rounded(spark.read.parquet(f"{base}/means"), "rsi_backward_14", "macd_diff").drop("close")
+    return spark.read.schema(made.schema).parquet(f"{base}/out")
 
 
 LATE_SQL = """WITH fed AS (
@@ -474,3 +479,37 @@ def q31_compacted_table(spark, sf_dir):
         ingest.append_new(table, landed.where(F.col("__part") == k).drop("__part"), ["arrival"])
     tables.compact(spark, table)
     return spark.table(table).select("symbol", "open_time_ms", "open_time", "close")
+
+
+#: A feed of three parts by days. Some rows of a part's last two hours come in the next part, which the watermark's delay allows for; some of the
+#: first part come in the third, when it has long passed them.
+DISORDER, DELAY_MS = 3, 3 * 3_600_000
+DISORDER_SQL = OFFERS_SQL.replace("candles AS (", "every AS (") + f""", days AS (
+  SELECT min(open_time_ms // 86400000) AS a, (max(open_time_ms // 86400000) - min(open_time_ms // 86400000)) // {DISORDER} + 1 AS step FROM every
+), timed AS (SELECT *, (open_time_ms // 86400000 - a) // step AS own, open_time_ms // 60000 AS m, (a + ((open_time_ms // 86400000 - a) // step + 1) * step) * 86400000 AS stop FROM every, days),
+fed AS (SELECT *, CASE WHEN own = 0 AND m % 97 = 5 THEN 2 WHEN own < 2 AND m % 7 = 0 AND open_time_ms >= stop - 7200000 THEN own + 1 ELSE own END AS part FROM timed),
+judged AS (SELECT f.*, coalesce(open_time_ms < (SELECT max(open_time_ms) FROM fed g WHERE g.part < f.part) - {DELAY_MS}, false) AS late FROM fed f),
+candles AS (SELECT symbol, open_time_ms, open_time, close FROM judged WHERE NOT late)"""
+
+
+@query(f"""WITH RECURSIVE {DISORDER_SQL}{MEANS_SQL}{FRAMES_SQL}
+SELECT symbol, open_time_ms, close, 0 AS late, {", ".join(f"round({c}, 6) AS {c}" for c in model.FEATURES)}
+FROM candles JOIN frames USING (symbol, open_time_ms) JOIN recurrences USING (symbol, open_time_ms)
+UNION ALL SELECT symbol, open_time_ms, close, 1, {", ".join(["NULL"] * len(model.FEATURES))} FROM judged WHERE late""")
+def q32_stream_features(spark, sf_dir):
+    """All eight features as state, from rows out of order in three micro-batches; late rows are told apart. A clock tick ends the feed."""
+    rows = by_time(candles(spark, sf_dir).select("symbol", "open_time_ms", "close"), F.col("open_time_ms"), DISORDER)
+    rows = stored(rows.withColumn("arrival", F.lit(0).cast("long")), "to-disorder")
+    ms, own = F.col("open_time_ms"), F.col("__part")
+    first, newest = rows.agg(F.min(F.floor(ms / 86_400_000)), F.max("open_time_ms")).first()
+    step = (newest // 86_400_000 - first) // DISORDER + 1 if newest is not None else 1
+    stop = (F.lit(first or 0) + (own + 1) * step) * 86_400_000
+    minute = F.floor(ms / 60_000)
+    part = F.when((own == 0) & (minute % 97 == 5), 2).when((own < 2) & (minute % 7 == 0) & (ms >= stop - 7_200_000), own + 1).otherwise(own)
+    tick = spark.range(1).select(
+        F.lit("clock").alias("symbol"), F.lit((newest or 0) + 86_400_000).cast("long").alias("open_time_ms"), F.lit(None).cast("double").alias("close"),
+        F.lit(0).cast("long").alias("arrival"), F.lit(DISORDER).cast("long").alias("__part"),
+    )
+    feed = _stream(spark, rows.withColumn("__part", part.cast("long")).unionByName(tick), DISORDER + 1)
+    made = _with_state(spark, stateful.stream_features(feed, f"{DELAY_MS} milliseconds"))
+    return rounded(made.withColumn("late", F.col("late").cast("int")), *model.FEATURES)

@@ -26,6 +26,7 @@ from ..operators.joins import with_small
 from ..operators.model import FROZEN, score
 from ..sources.candles import as_stored
 from ..sources.scratch import exists, is_whole, once, remove, stored
+from .features import carried
 
 SCORES = T.StructType(
     [
@@ -205,15 +206,9 @@ def start_scoring(
     return _started(candles, write, checkpoint, every)
 
 
-def carried(values: np.ndarray, alpha: float, before: float | None) -> np.ndarray:
-    """The exponential mean of values that follow a mean."""
-    series = pd.Series(values if before is None else np.concatenate([[before], values]))
-    return series.ewm(alpha=alpha, adjust=False).mean().to_numpy()[0 if before is None else 1 :]
-
-
 class MeansState(StatefulProcessor):
-    """RSI and MACD difference of each symbol, carried from batch to batch. Rows must come in the order of time from batch to batch;
-    those at or before the last row are left out. A micro-batch's rows of one symbol are held at once, so land the feed by time and
+    """RSI and MACD difference of each symbol, carried from batch to batch and given at once. Rows must come in the order of time from
+    batch to batch; those at or before the last row are left out uncounted: features.py waits for a watermark and counts late rows. A micro-batch's rows of one symbol are held at once, so land the feed by time and
     bound the files of a trigger."""
 
     RSI = 14
