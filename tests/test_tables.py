@@ -139,3 +139,19 @@ def test_rows_in_order_replace_nothing(spark, tmp_path):
     new = streams.ingest_batch(late, 3, names[0], f"{tmp_path}/f", ["arrival"])
     fresh = streams.fresh_scores(spark.table(names[0]), new, spec, weights)
     assert new.count() == 1 and fresh.count() >= 4  # the late row and the three that look back on it
+
+
+def test_a_fetch_of_many_symbols(spark, tmp_path):
+    landing = table(spark, tmp_path, "landing")
+    rows = spark.range(4 * 365).selectExpr("substring('ABCD', CAST(id % 4 AS INT) + 1, 1) AS symbol", f"(id DIV 4) * {DAY} AS open_time_ms", "double(id) AS close", "id AS arrival")
+    tables.append(C.as_stored(rows), landing)
+    marks = spark.createDataFrame([("A", 300 * DAY - MINUTE), ("B", 350 * DAY), ("C", 361 * DAY - MINUTE), ("none", None)], "symbol string, high_water_ms long")
+    bounds = ingest.sync_bounds(marks, 360 * DAY).where("symbol <> 'none'")
+    got = ingest.fetch(spark.table(landing), bounds)
+    assert sorted((r.symbol, r.open_time_ms // DAY) for r in got.select("symbol", "open_time_ms").collect()) == [("A", d) for d in range(300, 360)] + [("B", d) for d in range(351, 360)]
+    assert got.columns == spark.table(landing).columns
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "(open_month" in text.split("PartitionFilters: [isnotnull")[1].split("PushedFilters")[0] and "GreaterThanOrEqual(open_time_ms" in text
+    everything = ingest.fetch(spark.table(landing), ingest.sync_bounds(marks.where("symbol = 'none'").withColumn("symbol", F.lit("D")), 360 * DAY))
+    assert everything.count() == 0  # history starts in 2017
+    assert ingest.fetch(spark.table(landing), bounds.where("is_empty = 1")).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,11 @@ def local_minute_text(ms: Column, offset_ms: int = LOCAL_OFFSET_MS) -> Column:
     return F.substring(ms_to_ntz(floor_minute(ms + offset_ms)).cast("string"), 1, 16)
 
 
+def local_month(ms: int, offset_ms: int = LOCAL_OFFSET_MS) -> str:
+    """yyyy-MM of one time, on the driver."""
+    return f"{datetime.fromtimestamp((ms + offset_ms) / 1000, timezone.utc):%Y-%m}"
+
+
 def local_text_to_ntz(text: Column) -> Column:
     return F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm"))
 

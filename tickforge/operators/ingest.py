@@ -103,3 +103,17 @@ def sync_bounds(marks: DataFrame, now_ms: int) -> DataFrame:
     return marks.select(
         "symbol", "high_water_ms", start.alias("start_ms"), end.alias("end_ms"), (start >= end).cast("int").alias("is_empty")
     )
+
+
+def fetch(landing: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Of a landing table's rows, those of each symbol's own [start_ms, end_ms) (sync_bounds): a range join to a table of a row a symbol, broadcast
+    after a count. Symbols with an empty range get nothing. Months before the least start, and row groups outside of all ranges, aren't read."""
+    wanted = stored(bounds.where("is_empty = 0").select("symbol", "start_ms", "end_ms"), "wanted")
+    least, most = wanted.agg(F.min("start_ms"), F.max("end_ms")).first()
+    if least is None:
+        return landing.where("false")
+    rows = landing.where((F.col("open_time_ms") >= least) & (F.col("open_time_ms") < most))
+    if "open_month" in landing.columns:
+        rows = rows.where(F.col("open_month").between(*(S.local_month(ms) for ms in (least, most))))
+    found = with_small(rows, wanted, "symbol").where("open_time_ms >= start_ms AND open_time_ms < end_ms")
+    return found.drop("start_ms", "end_ms")

@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators import indicators as I
-from ..operators import ingest, labels, latest, model, tables
+from ..operators import gaps, ingest, labels, latest, model, tables
 from ..operators.blocks import number_rows
 from ..sources import candles as C
 from ..sources.scratch import shared_dir, stored
@@ -513,3 +514,72 @@ def q32_stream_features(spark, sf_dir):
     feed = _stream(spark, rows.withColumn("__part", part.cast("long")).unionByName(tick), DISORDER + 1)
     made = _with_state(spark, stateful.stream_features(feed, f"{DELAY_MS} milliseconds"))
     return rounded(made.withColumn("late", F.col("late").cast("int")), *model.FEATURES)
+
+
+#: What is stored before the sync, by the symbol's place in the alphabet: nothing, so many days, and the last symbol all there is to fetch.
+KNOWN_DAYS = 5
+SYNC_MANY_SQL = f"""WITH {OFFERS_SQL}, symbols AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT symbol FROM offers)),
+bound AS (SELECT {FETCH_NOW_MS} - {FETCH_NOW_MS} % 60000 AS stop, (SELECT min(open_time_ms) // 86400000 FROM offers) * 86400000 AS begun),
+known AS (
+  SELECT symbol, open_time_ms FROM offers JOIN symbols USING (symbol), bound WHERE k > 0 AND k < n - 1 AND open_time_ms < begun + k * {KNOWN_DAYS} * 86400000
+  UNION ALL SELECT symbol, stop - 60000 FROM symbols, bound WHERE k = n - 1
+), bounds AS (
+  SELECT symbol, coalesce(max(open_time_ms) + 60000, 1483228800000) AS start_ms, any_value(stop) AS end_ms FROM (SELECT symbol FROM symbols UNION ALL SELECT 'EMPTY') LEFT JOIN known USING (symbol), bound GROUP BY symbol
+), came AS (SELECT o.* FROM offers o JOIN bounds USING (symbol) WHERE open_time_ms >= start_ms AND open_time_ms < end_ms)"""
+
+
+@query(f"""{SYNC_MANY_SQL} SELECT symbol, start_ms, end_ms, (start_ms >= end_ms)::INT AS is_empty, count(c.arrival) AS attempted, count(DISTINCT c.open_time_ms) AS inserted,
+  count(c.arrival) - count(DISTINCT c.open_time_ms) AS ignored, min(c.open_time) AS first_time, max(c.open_time) AS last_time
+FROM bounds LEFT JOIN came c USING (symbol) GROUP BY ALL""")
+def q33_sync_many(spark, sf_dir):
+    """One sync of symbols that are known to different times: one not at all, one up to date, one without rows to fetch."""
+    landing = new_table(spark, T.StructType([T.StructField("arrival", T.LongType()), *C.STORED.fields]))
+    every = offers(events(spark, sf_dir))
+    tables.append(C.as_stored(every, "arrival"), landing)
+    table, rows = new_table(spark), spark.table(landing)
+    begun = S.MINUTE_MS * 1440 * (rows.agg(F.min(F.floor(F.col("open_time_ms") / 86_400_000))).first()[0] or 0)
+    symbols = sorted(r[0] for r in rows.select("symbol").distinct().collect())
+    known = {s: begun + k * KNOWN_DAYS * 86_400_000 for k, s in enumerate(symbols[:-1]) if k}
+    limits = spark.createDataFrame(list(known.items()), "symbol string, known long")
+    stop = FETCH_NOW_MS - FETCH_NOW_MS % S.MINUTE_MS
+    last = spark.createDataFrame([(s, stop - S.MINUTE_MS, 0.0, -1) for s in symbols[-1:]], "symbol string, open_time_ms long, close double, arrival long")
+    before = every.join(F.broadcast(limits), "symbol").where("open_time_ms < known").select(*last.columns)
+    ingest.append_new(table, before.unionByName(last), ["arrival"])
+    asked = spark.createDataFrame([(s,) for s in [*symbols, "EMPTY"]], "symbol string")
+    bounds = stored(ingest.sync_bounds(asked.join(ingest.high_water_mark(spark.table(table)), "symbol", "left"), FETCH_NOW_MS), "bounds")
+    came = stored(ingest.fetch(rows, bounds), "fetched")
+    report = ingest.sync_report(came, ingest.append_new(table, came, ["arrival"]))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("attempted", "inserted", "ignored")}
+    return bounds.drop("high_water_ms").join(report, "symbol", "left").withColumns(zero)
+
+
+GAPS_SQL = f"""WITH RECURSIVE {OFFERS_SQL}, holed AS (
+  SELECT symbol, open_time_ms, CASE WHEN open_time_ms // 60000 % 7 < 2 OR open_time_ms // 86400000 % 5 = 1 THEN NULL ELSE close END AS close FROM candles
+), placed AS (
+  SELECT symbol, open_time_ms, close, row_number() OVER w - 1 AS i, coalesce(close - lag(close) OVER w, 0) AS move, count(close) OVER w AS n FROM holed WINDOW w AS (PARTITION BY symbol ORDER BY open_time_ms)
+), means AS (
+  SELECT symbol, i, close AS ema, close AS fast, close AS slow, 0::BIGINT AS since, greatest(move, 0.0::DOUBLE) AS gain, greatest(-move, 0.0::DOUBLE) AS loss, NULL::DOUBLE AS signal, 0::BIGINT AS told FROM placed WHERE i = 0
+  UNION ALL
+  SELECT symbol, i, ema, fast, slow, CASE WHEN close IS NULL THEN since + 1 ELSE 0 END, gain, loss,
+    CASE WHEN n < 26 THEN NULL WHEN signal IS NULL THEN fast - slow ELSE 0.2 * (fast - slow) + 0.8 * signal END, CASE WHEN n < 26 THEN 0 ELSE told + 1 END
+  FROM (SELECT p.symbol, p.i, p.close, p.n, m.since, m.signal, m.told, {{means}},
+      greatest(p.move, 0.0::DOUBLE) / 14 + (1 - 1.0::DOUBLE / 14) * m.gain AS gain, greatest(-p.move, 0.0::DOUBLE) / 14 + (1 - 1.0::DOUBLE / 14) * m.loss AS loss
+    FROM means m JOIN placed p ON p.symbol = m.symbol AND p.i = m.i + 1)
+)
+SELECT p.symbol, p.open_time_ms, round(ema, 6) + 0.0::DOUBLE AS ema, round(CASE WHEN p.i >= 13 THEN CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END END, 6) + 0.0::DOUBLE AS rsi,
+  round(CASE WHEN told >= 9 THEN fast - slow - signal END, 6) + 0.0::DOUBLE AS macd_diff FROM means m JOIN placed p ON p.symbol = m.symbol AND p.i = m.i"""
+_weighed = lambda name, a: (
+    f"CASE WHEN p.close IS NULL THEN m.{name} WHEN m.{name} IS NULL THEN p.close ELSE (pow(1 - {a}, m.since + 1) * m.{name} + {a} * p.close) / (pow(1 - {a}, m.since + 1) + {a}) END AS {name}"
+)
+GAPS_SQL = GAPS_SQL.replace("{means}", ", ".join(_weighed(n, a) for n, a in (("ema", "0.2::DOUBLE"), ("fast", "(2.0::DOUBLE / 13)"), ("slow", "(2.0::DOUBLE / 27)"))))
+
+
+@query(GAPS_SQL)
+def q34_gap_means(spark, sf_dir):
+    """Means, RSI and MACD of series in which two minutes of seven and every fifth day have no close."""
+    ms = F.col("open_time_ms")
+    gone = (F.floor(ms / 60_000) % 7 < 2) | (F.floor(ms / 86_400_000) % 5 == 1)
+    rows = candles(spark, sf_dir).select("symbol", "open_time_ms", F.when(~gone, F.col("close")).alias("close"))
+    rows = stored(number_rows(rows), "numbered")
+    made = rounded(gaps.gap_macd_diff(gaps.gap_rsi(gaps.gap_mean(rows, 0.2))), "ema", "rsi", "macd_diff")
+    return made.select("symbol", "open_time_ms", *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("ema", "rsi", "macd_diff")])  # -0.0 is 0.0
