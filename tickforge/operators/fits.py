@@ -113,3 +113,28 @@ def fit_table(fits: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     return rows.withColumns({
         "z": z, "p_value": tail(z), "ci_low": F.col("coef") - Z95 * F.col("std_err"), "ci_high": F.col("coef") + Z95 * F.col("std_err"),
     })
+
+
+def saved_fits(fits: DataFrame, path: str, ended_ms: int) -> None:
+    """Adds a run's converged fits to those saved at path. ended_ms: the time before which all rows of the run lie. Saved again, it stays one."""
+    rows = fits.where("status = 'converged'").select("symbol", "n_rows", "b", "se")
+    rows.write.mode("overwrite").parquet(f"{path}/ended_ms={ended_ms}")
+
+
+def fits_of(spark, path: str) -> DataFrame:
+    """(symbol, n_rows, b, se, ended_ms) of all saved runs."""
+    return spark.read.schema("symbol string, n_rows long, b array<double>, se array<double>, ended_ms long").parquet(path)
+
+
+def score_as_of(rows: DataFrame, fits: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """rows with predicted_proba_spike by their symbol's newest fit that ended at or before them, and its ended_ms; both are null where there is
+    none. A symbol's fits, one a run, travel as one array."""
+    each = fits.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ended_ms", "b"))).alias("__fits"))
+    each = stored(each, "fits")
+    held = with_small(rows, each, "symbol", width=F.size("__fits") * (len(features) + 1))
+    known = F.filter("__fits", lambda f: f["ended_ms"] <= F.col("open_time_ms"))
+    held = held.withColumn("__fit", F.try_element_at(known, F.lit(-1)))
+    held = held.withColumns({f"__b{i}": F.element_at("__fit.b", i + 1) for i in range(len(features))}).withColumn("ended_ms", F.col("__fit.ended_ms"))
+    total = sum((F.col(f"__b{i}") * F.col(c) for i, c in enumerate(features)), F.lit(0.0))
+    made = held.withColumn("predicted_proba_spike", 1 / (1 + F.exp(-total)))
+    return made.drop("__fits", "__fit", *[f"__b{i}" for i in range(len(features))])

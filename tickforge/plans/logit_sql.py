@@ -47,6 +47,39 @@ def fitted(sample: str, label: str, features: list[str]) -> str:
 inverse AS (SELECT {', '.join(f'a{i}_{n + i}' for i in range(n))} FROM {eliminated(whole, n, 2 * n, '0 AS one')})"""
 
 
+def fitted_by(sample: str, label: str, features: list[str], by: str = "symbol") -> str:
+    """CTEs newton (step, symbol, b0, ...), best (symbol, b0, ...) and inverse (symbol, a{i}_{n + i}): fitted() for each symbol by itself. fine: the
+    symbols whose labels can't be told apart without error."""
+    n = len(features)
+    b = [f"b{i}" for i in range(n)]
+    score = " + ".join(f"b{i} * {x}" for i, x in enumerate(features))
+    rows = lambda source: (
+        f"(SELECT *, p * (1 - p) AS w, {label} - p AS r FROM (SELECT *, 1 / (1 + exp(-({score}))) AS p FROM {source} JOIN {sample} USING ({by})))"
+    )
+    keep = f"step, {by}, " + ", ".join(b)
+    solved = eliminated(f"(SELECT {keep}, {normal_equations(features)} FROM {rows('newton')} GROUP BY ALL)", n, n + 1, keep)
+    unit = ", ".join(f"{float(i == j)}::DOUBLE AS a{i}_{n + j}" for i in range(n) for j in range(n))
+    whole = f"(SELECT *, {unit} FROM (SELECT {by}, {', '.join(f'sum(w * {features[i]} * {features[j]}) AS a{i}_{j}' for i in range(n) for j in range(n))} FROM {rows('best')} GROUP BY {by}))"
+    return f"""newton AS (
+  SELECT 0 AS step, {by}, {', '.join(f'0.0::DOUBLE AS {x}' for x in b)} FROM (SELECT DISTINCT {by} FROM {sample})
+  UNION ALL
+  SELECT step + 1, {by}, {', '.join(f'b{i} + a{i}_{n}' for i in range(n))} FROM {solved} WHERE step < {STEPS}
+), best AS (SELECT {by}, {', '.join(b)} FROM newton WHERE step = {STEPS}),
+inverse AS (SELECT {by}, {', '.join(f'a{i}_{n + i}' for i in range(n))} FROM {eliminated(whole, n, 2 * n, by)}),
+fine AS (
+  SELECT {by} FROM (SELECT {by}, count(*) AS rows, sum(-2 * ln(greatest(CASE WHEN {label} = 1 THEN p ELSE 1 - p END, 1e-300))) AS deviance FROM {rows('best')} GROUP BY {by})
+  WHERE isfinite(deviance) AND deviance >= 1e-6 * rows
+)"""
+
+
+def terms_by(features: list[str], z95: float, by: str = "symbol") -> str:
+    """The table of terms of each symbol."""
+    n = len(features)
+    terms = " UNION ALL ".join(f"SELECT {by}, '{x}' AS term, b{i} AS coef, sqrt(a{i}_{n + i}) AS std_err FROM best JOIN inverse USING ({by}) JOIN fine USING ({by})" for i, x in enumerate(features))
+    return f"""SELECT {by}, term, round(coef, 6) AS coef, round(std_err, 6) AS std_err, round(z, 6) AS z, round({TAIL}, 6) AS p_value,
+  round(coef - {z95!r} * std_err, 6) AS ci_low, round(coef + {z95!r} * std_err, 6) AS ci_high FROM (SELECT *, coef / std_err AS z FROM ({terms}))"""
+
+
 #: Twice the upper tail of a Gaussian beyond |z|, by the series of its lower half.
 TAIL = """greatest(0, 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 600),
   lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))))"""

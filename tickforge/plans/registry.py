@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators import indicators as I
-from ..operators import gaps, ingest, labels, latest, model, tables
+from ..operators import fits, gaps, ingest, labels, latest, model, tables
 from ..operators.blocks import number_rows
 from ..sources import candles as C
 from ..sources.scratch import shared_dir, stored
@@ -583,3 +583,65 @@ def q34_gap_means(spark, sf_dir):
     rows = stored(number_rows(rows), "numbered")
     made = rounded(gaps.gap_macd_diff(gaps.gap_rsi(gaps.gap_mean(rows, 0.2))), "ema", "rsi", "macd_diff")
     return made.select("symbol", "open_time_ms", *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("ema", "rsi", "macd_diff")])  # -0.0 is 0.0
+
+
+FINITE_SQL = " AND ".join(f"abs({c}) < 'inf'::DOUBLE" for c in model.FEATURES)
+
+
+@query(f"""{MATRIX_SQL}, used AS MATERIALIZED (SELECT * FROM sample WHERE {FINITE_SQL}), {logit_sql_parts.fitted_by("used", "spike_flag", model.FEATURES)}
+SELECT s.symbol, CASE WHEN term IS NULL THEN 'separable' ELSE 'converged' END AS status, n_rows, t.* EXCLUDE (symbol)
+FROM (SELECT symbol, count(*) AS n_rows FROM used GROUP BY symbol) s LEFT JOIN ({logit_sql_parts.terms_by(model.FEATURES, model.Z95)}) t ON t.symbol = s.symbol""")
+def q35_fit_by_symbol(spark, sf_dir):
+    """The logistic fit of every symbol by itself; one whose labels can be told apart has a row that says so."""
+    found = fits.fit_table(fits.fit_by_symbol(model.training_sample(stored(matrix(spark, sf_dir), "matrix"))))
+    return rounded(found, "coef", "std_err", "z", "p_value", "ci_low", "ci_high")
+
+
+TRAIN_SQL = MATRIX_SQL + f""", levels AS (SELECT symbol, quantile_cont(ratio, 0.9) AS level FROM sample GROUP BY symbol)"""
+
+
+@query(f"""{TRAIN_SQL} SELECT symbol, open_time_ms, round(ratio, 6) AS ratio, round(level, 6) AS p90, coalesce((ratio >= level)::INT, 0) AS spike_flag
+FROM matrix LEFT JOIN levels USING (symbol)""")
+def q36_train_threshold(spark, sf_dir):
+    """The flag whose threshold comes from the training rows alone."""
+    whole = stored(matrix(spark, sf_dir), "matrix")
+    flagged = labels.spike_flag(whole.drop("spike_flag"), scope=model.training_sample(whole))
+    return rounded(flagged.select("symbol", "open_time_ms", "ratio", "p90", "spike_flag"), "ratio", "p90")
+
+
+#: Days from the first one after which the model is fitted anew.
+REFITS = (12, 20)
+
+
+def _known_by(cut: str) -> str:
+    """The fits of all symbols from what was known before a time, as rows (symbol, ended_ms, b0, ...)."""
+    candles_then = OFFERS_SQL + f", known AS (SELECT * FROM candles WHERE open_time_ms < {cut})"
+    rest = MATRIX_SQL[len(RECURSIVE) - len(MEANS_SQL):].replace("FROM candles", "FROM known")
+    return f"""WITH RECURSIVE {candles_then}{rest}, levels AS (SELECT symbol, quantile_cont(ratio, 0.9) AS level FROM sample GROUP BY symbol),
+    used AS MATERIALIZED (SELECT s.*, coalesce((ratio >= level)::INT, 0) AS told FROM sample s JOIN levels USING (symbol) WHERE {FINITE_SQL}),
+    {logit_sql_parts.fitted_by("used", "told", model.FEATURES)} SELECT best.*, {cut} AS ended_ms FROM best JOIN fine USING (symbol)"""
+
+
+def walk_forward_sql() -> str:
+    cuts = [f"((SELECT min(open_time_ms) // 86400000 FROM offers) + {d}) * 86400000" for d in REFITS]
+    runs = ", ".join(f"run{k} AS MATERIALIZED ({_known_by(c)})" for k, c in enumerate(cuts))
+    every = " UNION ALL ".join(f"SELECT * FROM run{k}" for k in range(len(cuts)))
+    p = f"1 / (1 + exp(-({' + '.join(f'b{i} * {c}' for i, c in enumerate(model.FEATURES))})))"
+    return f"""WITH RECURSIVE {runs}, fits AS ({every}), {MATRIX_SQL.removeprefix("WITH RECURSIVE ")}
+SELECT m.symbol, m.open_time_ms, f.ended_ms::BIGINT AS ended_ms, round({p}, 6) AS predicted_proba_spike FROM matrix m LEFT JOIN fits f ON f.symbol = m.symbol AND f.ended_ms = (
+  SELECT max(g.ended_ms) FROM fits g WHERE g.symbol = m.symbol AND g.ended_ms <= m.open_time_ms)"""
+
+
+@query(walk_forward_sql())
+def q37_walk_forward(spark, sf_dir):
+    """Two runs fit each symbol from what was known then, thresholds from their training rows; each candle is scored by the newest one before it."""
+    rows, path = stored(candles(spark, sf_dir), "candles"), shared_dir(spark, "fits")
+    first = rows.agg(F.min(F.floor(F.col("open_time_ms") / 86_400_000))).first()[0] or 0
+    for days in REFITS:
+        ended = (first + days) * 86_400_000
+        rated = stored(labels.ratio(labels.forward_max(rows.where(F.col("open_time_ms") < ended))), "labelled")
+        known = stored(I.features(rated), "matrix")
+        flagged = labels.spike_flag(known, scope=model.training_sample(known)).drop("p90")
+        fits.saved_fits(fits.fit_by_symbol(model.training_sample(flagged)), path, ended)
+    made = fits.score_as_of(I.features(rows), fits.fits_of(spark, path))
+    return rounded(made, "predicted_proba_spike").select("symbol", "open_time_ms", "ended_ms", "predicted_proba_spike")
