@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators import indicators as I
-from ..operators import fits, gaps, ingest, labels, latest, model, tables
+from ..operators import fits, gaps, ingest, labels, latest, marks, model, tables
 from ..operators.blocks import number_rows
 from ..sources import candles as C
 from ..sources.scratch import shared_dir, stored
@@ -91,9 +91,9 @@ def q02_range_scan(spark, sf_dir):
 SELECT symbol, coalesce(high_water_ms + 60000, 1483228800000) AS start_ms, ({NOW_MS} - {NOW_MS} % 60000)::BIGINT AS end_ms,
   (coalesce(high_water_ms + 60000, 1483228800000) >= {NOW_MS} - {NOW_MS} % 60000)::INT AS is_empty FROM marks""")
 def q03_high_water_mark(spark, sf_dir):
-    marks = ingest.high_water_mark(candles(spark, sf_dir))
+    found = ingest.high_water_mark(candles(spark, sf_dir))
     none = spark.sql("SELECT 'EMPTY' AS symbol, CAST(NULL AS BIGINT) AS high_water_ms")
-    return ingest.sync_bounds(marks.unionByName(none), NOW_MS).drop("high_water_ms")
+    return ingest.sync_bounds(found.unionByName(none), NOW_MS).drop("high_water_ms")
 
 
 def raw_lines(found: DataFrame, *keys: str) -> DataFrame:
@@ -645,3 +645,23 @@ def q37_walk_forward(spark, sf_dir):
         fits.saved_fits(fits.fit_by_symbol(model.training_sample(flagged)), path, ended)
     made = fits.score_as_of(I.features(rows), fits.fits_of(spark, path))
     return rounded(made, "predicted_proba_spike").select("symbol", "open_time_ms", "ended_ms", "predicted_proba_spike")
+
+
+def _marked(spark, sf_dir) -> tuple[str, DataFrame]:
+    """A table that a stream of three parts has filled, and the marks that it kept."""
+    table, folder = new_table(spark), shared_dir(spark, "marks")
+    rows = by_time(events(spark, sf_dir), S.ntz_minute_ms(F.col("ts")), 3)
+    streams.start_ingest(C.from_events(_stream(spark, rows, 3)), table, shared_dir(spark, "log"), ["arrival"], marks=folder).awaitTermination()
+    return table, marks.kept_marks(spark, folder)
+
+
+@query(f"WITH {OFFERS_SQL} SELECT symbol, max(open_time_ms) AS high_water_ms, count(*) AS n_rows FROM candles GROUP BY symbol")
+def q38_kept_marks(spark, sf_dir):
+    return _marked(spark, sf_dir)[1]
+
+
+@query(ORACLE_SQL["q01_latest_n"])
+def q39_newest_stored(spark, sf_dir):
+    """q01 over a stored table, read from its newest month back."""
+    table, found = _marked(spark, sf_dir)
+    return marks.newest_stored(spark, table, found, 5).select("symbol", "open_time_ms", "open_time", "close", "place")

@@ -23,6 +23,7 @@ from ..operators import tables
 from ..operators.indicators import DEFAULT_SPEC, FAST, SIGNAL, SLOW, Indicator, features, rows_before, span
 from ..operators.ingest import append_once, create_if_absent, sync_report
 from ..operators.joins import with_small
+from ..operators.marks import advance
 from ..operators.model import FROZEN, score
 from ..sources.candles import as_stored
 from ..sources.scratch import exists, is_whole, once, remove, stored
@@ -50,11 +51,11 @@ def _started(candles: DataFrame, write, checkpoint: str, every: str | None) -> S
 
 
 def ingest_batch(
-    batch: DataFrame, number: int, table: str, folder: str, arrival: list[str], strict: bool = False, report: str | None = None
+    batch: DataFrame, number: int, table: str, folder: str, arrival: list[str], strict: bool = False, report: str | None = None, marks: str | None = None
 ) -> DataFrame | None:
     """Appends a micro-batch's new minutes to the table and gives them back; none if it has no rows. folder: where the batch is kept under its number.
     batch may have a column `reject` (judged()): rows with one are kept out of the table. report: a folder that gets, at most once a batch, its
-    rejects and a row for each symbol."""
+    rejects and a row for each symbol. marks: a folder whose marks (operators/marks.py) are advanced."""
     spark, path = batch.sparkSession, f"{folder}/batch-{number}"
     rows = as_stored(batch if "reject" in batch.columns else batch.withColumn("reject", F.lit(None).cast("string")), *arrival, "reject")
     if is_whole(spark, path):
@@ -73,6 +74,8 @@ def ingest_batch(
     new = append_once(table, good, arrival, f"{path}-new", strict)
     if exists(spark, f"{old}-new"):
         remove(spark, f"{old}-new")
+    if marks:
+        advance(marks, number, new)
     if report:
         bad = rows.where("reject IS NOT NULL")
         counts = bad.groupBy("symbol").agg(F.count(F.lit(1)).alias("rejected"))
@@ -85,15 +88,16 @@ def ingest_batch(
 
 
 def start_ingest(
-    candles: DataFrame, table: str, checkpoint: str, arrival: list[str], every: str | None = None, strict: bool = False, report: str | None = None
+    candles: DataFrame, table: str, checkpoint: str, arrival: list[str], every: str | None = None, strict: bool = False, report: str | None = None,
+    marks: str | None = None,
 ) -> StreamingQuery:
     """Appends the new minutes of a stream of candles, normalised or judged, to the stored table, whose one writer is this query. A replayed
     batch adds nothing. every: the trigger's interval; none: what is there, then stop. strict: leave gaps behind the high-water mark
-    as they are. report: see ingest_batch; read it by batch_report() and rejects()."""
+    as they are. report, marks: see ingest_batch; read them by batch_report(), rejects() and kept_marks()."""
     create_if_absent(candles.sparkSession, table)
 
     def write(batch: DataFrame, number: int) -> None:
-        ingest_batch(batch, number, table, f"{checkpoint}/candles", arrival, strict, report)
+        ingest_batch(batch, number, table, f"{checkpoint}/candles", arrival, strict, report, marks)
 
     return _started(candles, write, checkpoint, every)
 
