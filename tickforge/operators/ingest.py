@@ -52,8 +52,9 @@ def touched(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def append_new(table: str, batch: DataFrame, arrival: list[str]) -> DataFrame:
-    """Appends the batch's new minutes to the stored table and gives them back, with their arrival. A replayed batch adds nothing."""
-    rows = stored(as_stored(batch, *arrival), "batch")
+    """Appends the batch's new minutes to the stored table and gives them back, with their arrival. A replayed batch adds nothing. The batch is
+    read twice, first for its bounds: give a written one where it is dear to make."""
+    rows = as_stored(batch, *arrival)
     new = stored(insert_or_ignore(touched(batch.sparkSession.table(table), rows), rows, arrival), "new-candles")
     tables.append(new, table)
     return new

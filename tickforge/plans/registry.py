@@ -178,13 +178,13 @@ flags AS (SELECT r.*, p90, coalesce((ratio >= p90)::INT, 0) AS spike_flag FROM r
 
 @query(f"WITH {OFFERS_SQL}{RATIO_SQL} SELECT symbol, round(p90, 6) AS p90 FROM p90s")
 def q10_ratio_p90(spark, sf_dir):
-    rated = stored(labels.ratio(labels.forward_max(candles(spark, sf_dir))), "rated")
+    rated = stored(labels.ratio(labels.forward_max_two_scans(candles(spark, sf_dir))), "rated")
     return rounded(labels.exact_quantile(rated, "ratio", 0.9, "p90"), "p90")
 
 
 @query(f"WITH {OFFERS_SQL}{RATIO_SQL} SELECT symbol, open_time_ms, open_time, close, rolling_max, round(ratio, 6) AS ratio, round(p90, 6) AS p90, spike_flag FROM flags")
 def q11_spike_flag(spark, sf_dir):
-    rated = stored(labels.ratio(labels.forward_max(candles(spark, sf_dir))), "rated")
+    rated = stored(labels.ratio(labels.forward_max_two_scans(candles(spark, sf_dir))), "rated")
     return rounded(labels.spike_flag(rated), "ratio", "p90").select("symbol", "open_time_ms", "open_time", "close", "rolling_max", "ratio", "p90", "spike_flag")
 
 
@@ -269,7 +269,7 @@ ROUNDED_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in ("ratio", *model.FEATUR
 
 def matrix(spark, sf_dir) -> DataFrame:
     rows = stored(number_rows(candles(spark, sf_dir)), "numbered")
-    flagged = labels.spike_flag(stored(labels.ratio(labels.forward_max(rows)), "labelled")).drop("p90")
+    flagged = labels.spike_flag(stored(labels.ratio(labels.forward_max_two_scans(rows)), "labelled")).drop("p90")
     return I.features(flagged).drop("__i")
 
 
@@ -639,7 +639,7 @@ def q37_walk_forward(spark, sf_dir):
     first = rows.agg(F.min(F.floor(F.col("open_time_ms") / 86_400_000))).first()[0] or 0
     for days in REFITS:
         ended = (first + days) * 86_400_000
-        rated = stored(labels.ratio(labels.forward_max(rows.where(F.col("open_time_ms") < ended))), "labelled")
+        rated = stored(labels.ratio(labels.forward_max_two_scans(rows.where(F.col("open_time_ms") < ended))), "labelled")
         known = stored(I.features(rated), "matrix")
         flagged = labels.spike_flag(known, scope=model.training_sample(known)).drop("p90")
         fits.saved_fits(fits.fit_by_symbol(model.training_sample(flagged)), path, ended)

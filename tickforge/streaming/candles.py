@@ -138,7 +138,7 @@ def stale_days(history: DataFrame, new: DataFrame, n: int) -> DataFrame:
     """(symbol, open_date, __from): the days that hold new rows, or rows with a new one among the n before them, and the first minute
     from which that is so."""
     first = stored(new.groupBy("symbol", "open_date").agg(F.min("open_time_ms").alias("__new")), "new-days")
-    begin = stored(first.groupBy("symbol").agg(F.min("__new").alias("__first"), F.min("open_date").alias("__day")), "touched")
+    begin = first.groupBy("symbol").agg(F.min("open_date").alias("__day"))
     day = begin.agg(F.min("__day")).first()[0]
     if day is None:
         return first.select("symbol", "open_date", F.col("__new").alias("__from"))
