@@ -37,6 +37,19 @@ def test_resynchronises_and_checks():
     assert crc16(b"123456789") == 0xAEE7  # the published check value of this polynomial and start
 
 
+def test_a_stream_that_the_writer_did_not_make():
+    """MPEG-1 Layer III at 128 kbit/s and 44.1 kHz, two channels, no checksums, laid out byte by byte."""
+    tag = b"ID3\x03\x00\x00" + bytes([0, 0, 1, 0]) + bytes(128)
+    table = b"\xff\xfb\x90\x00" + bytes(32) + b"Xing" + (3).to_bytes(4, "big") + (3).to_bytes(4, "big") + (417 * 3 + 418).to_bytes(4, "big")
+    table += bytes(417 - len(table))
+    plain, padded = b"\xff\xfb\x90\x00" + bytes(413), b"\xff\xfb\x92\x00" + bytes(414)
+    data = tag + table + plain + padded + b"\x00 no frame \xff\x00" + plain + b"TAG" + bytes(125)
+    f = decode(data)
+    first = len(tag) + 417
+    assert f["seek"] == [first, first + 417, first + 417 + 418 + 13]
+    assert f["samples"] == 3 * 1152 and f["rate"] == 44100 and f["vbr_frames"] == 3 and f["resyncs"] == 1 and f["checked"] == f["bad_crc"] == 0
+
+
 def test_other_headers():
     assert header(bytes([0xFF, 0xFB, 0x90, 0x00]), 0) == {"kind": (3, 3, 44100, False), "length": 417, "samples": 1152, "kbps": 128, "crc": False, "side": 32}
     assert header(bytes([0xFF, 0xFD, 0x84, 0x00]), 0)["length"] == 384  # layer II, 128 kbit/s, 48 kHz

@@ -6,7 +6,7 @@ threshold are dropped and the rest reassembled by position. DataFrame functions
 Defined cases: a null text is one empty line; an empty table gives an empty result; rows that repeat a
 document id count as one document and each lose the same lines; a null id is an ordinary id, below all
 others; other columns pass through unread, and one named n_lines or n_dropped is replaced. Ids may be of any type that
-Spark can order.
+Spark can order. A text of any length is cut whole into its lines; of lines with one key all of the largest id stay, however many tie.
 """
 
 from __future__ import annotations

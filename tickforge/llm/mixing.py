@@ -8,6 +8,7 @@ Defined cases: a null text has no bytes; a null source is a source of its own, n
 sources without a weight, and all documents if no source has bytes, leave the mix; rows that repeat an id get
 the same count; ties of the shuffle key are ordered by id and copy; an empty table gives an empty mix. Other columns pass
 through; one named like an added column (n_copies, copy, shuffle_key) is replaced. Ids may be of any type that casts to string.
+Texts of any length travel as they are; only their bytes are counted.
 """
 
 from __future__ import annotations

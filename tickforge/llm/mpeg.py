@@ -7,7 +7,8 @@ the checksums, and keeps exact durations (samples) and the byte offset of every
 
 Defined cases: a null text is an empty payload of 64 zero bytes; equal texts give equal streams; rows are independent,
 so repeated ids and ties change nothing, and ids may be of any type; other columns aren't carried; a null or broken stream, cut
-anywhere, has as many frames as can be found; an empty table gives an empty result.
+anywhere, has as many frames as can be found; an empty table gives an empty result. Long texts are
+whole payloads; a task holds one text and its stream at a time.
 """
 
 from __future__ import annotations

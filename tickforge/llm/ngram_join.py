@@ -12,7 +12,7 @@ components are those of all links.
 Defined cases: a null text or one without words has no shingles and links with nothing; fewer words than a shingle are one
 shingle; a null id is an ordinary id, below all others; rows that repeat an id are one document: each of its sets is a node, and
 these are tied (by_row: they are not); an empty table gives an empty result; other columns aren't carried. Ids are whole
-numbers; any other type that doesn't cast to long is refused by Spark.
+numbers; any other type that doesn't cast to long is refused by Spark. Long texts give all their shingles; shingles of equal frequency go by their hash.
 """
 
 from __future__ import annotations

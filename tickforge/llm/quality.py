@@ -13,7 +13,8 @@ estimate, and those of small languages that of all rows.
 Defined cases: a null text has no words and fails the base rules; null languages and sources are values of their own;
 without rows to learn from, the base rules decide; rows that repeat an id are judged each by its text, and equal rows
 alike; other columns pass through, and one named like an added column (COUNTS, base_failed, distance, group_rows,
-group_level, kept) is replaced by it; an empty table gives an empty result. Ids may be of any type.
+group_level, kept) is replaced by it; an empty table gives an empty result. Ids may be of any type. Texts are
+counted whole, whatever their length; rows at equal distance share their fate.
 """
 
 from __future__ import annotations

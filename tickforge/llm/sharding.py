@@ -11,7 +11,8 @@ makes every shard smaller, and what overflows goes on clockwise, so about half o
 
 Defined cases: a null text has size 1 and the checksum of the empty text; a null id is hashed like any other
 value; rows that repeat an id are ordered by checksum and size, equal rows in any order; an empty table gives an
-empty result. Other columns aren't carried. Ids may be of any type that casts to string.
+empty result. Other columns aren't carried. Ids may be of any type that casts to string. Of texts of any
+length only bytes and checksum are taken.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ A window is known by 64 bits and its bucket, which comes from a second polynomia
 Defined cases: a null text has no words; fewer words than a window are all kept; a null id is an ordinary id, below all
 others; rows that repeat an id are one document, so windows that they share with each other stay; windows repeated
 inside one document stay; an empty table gives an empty result; other columns aren't carried. Ids are whole numbers; any other
-type that doesn't cast to long is refused by Spark.
+type that doesn't cast to long is refused by Spark. Long texts are read whole, one a slice. Of equal windows the least id keeps its own, and of
+equal ids all do.
 """
 
 from __future__ import annotations
