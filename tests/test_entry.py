@@ -17,6 +17,7 @@ FITS = ("q20_logit_table", "q35_fit_by_symbol", "q37_walk_forward")
 
 def norm(frame, columns):
     frame = frame[sorted(columns)].astype(object)
+    frame = frame.where(frame.notna(), None)
     rows = [tuple(None if x is None or x != x else str(float(x)) if isinstance(x, (int, float)) else str(x) for x in r) for r in frame.itertuples(index=False)]
     return sorted(rows, key=str)
 
