@@ -89,6 +89,7 @@ def test_large_sides_and_short_blocks(spark, monkeypatch):
         monkeypatch.setattr(m, n, -1)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "SHORT_LIST", 4)
+    monkeypatch.setattr(ngram_join, "COMBINED", 2)
     rng = random.Random(5)
     shared = " ".join(f"s{i}" for i in range(70))
     rows = corpus(9) + [(2000 + i, shared + " " + " ".join(f"o{i}-{j}" for j in range(rng.randint(6, 14)))) for i in range(40)]
@@ -111,3 +112,21 @@ def test_shorter_prefix_loses_no_pair(spark):
             assert r.need == o
             if o <= r.a:  # a shared shingle is among the first a - o + 1
                 assert r.short >= r.a - o + 1 and abs(r.u - r.v) <= 1
+
+
+def test_a_long_list_of_unlike_nodes(spark):
+    """10,000 nodes of one list, all of different labels: 60 have the token in their shorter prefix, and only these are compared."""
+    from pyspark.sql import functions as F
+
+    from tickforge.llm.ngram_join import SKETCH, between_labels, meetings
+
+    size, limit = 10_000, Fraction("0.8")
+    held = spark.range(size).select(
+        F.lit(7).cast("long").alias("token"), "id", F.lit(100).alias("n"), F.when(F.col("id") % 167 == 0, 3).otherwise(15).cast("int").alias("pos"),
+        F.col("id").alias("label"), F.lit(0).cast("long").alias("main"),
+    )
+    sketches = spark.range(size).select("id", F.array_repeat(F.lit(0).cast("long"), SKETCH).alias("sketch"))
+    probes = size // 167 + 1
+    assert meetings(held, sketches, limit).count() == (probes - 1) * size + (size - 1)
+    # Of equal sets of 100, place 15 leaves too few shingles for the 89 that are needed: only the probes' pairs pass.
+    assert between_labels(held, sketches, limit).count() == probes * (probes - 1) // 2

@@ -24,6 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from .words import list_array, mix, shingles, slices, split
 
 #: Hash buckets of the table of shingle frequencies: 16 MB for each task, whatever the data.
 FREQUENCY_BITS, CHUNK_BITS = 22, 14
+#: Tasks whose counts are added up together first.
+COMBINED = 256
 #: Longs of a set's parity sketch.
 SKETCH = 8
 #: Id tables up to this many rows (at most 40 MB) may be broadcast.
@@ -60,8 +63,10 @@ def quotient(a: Column, b: int) -> Column:
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents by shingle bucket, over all documents: tasks count, Spark sums, the driver gets the fixed-size table."""
+    """Documents by shingle bucket, over all documents: tasks count, Spark sums (in two steps beyond COMBINED tasks), the driver gets the
+    fixed-size table."""
     size, chunk = 1 << FREQUENCY_BITS, 1 << CHUNK_BITS
+    crowd = COMBINED
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
@@ -71,19 +76,24 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
             total[bucket.astype(np.int64)] += many.astype(np.uint32)
         rows = total.reshape(-1, chunk)
         used = np.flatnonzero(rows.any(axis=1))
+        group = TaskContext.get().partitionId() // crowd
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int64()), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in used], pa.binary())], ["chunk", "counts"]
+            [pa.array(used, pa.int64()), pa.array([group] * len(used), pa.int64()), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in used], pa.binary())],
+            ["chunk", "part", "counts"],
         )
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(chunk, np.int64)
         for batch in batches:
-            for value in batch.column(1):
+            for value in batch.column("counts"):
                 total += np.frombuffer(zlib.decompress(value.as_py()), np.uint32)
         total = np.minimum(total, 2**32 - 1).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
-    parts = docs.mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()
+    parts = docs.mapInArrow(count, "chunk long, part long, counts binary")
+    if docs.rdd.getNumPartitions() > crowd:
+        parts = parts.groupBy("chunk", "part").applyInArrow(add, "chunk long, counts binary")
+    parts = parts.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()
     out = np.zeros(size, np.uint32)
     for r in parts:
         out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
@@ -158,12 +168,6 @@ def shorter_prefix(limit: Fraction, n: Column) -> Column:
     return n - quotient(n.cast("long") * 2 * limit.numerator, limit.numerator + limit.denominator) + 1
 
 
-def smaller_has_it(limit: Fraction, n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
-    """Whether the smaller of two sets (either, if equal) has the shared shingle in its shorter prefix."""
-    first, second = pos < shorter_prefix(limit, n), pos2 < shorter_prefix(limit, n2)
-    return F.when(n < n2, first).when(n > n2, second).otherwise(first | second)
-
-
 def band(limit: Fraction, n: Column) -> Column:
     """Sizes of alike sets lie in one band or in neighbours."""
     return F.floor(F.log(n.cast("double")) / (-math.log(limit) * 1.000001)).cast("int") if limit < 1 else n.cast("int")
@@ -249,27 +253,39 @@ def in_lists(rows: DataFrame, limit: Fraction) -> DataFrame:
     return entries.join(hot, "token").unionByName(cold)
 
 
-def between_labels(held: DataFrame, sketches: DataFrame, limit: Fraction) -> DataFrame:
-    """(a, b): pairs of nodes of different labels that meet in a list and pass all filters, for held (token, id, n, pos, label, main).
-    Nodes outside a list's main label meet all others. A list's nodes are cut into blocks on both sides, so no task joins a whole
-    long list."""
-    outside = F.col("label") != F.col("main")
-    parts = lambda c: F.ceil(c / BLOCK).cast("int")
-    lists = held.groupBy("token").agg(parts(F.count_if(outside)).alias("xs"), parts(F.count(F.lit(1))).alias("ys")).where("xs > 0")
+def meetings(held: DataFrame, sketches: DataFrame, limit: Fraction) -> DataFrame:
+    """(token, n, pos, label, id, sketch, all also with _y): nodes that meet in a list, for held (token, id, n, pos, label, main), before any
+    filter but length bands. Nodes that have the token in their shorter prefix probe; the others are only met. Probes outside a list's main
+    label meet all of the list, those inside it only the nodes outside. Both sides are cut into blocks, so no task joins a whole long list."""
+    outside, probes = F.col("label") != F.col("main"), F.col("pos") < shorter_prefix(limit, F.col("n"))
+    parts = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+    lists = held.groupBy("token").agg(
+        F.array(parts(probes & outside), parts(probes & ~outside)).alias("xs"), F.array(parts(F.lit(True)), parts(outside)).alias("ys")
+    ).where("ys[1] > 0 AND xs[0] + xs[1] > 0")
     members = held.join(narrow(stored(lists, "open-lists")), "token").join(sketches, "id")
-    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    own = band(limit, F.col("n"))
-    side = lambda df, mark: df.select("token", "band", "xpart", "ypart", *[F.col(c).alias(c + mark) for c in ("id", "n", "pos", "label", "main", "sketch")])
-    x = side(members.where(outside).withColumn("band", own).withColumn("xpart", part("xs")).withColumn("ypart", every("ys")), "_x")
-    y = side(members.withColumn("band", F.explode(F.array(own - 1, own, own + 1))).withColumn("ypart", part("ys")).withColumn("xpart", every("xs")), "_y")
-    n, pos, n2, pos2 = (F.col(c) for c in ("n_x", "pos_x", "n_y", "pos_y"))
-    found = x.join(y, ["token", "band", "xpart", "ypart"]).where(
-        (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main_y")) | (F.col("id_x") < F.col("id_y")))
-        & length_and_place(limit, n, pos, n2, pos2) & smaller_has_it(limit, n, pos, n2, pos2)
-        & sketches_allow(limit, n, F.col("sketch_x"), n2, F.col("sketch_y"))
+    own = F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).cast("long")
+    xs, ys = F.get("xs", "kind"), F.get("ys", "kind")
+    part = lambda c: F.pmod(own, c).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
+    on, carried = ["token", "kind", "band", "xpart", "ypart"], ["id", "n", "pos", "label", "sketch"]
+    x = members.where(probes).withColumn("kind", F.when(outside, 0).otherwise(1)).withColumn("band", band(limit, F.col("n")))
+    x = x.withColumn("xpart", part(xs)).withColumn("ypart", every(ys)).select(*on, *carried)
+    kinds = F.array_compact(F.array(F.when(F.get("xs", F.lit(0)) > 0, 0), F.when(outside & (F.get("xs", F.lit(1)) > 0), 1)))
+    # A probe meets sets that are no smaller: those of its own band and of the next.
+    y = members.withColumn("kind", F.explode(kinds)).withColumn("band", F.explode(F.array(band(limit, F.col("n")) - 1, band(limit, F.col("n")))))
+    y = y.withColumn("ypart", part(ys)).withColumn("xpart", every(xs)).select(*on, *[F.col(c).alias(f"{c}_y") for c in carried])
+    return x.join(y, on)
+
+
+def between_labels(held: DataFrame, sketches: DataFrame, limit: Fraction) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of different labels that meet in a list and pass all filters."""
+    n, pos, n2, pos2 = (F.col(c) for c in ("n", "pos", "n_y", "pos_y"))
+    twice = (n == n2) & (pos2 < shorter_prefix(limit, n2))
+    found = meetings(held, sketches, limit).where(
+        (F.col("label") != F.col("label_y")) & (n <= n2) & (~twice | (F.col("id") < F.col("id_y")) | (F.col("kind") == 1))
+        & length_and_place(limit, n, pos, n2, pos2) & sketches_allow(limit, n, F.col("sketch"), n2, F.col("sketch_y"))
     )
-    return found.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+    return found.select(F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b")).distinct()
 
 
 def alike_sets(docs: DataFrame, k: int, limit: str, id_col: str, text_col: str, by_row: bool) -> DataFrame:
@@ -286,7 +302,9 @@ def alike_sets(docs: DataFrame, k: int, limit: str, id_col: str, text_col: str,
     if repeats:
         every = every.join(narrow(several), "doc", "left")
         node = F.when(F.col("multi"), F.xxhash64("doc", "f1", "f2")).otherwise(node)
-        texts = texts.dropDuplicates(["doc", "own"])
+        # Only the rows of such ids are shuffled.
+        marked = texts.join(narrow(several), "doc", "left")
+        texts = marked.where("multi IS NULL").unionByName(marked.where("multi").dropDuplicates(["doc", "own"])).drop("multi")
     every = every.withColumn("set_id", node)
     nodes = stored(every.where("n > 0").groupBy("f1", "f2").agg(F.min("set_id").alias("set_id")), "nodes")
     rows = every.join(narrow(nodes), ["set_id", "f1", "f2"]).withColumnRenamed("set_id", "id")
@@ -294,7 +312,7 @@ def alike_sets(docs: DataFrame, k: int, limit: str, id_col: str, text_col: str,
     info = stored(rows.select("id", "doc", "n", "f1", "f2", "sketch"), "sets-info")
     shared = stored(in_lists(rows, share), "shared")
     fits = length_and_place(share, F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos"))
-    stars = stored(shared.where((F.col("id") != F.col("first")) & fits).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "stars")
+    stars = stored(shared.where((F.col("id") != F.col("first")) & fits).select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct(), "stars")
     links = stored(verified(stars, info, texts, k, share), "links-1")
     labels = narrow(stored(components(links), "labels"))
     # Lists that still hold several labels: nodes outside the first node's label meet all others that differ.
