@@ -89,7 +89,12 @@ def exact_quantile(rows: DataFrame, value: str, q: float, name: str) -> DataFram
     placed = with_small(known, _brackets(known, q), "symbol")
     near = placed.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
     # Equal values take one row and a count, so ties don't gather either.
-    steps = near.groupBy("symbol", "n", "below", "v").agg(F.count(F.lit(1)).alias("same"))
+    return quantile_of_steps(near.groupBy("symbol", "n", "below", "v").agg(F.count(F.lit(1)).alias("same")), q, name)
+
+
+def quantile_of_steps(steps: DataFrame, q: float, name: str) -> DataFrame:
+    """(symbol, name): the quantile of n values, for the distinct ones around it (symbol, n, below, v, same): how many are below all of
+    these, and how many are equal. Null where it would lie between an infinite value and another."""
     w = Window.partitionBy("symbol").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = steps.withColumn("to", F.sum("same").over(w))
     pos = F.lit(q) * (F.col("n") - 1)
@@ -101,7 +106,7 @@ def exact_quantile(rows: DataFrame, value: str, q: float, name: str) -> DataFram
     )
     a, z, f = F.col("a"), F.col("z"), F.col("f")
     value_at = F.when(a == z, a).when(f < 0.5, a + (z - a) * f).otherwise(z - (z - a) * (1 - f))
-    return found.select("symbol", value_at.alias(name))
+    return found.select("symbol", nan_to_null(value_at).alias(name))
 
 
 def spike_flag(with_ratio: DataFrame, q: float = 0.9, scope: DataFrame | None = None) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators import indicators as I
-from ..operators import fits, gaps, ingest, labels, latest, marks, model, tables
+from ..operators import fits, gaps, ingest, kept_quantiles, labels, latest, marks, model, tables
 from ..operators.blocks import number_rows
 from ..sources import candles as C
 from ..sources.scratch import shared_dir, stored
 from ..streaming import candles as streams
 from ..streaming import features as stateful
+from ..streaming import ratios
 from . import logit_sql as logit_sql_parts
 
 QUERIES: dict = {}
@@ -665,3 +666,12 @@ def q39_newest_stored(spark, sf_dir):
     """q01 over a stored table, read from its newest month back."""
     table, found = _marked(spark, sf_dir)
     return marks.newest_stored(spark, table, found, 5).select("symbol", "open_time_ms", "open_time", "close", "place")
+
+
+@query(ORACLE_SQL["q10_ratio_p90"])
+def q40_kept_quantile(spark, sf_dir):
+    """q10 after three appends, from ratios and sketches that each of them kept up."""
+    table, rated, sketches = new_table(spark), new_table(spark, ratios.RATIOS), new_table(spark, kept_quantiles.SKETCHES)
+    rows = by_time(events(spark, sf_dir), S.ntz_minute_ms(F.col("ts")), 3)
+    ratios.start_ratios(C.from_events(_stream(spark, rows, 3)), table, rated, sketches, shared_dir(spark, "log"), ["arrival"]).awaitTermination()
+    return rounded(kept_quantiles.kept_quantile(spark.table(rated), spark.table(sketches), "ratio", 0.9, "p90"), "p90")
