@@ -172,3 +172,17 @@ def test_separable_labels_are_refused(spark):
         model.fit_logit(df, ["x"], "y")
     with pytest.raises(ValueError, match="finite"):
         model.fit_logit(spark.createDataFrame([(math.inf, 1), (1.0, 0)], "x double, y int"), ["x"], "y")
+
+
+def test_blocks_are_spread_over_tasks(spark):
+    df = series(spark, [float(i % 7) for i in range(40)])
+    rows = blocks.in_blocks(blocks.number_rows(df), back=1, block=4)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert blocks.spread(rows, 3).rdd.getNumPartitions() == min(3, most)
+    assert blocks.spread(rows, 10**9).rdd.getNumPartitions() == most
+    assert blocks.spread(rows, 0) is rows
+    scanned = blocks.spread(rows, 3).withColumn("top", F.max("close").over(blocks.by_block()))
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1
+    after = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert after.count("Exchange") == 1  # the window has its partitions already

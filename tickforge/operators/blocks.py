@@ -53,6 +53,13 @@ def number_rows(candles: DataFrame) -> DataFrame:
     return placed.select(*candles.columns, (F.col("__r") + F.col("__before")).alias("__i", metadata=PLACES))
 
 
+def spread(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows by (symbol, __b), in as many partitions as there are blocks, at most the session's shuffle partitions. Blocks are few bytes and
+    much work, so partitions made of bytes would put many into one task. Windows by block need no shuffle after this one."""
+    parts = min(blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "symbol", "__b") if parts > 1 else rows
+
+
 def in_blocks(numbered: DataFrame, back: int = 0, ahead: int = 0, block: int = BLOCK) -> DataFrame:
     """Rows by block __b, with __own false for the `back` rows before and `ahead` rows after the block that are
     there only to be looked at."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ieee_ratio
 from ..sources.scratch import stored
-from .blocks import BLOCK, after, block_for, block_mean, by_block, in_blocks, is_numbered, number_rows, place_in, weight, with_carry, without
+from .blocks import BLOCK, after, block_for, block_mean, by_block, in_blocks, is_numbered, number_rows, place_in, spread, weight, with_carry, without
 from .joins import BROADCAST_ROWS
 
 
@@ -122,9 +122,8 @@ def _carries(numbered: DataFrame, means: dict[str, tuple[str, float]], block: in
     return stored(ends.select("symbol", (F.col("__b") + 1).alias("__b"), *[F.col(n).alias(f"__c{n}") for n in names]), "carries")
 
 
-def _joined(rows: DataFrame, carries: DataFrame) -> DataFrame:
-    few = carries.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(carries) if few else carries, ["symbol", "__b"], "left")
+def _joined(rows: DataFrame, carries: DataFrame, blocks: int) -> DataFrame:
+    return rows.join(F.broadcast(carries) if blocks <= BROADCAST_ROWS else carries, ["symbol", "__b"], "left")
 
 
 def features(candles: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC) -> DataFrame:
@@ -138,12 +137,14 @@ def features(candles: DataFrame, spec: tuple[Indicator, ...] = DEFAULT_SPEC) ->
     block = block_for(alphas) if alphas else max(back, BLOCK)
     if back > block:
         raise ValueError("windows of the frames are longer than a block of the exponential means")
-    rows = in_blocks(numbered, back=back, block=block)
+    carries = _carries(numbered, means, block, signal) if means else None
+    blocks = carries.count() if means else 0
+    rows = spread(in_blocks(numbered, back=back, block=block), blocks)
     made = {s.column: FRAMES[s.kind][0](s.window) for s in spec if s.kind in FRAMES}
     rows = rows.withColumns(made | (_moves() if means else {})).where("__own")
     if means:
         rows = rows.withColumns({n: block_mean(F.col(source), alpha, 0, block) for n, (source, alpha) in means.items()})
-        rows = _joined(rows, _carries(numbered, means, block, signal))
+        rows = _joined(rows, carries, blocks)
         rows = rows.withColumns({n: with_carry(F.col(n), F.col(f"__c{n}"), alpha, block) for n, (_, alpha) in means.items()})
     for s in spec:
         if s.kind == "rsi":
@@ -164,6 +165,8 @@ def exponential_mean(candles: DataFrame, alpha: float, periods: int = 1, name: s
     numbered = candles if is_numbered(candles) else stored(number_rows(candles.select(*columns)), "numbered")
     block = block_for([alpha])
     means = {"__mean": ("close", alpha)}
-    rows = in_blocks(numbered, block=block).withColumn("__mean", block_mean(F.col("close"), alpha, 0, block))
-    rows = _joined(rows, _carries(numbered, means, block, False))
+    carries = _carries(numbered, means, block, False)
+    blocks = carries.count()
+    rows = spread(in_blocks(numbered, block=block), blocks).withColumn("__mean", block_mean(F.col("close"), alpha, 0, block))
+    rows = _joined(rows, carries, blocks)
     return rows.select(*columns, after(with_carry(F.col("__mean"), F.col("__c__mean"), alpha, block), 0, periods).alias(name))
