@@ -109,3 +109,36 @@ def test_unbroken_texts(monkeypatch):
         texts = ["".join(rng.choice("theringaon\u00e9日") for _ in range(rng.randint(1, 700))) for _ in range(20)] + ["a" * 500, "▁" * 90]
         model = P.Model(proto)
         assert [x.as_py() for x in model.encode(pa.array(texts))] == library.encode(texts)
+
+
+def test_many_symbols_are_compared_at_once(monkeypatch):
+    """Suffixes of words are sorted in two steps, not one for each doubling from a single symbol; found are all places of pieces of any length."""
+    sorts, argsort = [], np.argsort
+    monkeypatch.setattr(P.np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    rng = np.random.default_rng(1)
+    text = np.concatenate([rng.integers(97, 100, 3000), rng.integers(97, 160, 3000)])
+    order = P.suffix_array(text, 16)
+    assert len(sorts) <= 3
+    heads = [tuple(text[i : i + 16]) for i in order]
+    assert heads == sorted(heads)
+    whole = text.tolist()
+    want = [whole[a : a + n] for n in range(1, 17) for a in rng.integers(0, 5980, 20).tolist()] + [whole[-n:] for n in range(1, 17)] + [[97, 500], [99, 97, 5], whole[-3:] + [700]]
+    rows = np.full((len(want), 16), -1)
+    for i, w in enumerate(want):
+        rows[i, : len(w)] = w
+    low, high = P.occurrences(text, order, rows, np.array([len(w) for w in want]))
+    for w, a, b in zip(want, low, high, strict=True):
+        assert sorted(order[a:b].tolist()) == [i for i in range(len(whole) - len(w) + 1) if whole[i : i + len(w)] == w]
+
+
+def test_units_tile_the_texts():
+    import re
+    from pathlib import Path
+
+    model = P.Model(Path(vocabulary(MODEL)).read_bytes())
+    rows = [*texts(), "\n", "a\n b\n\n  c", "▁▁x y"]
+    for part in (pa.array(rows), pa.array(["skipped", *rows])[1:], pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        units, counts = model.units(part)
+        line = "\n|" * model.line
+        told = [re.findall(f"{line}▁+[^▁{line[:1]}]*|[^▁{line[:1]}]+", ("▁" + t).replace(" ", "▁")) if t else [] for t in part.to_pylist()]
+        assert [u.replace(" ", "▁") for u in units.to_pylist()] == [u for t in told for u in t] and counts.tolist() == [len(t) for t in told]

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -46,30 +45,54 @@ DECODED = 500
 BREAK = 0x110000
 
 
+def coded(text: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(text, more, bits): both with the symbols of text numbered from 1 in their order, others as 0, and the bits that a number takes."""
+    seen = np.zeros(int(max(text.max(initial=0), more.max(initial=0))) + 1, bool)
+    seen[text] = True
+    alphabet = np.flatnonzero(seen)
+    place = np.zeros(len(seen), np.int64)
+    place[alphabet] = np.arange(1, len(alphabet) + 1)
+    return place[text], np.where(more < 0, 0, place[more]), len(alphabet).bit_length()
+
+
+def heads(codes: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The k symbols from each place on as one number; 0 beyond the end."""
+    padded, key = np.concatenate([codes, np.zeros(k, np.int64)]), np.zeros(len(codes), np.int64)
+    for j in range(k):
+        key = key << bits | padded[j : j + len(codes)]
+    return key
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text in the order of their first `depth` symbols, at least; by doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order, n, done = np.argsort(rank, kind="stable"), len(text), 1
-    while done < depth:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - done)] = rank[done:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+    """Suffixes of text in the order of their first `depth` symbols, at least; by doubling, from as many as a number holds."""
+    codes, _, bits = coded(text, np.empty(0, np.int64))
+    n, done = len(text), min(depth, 62 // bits)
+    key = heads(codes, bits, done)
+    while True:
+        order = np.argsort(key)
+        if done >= depth:
+            return order
         by = key[order]
         new = np.concatenate([[0], np.cumsum(by[1:] != by[:-1])])
+        if new[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = new
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - done)] = rank[done:] + 1
+        key = rank * (n + 1) + after
         done *= 2
-        if new[-1] == n - 1:
-            break
-    return order
 
 
 def occurrences(text: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The range of each piece in the suffix array, by bisection of one symbol after another. pieces: one row each."""
-    low, high = np.zeros(len(pieces), np.int64), np.full(len(pieces), len(order), np.int64)
-
-    def bound(a: np.ndarray, b: np.ndarray, want: np.ndarray, d: int, right: bool) -> np.ndarray:
+    """The range of each piece in the suffix array, by bisection of as many symbols at once as a number holds. pieces: one row each, -1 after
+    its end."""
+    codes, wanted, bits = coded(text, pieces)
+    k = min(pieces.shape[1], 62 // bits)
+    held = heads(codes, bits, k)
+    low, high = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+
+    def bound(a: np.ndarray, b: np.ndarray, want: np.ndarray, d: int) -> np.ndarray:
         a, b = a.copy(), b.copy()
         while True:
             open_ = np.flatnonzero(a < b)
@@ -77,22 +100,38 @@ def occurrences(text: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths
                 return a
             mid = (a[open_] + b[open_]) // 2
             at = order[mid] + d
-            have = np.where(at < len(text), text[np.minimum(at, len(text) - 1)], -1)
-            less = have <= want[open_] if right else have < want[open_]
+            have = np.where(at < len(text), held[np.minimum(at, len(text) - 1)], 0)
+            less = have < want[open_]
             a[open_[less]] = mid[less] + 1
             b[open_[~less]] = mid[~less]
 
-    for d in range(pieces.shape[1]):
-        live = np.flatnonzero((lengths > d) & (low < high))
+    live = np.flatnonzero(((wanted > 0) | (np.arange(pieces.shape[1]) >= lengths[:, None])).all(axis=1))
+    for d in range(0, pieces.shape[1], k):
+        part = wanted[live, d : d + k]
+        size = np.minimum(lengths[live] - d, k)
+        open_bits = bits * (k - size)
+        least = heads_of(part, bits, k) >> open_bits << open_bits
+        most = least + (np.int64(1) << open_bits)
+        if d:
+            first = bound(low[live], high[live], least, d)
+            low[live], high[live] = first, bound(first, high[live], most, d)
+        else:
+            by = held[order]
+            low[live], high[live] = np.searchsorted(by, least), np.searchsorted(by, most)
+        live = live[(lengths[live] > d + k) & (low[live] < high[live])]
         if not len(live):
             break
-        want = pieces[live, d]
-        first = bound(low[live], high[live], want, d, False)
-        high[live] = bound(first, high[live], want, d, True)
-        low[live] = first
     return low, high
 
 
+def heads_of(rows: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The first k symbols of each row as one number; 0 beyond its end."""
+    key = np.zeros(len(rows), np.int64)
+    for j in range(k):
+        key = key << bits | (rows[:, j] if j < rows.shape[1] else 0)
+    return key
+
+
 def relax(n: int, rank: Callable[[int, int], int]) -> list[tuple[int, int]]:
     """Spans of the symbols that are left of n characters. rank(start, stop): place of the edge's score, best first; -1 if
     there is none. A pair waits as one number, its rank before its place."""
@@ -209,6 +248,7 @@ class Model:
         self.size = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(self.size)]
         plain = [i for i in range(self.size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        plain.sort(key=names.__getitem__)  # neighbours are searched together
         self.scores = [sp.get_score(i) for i in range(self.size)]
         self.single = {names[i]: i for i in plain if len(names[i]) == 1}
         self.bytes = {int(names[i][3:5], 16): i for i in range(self.size) if sp.is_byte(i)}
@@ -218,11 +258,9 @@ class Model:
         self.pieces = np.full((len(self.ids), self.lengths.max()), -1, np.int64)
         for row, i in enumerate(self.ids):
             self.pieces[row, : len(names[i])] = list(map(ord, names[i]))
-        inner = {c for i in self.ids for c in names[i]}
-        spaced = any(MARK in names[i].lstrip(MARK) for i in self.ids)
         # Where no piece crosses from a word to a space, nor holds a line end, units can't touch each other.
-        line = "" if "\n" in inner else "\n"
-        self.units = re.compile(".+" if spaced else f"{line and 'LINE|'}{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+".replace("LINE", "\n"), re.DOTALL).findall
+        self.whole = any(MARK in names[i].lstrip(MARK) for i in self.ids)
+        self.line = not any("\n" in names[i] for i in self.ids)
         raw = [b"" if sp.is_control(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
         for b, i in self.bytes.items():
             raw[i] = bytes([b])
@@ -343,19 +381,34 @@ class Model:
             self.chars += chars
             a = b
 
+    def units(self, texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+        """(units of all texts, how many each has): spaces and what follows up to the next space; a line end by itself. The mark is a space here."""
+        spaced = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), MARK, " ")
+        led = pc.if_else(pc.equal(spaced, ""), "", pc.binary_join_element_wise(" ", spaced, ""))
+        _, offsets, data = led.buffers()
+        ends = np.frombuffer(offsets, np.int32)[led.offset : led.offset + len(led) + 1] if len(led) else np.zeros(1, np.int32)
+        if ends[0] == ends[-1]:
+            return pa.array([], pa.string()), np.zeros(len(led), np.int64)
+        held = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+        opens = np.zeros(len(held), bool)
+        opens[ends[:-1][np.diff(ends) > 0] - ends[0]] = True
+        if not self.whole:
+            blank = held == ord(" ")
+            opens[1:] |= blank[1:] & ~blank[:-1]
+        if not self.whole and self.line:
+            line = held == ord("\n")
+            opens |= line
+            opens[1:] |= line[:-1]
+        starts = np.flatnonzero(opens) + ends[0]
+        places = pa.py_buffer(np.append(starts, ends[-1]).astype(np.int32))
+        return pa.StringArray.from_buffers(len(starts), places, data), np.diff(np.searchsorted(starts, ends))
+
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        units: list[str] = []
-        counts = []
-        for t in texts.to_pylist():
-            before = len(units)
-            if t:
-                units += self.units(MARK + t.replace(" ", MARK))
-            counts.append(len(units) - before)
-        coded = pa.array(units, pa.string()).dictionary_encode()
-        del units
-        distinct = coded.dictionary.to_pylist()
+        units, counts = self.units(texts)
+        coded_units = units.dictionary_encode()
+        distinct = pc.replace_substring(coded_units.dictionary, " ", MARK).to_pylist()
         self.learn([u for u in distinct if u not in self.index])
-        places = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        places = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded_units.indices.to_numpy(zero_copy_only=False)]
         own = self.sizes[places]
         ends = np.cumsum(own)
         ids = self.flat[np.repeat((np.cumsum(self.sizes) - self.sizes)[places] - (ends - own), own) + np.arange(own.sum())]
