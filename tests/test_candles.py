@@ -1,5 +1,6 @@
 """Scalars, sources and ingest: hand-computed answers and properties."""
 
+import math
 import random
 
 import pytest
@@ -135,3 +136,16 @@ def test_golden_rows(spark):
     rows = one_series(spark)
     r = rows.agg(F.count(F.lit(1)), F.round(F.sum("close"), 2), F.min("open_time"), F.max("open_time")).first()
     assert tuple(r) == (8961, 444773.67, "2024-01-01 02:00", "2024-01-31 01:57")
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """212.37 / 6.4 lies beside a half in the seventh place; times 1e6 it is below one."""
+    import duckdb
+
+    rng = random.Random(9)
+    rows = [212.37 / 6.4, 0.5e-6, -0.5e-6, 2.5e-6, 0.49999999999999994e-6, 1e302, 1e303, -1e303, 4503599627370497.5, float("inf"), float("-inf"), 0.0, 1e-9, None]
+    rows += [round(rng.uniform(0, 500), 2) / round(rng.uniform(0.1, 9), 1) * rng.choice([1, -1]) for _ in range(2000)] + [rng.randrange(10**9) / 2**k for k in range(8) for _ in range(200)]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in rows], "v double").select(S.rounded(F.col("v")).alias("v")).collect()]
+    want = [r[0] for r in duckdb.execute("SELECT round(unnest($1::DOUBLE[]), 6)", [rows]).fetchall()]
+    assert got == want and got[0] == 33.182812
+    assert math.isnan(spark.sql("SELECT double('NaN') AS v").select(S.rounded(F.col("v"))).first()[0])

@@ -29,6 +29,17 @@ def ieee_ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
 
+def rounded(c: Column, places: int = 6) -> Column:
+    """c to so many places as SQL engines round doubles: c times a power of ten, to the nearest whole number, halves away from zero, and back. F.round
+    takes the shortest decimal text for the number instead, which differs where c lies beside a half."""
+    scale = 10.0**places
+    size = F.abs(c) * scale
+    whole = F.floor(size).cast("double")
+    # From 2**52 on, doubles are whole.
+    near = F.when(size < 2.0**52, whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0)).otherwise(size) / scale
+    return F.when(size == float("inf"), c).otherwise(F.when(c < 0, -near).otherwise(near))
+
+
 def floor_minute(ms: Column) -> Column:
     return ms - F.pmod(ms, F.lit(MINUTE_MS))
 

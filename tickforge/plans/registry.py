@@ -62,7 +62,7 @@ def new_table(spark: SparkSession, schema=C.STORED) -> str:
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: S.rounded(F.col(n)) for n in names})
 
 
 OFFERS_SQL = """
@@ -125,7 +125,7 @@ def q04_normalise_candles(spark, sf_dir):
 def q05_lenient_numeric(spark, sf_dir):
     value, kind = F.col("value").cast("string"), F.pmod("event_id", F.lit(4))
     text = F.when(kind == 0, value).when(kind == 1, F.concat(F.lit("  "), value, F.lit(" "))).when(kind == 2, F.concat(value, F.lit("d"))).otherwise(F.col("event_type"))
-    return events(spark, sf_dir).select("event_id", F.round(S.lenient_double(text), 6).alias("number"))
+    return events(spark, sf_dir).select("event_id", S.rounded(S.lenient_double(text)).alias("number"))
 
 
 def _synced(spark, sf_dir):
