@@ -110,3 +110,19 @@ def test_stateful_means(spark, tmp_path):
 
 def test_local_text(spark):
     assert spark.range(1).select(S.local_minute_text(F.lit(0).cast("long"))).first()[0] == "1970-01-01 02:00"
+
+
+def test_parts_are_landed_by_many_tasks(spark, tmp_path):
+    """A large part is several files, by as many tasks, and still a micro-batch of its own; a part of a few rows has as many files; an empty one leaves all at one."""
+    rows = spark.range(0, 4000, 1, 3).selectExpr("id", "IF(id % 200 < 3, 1, IF(id % 2 = 0, 0, 2)) AS part")
+    want = {k: sorted(r.id for r in rows.where(f"part = {k}").collect()) for k in range(3)}
+    for name, parts, most, files in (("many", 3, 250, 7), ("few", 3, 10**6, 1), ("gap", 4, 250, 1)):
+        landed, n = streams.land(rows, f"{tmp_path}/{name}", "part", parts, most)
+        assert n == files and landed.columns == ["id"]
+        seen = {}
+        write = lambda b, k: seen.update({k: sorted(r.id for r in b.collect())})  # noqa: B023, E731
+        stream = streams.event_stream(spark, f"{tmp_path}/{name}", landed.schema, files=n)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/{name}-log").trigger(availableNow=True).start().awaitTermination()
+        assert {k: v for k, v in seen.items() if v} == want
+        held = spark.read.parquet(f"{tmp_path}/{name}").groupBy("_metadata.file_path").count().collect()
+        assert files == 1 or len(held) == files * parts

@@ -324,8 +324,8 @@ def by_time(rows: DataFrame, ms: Column, parts: int = PARTS) -> DataFrame:
 def _stream(spark, rows: DataFrame, parts: int = PARTS) -> DataFrame:
     """A stream of the rows (with __part), a micro-batch for each part."""
     folder = shared_dir(spark, "landed")
-    schema = streams.land(rows, folder, "__part", parts).schema
-    return streams.event_stream(spark, folder, schema, files=1)
+    landed, files = streams.land(rows, folder, "__part", parts)
+    return streams.event_stream(spark, folder, landed.schema, files=files)
 
 
 def _events_by_time(spark, sf_dir) -> DataFrame:

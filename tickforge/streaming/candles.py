@@ -41,6 +41,8 @@ SCORES = T.StructType(
     ]
 )
 MINUTES_A_DAY = 1440
+#: Rows of a landed file, and the most files of a part.
+LANDED, LANDED_FILES = 50_000, 1_000
 #: Symbols that are named in a partition filter; more are joined.
 NAMED_SYMBOLS = 1000
 
@@ -271,10 +273,27 @@ def event_stream(spark: SparkSession, path: str, schema, files: int | None = Non
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def land(rows: DataFrame, folder: str, part: str, parts: int) -> DataFrame:
-    """Writes rows as `parts` files, one after the other, by the whole number `part` from 0, so a stream takes them in that order. Choose
-    so many parts that each fits a task. The stream's schema is that of the rows given back."""
-    kept = stored(rows, "to-land")
+def land(rows: DataFrame, folder: str, part: str, parts: int, most: int = LANDED) -> tuple[DataFrame, int]:
+    """Writes rows part by part, one after the other, by the whole number `part` from 0, so a stream takes them in that order. All parts get the same number
+    of files, about one for `most` rows of the largest part, each written by its own task: a stream that takes so many files at a time has a part in each
+    micro-batch. Gives the rows, whose schema is the stream's, and that number."""
+    spark, kept = rows.sparkSession, stored(rows, "to-land")
+    # Rows are dealt out within a partition, so a file gets none only if no partition has as many rows of the part as there are files.
+    held = kept.groupBy(part, F.spark_partition_id().alias("p")).count().groupBy(part).agg(F.sum("count").alias("n"), F.max("count").alias("m"))
+    found = {r[part]: r for r in held.collect()}
+    wanted = max((r.n for r in found.values()), default=0) // most
+    files = max(1, min(wanted, LANDED_FILES, *(found[k].m if k in found else 1 for k in range(parts))))
     for k in range(parts):
-        kept.where(F.col(part) == k).drop(part).coalesce(1).write.mode("append").parquet(folder)
-    return kept.drop(part)
+        own = kept.where(F.col(part) == k).drop(part)
+        own = own.coalesce(1) if files == 1 else _dealt(own, files)
+        own.write.mode("append").parquet(folder)
+    n = len(spark.read.schema(own.schema).parquet(folder).inputFiles())
+    if n != files * parts:
+        raise RuntimeError(f"{n} files were landed, not {files} for each of {parts} parts")
+    return kept.drop(part), files
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows in n partitions; each deals its rows out in turn."""
+    names = rows.columns
+    return rows.withColumn("__to", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).repartitionById(n, "__to").select(*names)
