@@ -78,3 +78,19 @@ def test_zero_closes_and_waiting_rows(spark, tmp_path, rocks):
     told = [None if x != x else x for x in got.roc_1]
     assert told == [None, None, float("inf"), -100.0] and [None if x != x else x for x in got.sma_ratio_2] == [None, None, 2.0, 0.0]
     assert not spark.read.parquet(f"{tmp_path}/out").where(F.col("late")).count()
+
+
+def test_means_of_frames_are_those_of_the_sql():
+    """To the last bit, whatever the cuts."""
+    import duckdb
+
+    rng = random.Random(4)
+    close = [round(rng.uniform(0, 100), 2) for _ in range(1000)]
+    spec, made = tuple(Indicator("sma_ratio", k) for k in (14, 20, 140)), []
+    series = features.Series(spec)
+    for a, b in ((0, 5), (5, 338), (338, 1000)):
+        made.append(series.add(np.array(close[a:b])))
+    for s in spec:
+        own = np.concatenate([m[s.column] for m in made])[s.window - 1 :].tolist()
+        sql = f"SELECT v / avg(v) OVER (ORDER BY i ROWS BETWEEN {s.window - 1} PRECEDING AND CURRENT ROW) FROM (SELECT unnest($1::DOUBLE[]) AS v, unnest(range(1000)) AS i) ORDER BY i"
+        assert own == [r[0] for r in duckdb.execute(sql, [close]).fetchall()][s.window - 1 :], s.window

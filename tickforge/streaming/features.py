@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import MINUTE_MS
-from ..operators.indicators import DEFAULT_SPEC, FAST, FRAMES, SIGNAL, SLOW, Indicator, span
+from ..operators.indicators import DEFAULT_SPEC, FAST, FRAMES, RUN, SIGNAL, SLOW, Indicator, span
 
 DAY_MS = 86_400_000
 
@@ -37,6 +37,19 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a / b
 
 
+def frame_means(windows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The means of frames that end at these places, added up in the order of indicators.mean_of."""
+    k, total = windows.shape[1], np.zeros(len(windows))
+    for p in range(RUN):
+        rows = windows[place % RUN == p]
+        before, since = ((k - 1 - p) % RUN, (p + 1) % RUN) if k >= RUN else (k, 0)
+        parts = [rows[:, j] for j in range(before)]
+        parts += [sum(rows[:, j] for j in range(g, g + RUN)) for g in range(before, k - since, RUN)]
+        parts += [rows[:, j] for j in range(k - since, k)]
+        total[place % RUN == p] = sum(parts)
+    return total / k
+
+
 class Series:
     """Indicators of a series that is given in parts. means: what the exponential means were after `n` rows; closes: the last ones."""
 
@@ -65,7 +78,7 @@ class Series:
             full = place >= k - 1
             if full.any():
                 windows = np.lib.stride_tricks.sliding_window_view(known, k)[-int(full.sum()) :]
-                mean[full], dev[full] = windows.mean(1), windows.std(1)
+                mean[full], dev[full] = frame_means(windows, place[full]), windows.std(1)
             return mean, dev
 
         for s in self.spec:
